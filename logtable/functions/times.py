@@ -74,14 +74,14 @@ def parse_log_ts(col: Column | str, zones: Mapping[str, str] = DEFAULT_ZONES) ->
     text = gtrim(cell(col))
     shorter = gtrim(F.regexp_replace(text, r":[^:]*\z", ""))
     epoch = parse_int(text)
-    return F.coalesce(
-        F.when(epoch.isNotNull(), parse_epoch(epoch)),
+    layouts = F.coalesce(
         _log_layout(text, zones),
         _date_time(text),
         _rfc3339(text),
         _log_layout(shorter, zones),
         _date_time(shorter),
     )
+    return F.when(epoch.isNotNull(), parse_epoch(epoch)).when(F.contains(text, F.lit(":")), layouts)
 
 
 def epoch_to_date(seconds: Column, zone: str = "UTC") -> Column:

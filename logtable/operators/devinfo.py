@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logtable.functions.text import WHITE_SPACE, gfold, gtrim
 from logtable.operators.filters import search_term
 from logtable.operators.rows import LINE_NO
+from logtable.plans.ordered import Key
 
 ENTITY = ["category", "id"]
 
@@ -166,7 +167,7 @@ def devinfo_query(
     return fields.filter(F.contains("raw_value_lc", F.lit(term))) if term else fields
 
 
-def entity_order(by_id: bool = True) -> list[Column]:
+def entity_order(by_id: bool = True) -> list[Key]:
     """Sort keys of a decoded table: (group, id, seen) or just seen, then field order."""
-    first = [F.col("group_category"), F.col("id")] if by_id else []
-    return [*first, F.col("seen"), F.col("field_seen")]
+    first = ("group_category", "id") if by_id else ()
+    return [(F.col(c), False) for c in (*first, "seen", "field_seen")]

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -20,8 +20,8 @@ def regex_match(text: Column, pattern: str) -> Column:
     java = to_java(pattern)
     try:
         SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(java)
-    except Py4JJavaError as error:
-        raise InvalidPattern(f"{pattern!r}: {error.java_exception.getMessage()}") from None
+    except IllegalArgumentException as error:
+        raise InvalidPattern(f"{pattern!r}: {error}") from None
     return text.rlike(java)
 
 

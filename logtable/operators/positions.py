@@ -8,29 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logtable.functions.text import row_text
 from logtable.operators.filters import is_hit
 from logtable.operators.rows import LINE_NO, ROW_ID, data_columns
-from logtable.plans.ordered import in_order, running_last, running_next
+from logtable.plans.ordered import Key, first_in_order, in_order, neighbours
 
 # Pages that end within this many rows are cut by a top-k; later ones by position.
 TOP_K = 100_000
 
 
-def page(df: DataFrame, keys: Sequence[Column], start: int, size: int) -> DataFrame:
+def page(df: DataFrame, keys: Sequence[Key], start: int, size: int) -> DataFrame:
     """The ``size`` rows from position ``start`` on."""
     end = start + size - 1
-    if end <= TOP_K:
-        top = df.orderBy(*keys).limit(end)
-        placed = top.withColumn("pos", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
-    else:
-        placed = in_order(df, *keys)
+    placed = first_in_order(df, keys, end) if end <= TOP_K else in_order(df, keys)
     return placed.filter(F.col("pos").between(start, end))
 
 
-def last(df: DataFrame, backwards: Sequence[Column], size: int) -> DataFrame:
+def last(df: DataFrame, backwards: Sequence[Key], size: int) -> DataFrame:
     """The ``size`` last rows; ``backwards`` are the sort keys reversed."""
     total = df.count()
     return page(df, backwards, 1, size).withColumn("pos", F.lit(total) + 1 - F.col("pos"))
@@ -93,8 +89,7 @@ def with_marked_neighbours(positions: DataFrame, annotations: DataFrame) -> Data
     """For every row the next and the previous marked position."""
     flagged = _flag_marked(positions, annotations)
     at = F.when(F.col("_marked"), F.col("pos"))
-    onward = running_next(flagged, "pos", at, "next_marked")
-    return running_last(onward, "pos", at, "prev_marked", inclusive=False).drop("_marked")
+    return neighbours(flagged, "pos", at, "next_marked", "prev_marked").drop("_marked")
 
 
 def with_hit_neighbours(
@@ -103,8 +98,7 @@ def with_hit_neighbours(
     """For every row the next and the previous hit, going round at the ends."""
     flagged = _flag_hits(positions, query, columns)
     ends = flagged.agg(F.min("_hit").alias("first"), F.max("_hit").alias("last")).first()
-    onward = running_next(flagged, "pos", F.col("_hit"), "next_hit")
-    both = running_last(onward, "pos", F.col("_hit"), "prev_hit", inclusive=False)
+    both = neighbours(flagged, "pos", F.col("_hit"), "next_hit", "prev_hit")
     return both.withColumns({
         "next_hit": F.coalesce("next_hit", F.lit(ends["first"]).cast("bigint")),
         "prev_hit": F.coalesce("prev_hit", F.lit(ends["last"]).cast("bigint")),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logtable.functions.hashing import row_hash
-from logtable.functions.text import cell, gtrim, quoted
+from logtable.functions.text import as_column, cell, gtrim, quoted
 from logtable.plans.ordered import in_order
 
 # Columns the library adds beside the cells of the source.
@@ -48,7 +48,7 @@ def with_roles(df: DataFrame, source: str) -> DataFrame:
 
 def with_line_no(df: DataFrame, *order: Column | str) -> DataFrame:
     """Dense line numbers from 1 in the given order, which must be total."""
-    return in_order(df, *order, out=LINE_NO)
+    return in_order(df, [(as_column(c), False) for c in order], out=LINE_NO)
 
 
 def with_row_id(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

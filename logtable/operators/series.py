@@ -141,9 +141,8 @@ def bucket_series(
         names = points.sparkSession.createDataFrame([(s,) for s in extent.series], "series string")
     else:
         names = points.select("series").distinct()
-    grid = names.select(
-        "series", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).cast("bigint").alias("x")
-    )
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))
+    grid = names.select("series", F.explode(places).alias("x"))
     filled = grid.join(buckets, ["series", "x"], "left")
     value = F.col("value")
     if fill == "hold":

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logtable.functions.text import cell, gfold, gtrim, parse_number
+from logtable.functions.text import cell, gfold, gtrim, parse_int, parse_number
 from logtable.functions.times import parse_log_ts
 from logtable.operators.rows import LINE_NO
+from logtable.plans.ordered import Key, ordered
 
 
 def column_kind(df: DataFrame, column: str) -> str:
@@ -17,11 +18,11 @@ def column_kind(df: DataFrame, column: str) -> str:
     value = gtrim(cell(column))
     filled = value != ""
     number = parse_number(column).isNotNull()
-    time = parse_log_ts(column).isNotNull()
-    row = df.agg(
-        F.count_if(filled & ~number).alias("not_number"),
-        F.count_if(filled & ~time).alias("not_time"),
-        F.count_if(filled & (number | time)).alias("typed"),
+    time = F.when(number, parse_int(value).isNotNull()).otherwise(parse_log_ts(column).isNotNull())
+    row = df.select(filled.alias("filled"), number.alias("number"), time.alias("time")).agg(
+        F.count_if(F.expr("filled AND NOT number")).alias("not_number"),
+        F.count_if(F.expr("filled AND NOT time")).alias("not_time"),
+        F.count_if(F.expr("filled AND (number OR time)")).alias("typed"),
     ).first()
     if row["not_number"] == 0:
         return "number"
@@ -52,7 +53,7 @@ def ordering(
     desc: bool = False,
     kind: str | None = None,
     backwards: bool = False,
-) -> list[Column]:
+) -> list[Key]:
     """Sort keys for a resolved column. Ties keep line order in both directions.
 
     ``backwards`` reverses the whole order, ties included.
@@ -62,12 +63,11 @@ def ordering(
         keys, desc, line_desc = [], False, by is not None and desc
     else:
         keys, line_desc = sort_keys(by, kind or column_kind(df, by)), False
-    directions = [(k, desc != backwards) for k in keys] + [(line, line_desc != backwards)]
-    return [k.desc() if down else k.asc() for k, down in directions]
+    return [(k, desc != backwards) for k in keys] + [(line, line_desc != backwards)]
 
 
 def sort_rows(
     df: DataFrame, by: str | None, desc: bool = False, kind: str | None = None
 ) -> DataFrame:
     """Stable typed sort; pass ``kind`` when it is known to save the look at the data."""
-    return df.orderBy(*ordering(df, by, desc, kind))
+    return ordered(df, ordering(df, by, desc, kind))

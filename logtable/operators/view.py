@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
 from logtable.functions.patterns import to_java
 from logtable.operators import positions
@@ -12,7 +12,7 @@ from logtable.operators.columns import ColumnView, reset_view, sort_column
 from logtable.operators.filters import filter_marked, filter_regex
 from logtable.operators.sorting import ordering
 from logtable.operators.windows import TimeWindow, filter_window
-from logtable.plans.ordered import in_order
+from logtable.plans.ordered import Key, in_order, ordered
 
 
 @dataclass(frozen=True)
@@ -64,16 +64,16 @@ class LogView:
         df = filter_window(df, self.window, self.ts)
         return filter_regex(df, self.pattern, self.pattern_on)
 
-    def keys(self, backwards: bool = False) -> list[Column]:
+    def keys(self, backwards: bool = False) -> list[Key]:
         return ordering(self.rows(), self.sort_by, self.desc, backwards=backwards)
 
     def to_df(self) -> DataFrame:
         """The view in order."""
-        return self.rows().orderBy(*self.keys())
+        return ordered(self.rows(), self.keys())
 
     def positions(self) -> DataFrame:
         """The view with dense positions."""
-        return in_order(self.rows(), *self.keys())
+        return in_order(self.rows(), self.keys())
 
     def page(self, start: int, size: int) -> DataFrame:
         return positions.page(self.rows(), self.keys(), start, size)

@@ -9,6 +9,8 @@ no key, however frequent, can grow one. The table of blocks has one row per
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logtable.plans.staging import stage
@@ -19,15 +21,43 @@ BLOCK = 1 << 17
 BROADCAST_ROWS = 1_000_000
 
 
-def in_order(df: DataFrame, *keys: Column | str, out: str = "pos", first: int = 1) -> DataFrame:
-    """Sort by ``keys`` and number the rows densely from ``first``.
+# A sort key and whether it descends.
+Key = tuple[Column, bool]
+
+
+def _keyed(df: DataFrame, keys: Sequence[Key]) -> tuple[DataFrame, list[Column], list[str]]:
+    """``df`` with each key as a column, so that a sort does not work it out again
+    for every pair of rows it compares."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    with_keys = df.withColumns({n: key for n, (key, _) in zip(names, keys)})
+    order = [F.col(n).desc() if down else F.col(n).asc() for n, (_, down) in zip(names, keys)]
+    return with_keys, order, names
+
+
+def ordered(df: DataFrame, keys: Sequence[Key]) -> DataFrame:
+    """``df`` sorted by ``keys``."""
+    with_keys, order, names = _keyed(df, keys)
+    return with_keys.orderBy(*order).drop(*names)
+
+
+def first_in_order(df: DataFrame, keys: Sequence[Key], size: int, out: str = "pos") -> DataFrame:
+    """The first ``size`` rows with their positions: a top-k in every task, then one
+    task over ``size`` rows."""
+    with_keys, order, names = _keyed(df, keys)
+    top = with_keys.orderBy(*order).limit(size)
+    place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+    return top.withColumn(out, place).drop(*names)
+
+
+def in_order(df: DataFrame, keys: Sequence[Key], out: str = "pos", first: int = 1) -> DataFrame:
+    """Sort by ``keys``, which must be total, and number the rows from ``first``.
 
     The sorted rows are staged with the task that wrote them and their place in
     it. One count per task (a broadcast table with one row per sort partition)
     then turns that into a global position.
     """
     placed = stage(
-        df.orderBy(*keys)
+        ordered(df, keys)
         .withColumn("_task", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id())
     )
@@ -35,18 +65,34 @@ def in_order(df: DataFrame, *keys: Column | str, out: str = "pos", first: int =
     return _renumbered(placed, F.broadcast(starts), ["_task"], out, first)
 
 
-def number_scan(scanned: DataFrame, out: str = "line_no") -> DataFrame:
-    """Dense numbers in source order for rows scanned from files.
+def place_scan(scanned: DataFrame) -> DataFrame:
+    """Stage rows scanned from files so that they can be put in source order.
 
     ``scanned`` holds ``file`` and ``_start`` (where its split starts in the
-    file); a split is read in order by one task. One row per split is joined
-    back: broadcast if there are few enough splits, else by shuffle.
+    file); a split is read in order by one task.
+    """
+    return stage(scanned.withColumn("_place", F.monotonically_increasing_id()))
+
+
+def number_placed(placed: DataFrame, out: str = "line_no", skip_first: bool = False) -> DataFrame:
+    """Dense numbers in source order for placed rows.
+
+    One row per split is joined back: broadcast if there are few enough splits,
+    else by shuffle. ``skip_first`` leaves out, and does not count, the first
+    row of each file.
     """
-    placed = stage(scanned.withColumn("_place", F.monotonically_increasing_id()))
     group = ["file", "_start"]
-    starts = stage(_starts(placed, group))
+    starts = _starts(placed, group)
+    if skip_first:
+        opens = F.row_number().over(Window.partitionBy("file").orderBy("_start")) == 1
+        skipped = F.dense_rank().over(Window.orderBy("file"))
+        starts = starts.withColumns({
+            "_from": F.col("_from") + F.when(opens, 1).otherwise(0),
+            "_before": F.col("_before") - skipped + F.when(opens, 1).otherwise(0),
+        })
+    starts = stage(starts)
     few = starts.count() <= BROADCAST_ROWS
-    numbered = _renumbered(placed, F.broadcast(starts) if few else starts, group, out, 1)
+    numbered = _renumbered(placed, F.broadcast(starts) if few else starts, group, out, 1, skip_first)
     return numbered.drop("_start")
 
 
@@ -61,11 +107,15 @@ def _starts(placed: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _renumbered(
-    placed: DataFrame, starts: DataFrame, group: list[str], out: str, first: int
+    placed: DataFrame, starts: DataFrame, group: list[str], out: str, first: int,
+    skip_first: bool = False,
 ) -> DataFrame:
     position = F.col("_before") + F.col("_place") - F.col("_from") + first
     kept = [c for c in placed.columns if c not in ("_task", "_place")]
-    return placed.join(starts, group).select(*kept, position.alias(out))
+    joined = placed.join(starts, group)
+    if skip_first:
+        joined = joined.filter(F.col("_place") >= F.col("_from"))
+    return joined.select(*kept, position.alias(out))
 
 
 def _blocks(df: DataFrame, order: str, summary: Column) -> tuple[DataFrame, DataFrame]:
@@ -89,16 +139,27 @@ def running_last(
     return blocked.join(carried, "_block").withColumn(out, found).drop("_block", "_carry", "_value")
 
 
-def running_next(df: DataFrame, order: str, value: Column, out: str) -> DataFrame:
-    """The first non-NULL ``value`` after each row."""
+def neighbours(df: DataFrame, order: str, value: Column, after: str, before: str) -> DataFrame:
+    """The nearest non-NULL ``value`` after and before each row, not at it."""
     df = df.withColumn("_value", value)
     keyed = F.when(F.col("_value").isNotNull(), F.struct(order, "_value"))
-    blocked, blocks = _blocks(df, order, F.min(keyed))
-    after = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
-    carried = blocks.select("_block", F.min("_summary").over(after)["_value"].alias("_carry"))
-    inside = Window.partitionBy("_block").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    found = F.coalesce(F.first("_value", ignorenulls=True).over(inside), F.col("_carry"))
-    return blocked.join(carried, "_block").withColumn(out, found).drop("_block", "_carry", "_value")
+    blocked, blocks = _blocks(df, order, F.struct(F.min(keyed).alias("low"), F.max(keyed).alias("high")))
+    by_block, inside = Window.orderBy("_block"), Window.partitionBy("_block").orderBy(order)
+    onward, so_far = (1, Window.unboundedFollowing), (Window.unboundedPreceding, -1)
+    carried = blocks.select(
+        "_block",
+        F.min("_summary.low").over(by_block.rowsBetween(*onward))["_value"].alias("_later"),
+        F.max("_summary.high").over(by_block.rowsBetween(*so_far))["_value"].alias("_earlier"),
+    )
+    found = blocked.join(carried, "_block").withColumns({
+        after: F.coalesce(
+            F.first("_value", ignorenulls=True).over(inside.rowsBetween(*onward)), F.col("_later")
+        ),
+        before: F.coalesce(
+            F.last("_value", ignorenulls=True).over(inside.rowsBetween(*so_far)), F.col("_earlier")
+        ),
+    })
+    return found.drop("_block", "_later", "_earlier", "_value")
 
 
 def running_sum(df: DataFrame, order: str, value: Column, out: str) -> DataFrame:

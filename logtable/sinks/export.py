@@ -8,6 +8,7 @@ from logtable.functions.text import cell
 from logtable.operators.annotate import annotate
 from logtable.operators.rows import LINE_NO, data_columns
 from logtable.operators.view import LogView
+from logtable.plans.ordered import ordered
 
 # CSV as the reader of host logs expects it.
 CSV_OPTIONS = {
@@ -26,12 +27,9 @@ def export_csv(
     """
     rows, keys = view.rows(), view.keys()
     if fallback_all and rows.isEmpty():
-        rows, keys = view.df, [F.col(LINE_NO)]
+        rows, keys = view.df, [(F.col(LINE_NO), False)]
     columns = data_columns(view.df)
-    marked = annotate(rows, annotations.select(
-        "row_id", F.col("mark").alias("mark"), F.col("comment").alias("comment")
-    ))
-    marked.orderBy(*keys).select(
+    ordered(annotate(rows, annotations), keys).select(
         *[cell(c).alias(c) for c in columns],
         F.col("mark").alias("Mark"), F.col("comment").alias("Comment"),
     ).write.options(**CSV_OPTIONS).csv(path)

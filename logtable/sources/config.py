@@ -29,7 +29,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
-    row = spark.read.option("wholetext", True).text(path).first()
+    row = spark.read.text(path, wholetext=True).first()
     return row["value"] if row else ""
 
 

@@ -225,8 +225,8 @@ def _mixed_rows(lines: DataFrame, escapes: str) -> DataFrame:
     labelled = stage(_labelled(lines))
     before, kind = F.col("_before"), F.col("_kind")
     copied = labelled.filter((before == COPY) & (kind != "end")).select(
-        LINE_NO, F.array(_copy_fields(F.col("value"), escapes)).alias("rows")
-    )
+        LINE_NO, _copy_fields(F.col("value"), escapes).alias("fields")
+    ).filter(F.size("fields") == len(RAW)).select(LINE_NO, F.array("fields").alias("rows"))
     starts = (before == OUT) & (kind == "insert")
     opens = starts | (before == TUPLES)
     inserted = running_last(

@@ -2,43 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from logtable.functions.text import BOM
 from logtable.operators.rows import LINE_NO, with_roles
-from logtable.plans.ordered import BROADCAST_ROWS, running_last, running_sum
-from logtable.sources.lines import read_lines
+from logtable.plans.ordered import (
+    BROADCAST_ROWS, number_placed, place_scan, running_last, running_sum,
+)
+from logtable.sources.lines import scan_lines
 
 # One field behind its comma: quoted with doubled quotes inside, or plain.
 FIELD = r',("(?:[^"]++|"")*+"|[^",]*+)'
 
 
-def _quote_count(text: Column) -> Column:
-    return F.char_length(text) - F.char_length(F.replace(text, F.lit('"'), F.lit("")))
+def _odd_quotes(text: Column) -> Column:
+    """1 if a line opens or closes a quoted cell that runs over its end, else 0."""
+    quotes = F.char_length(text) - F.char_length(F.replace(text, F.lit('"'), F.lit("")))
+    return F.pmod(quotes, F.lit(2))
 
 
 def csv_records(lines: DataFrame) -> DataFrame:
     """Join the lines of each record: ``(line_no of its first line, file, record)``.
 
-    A record starts where the number of quotes before it is even. If no line has
-    an odd number, which one cheap pass tells, every line is a record.
+    A record starts where the number of quotes before it is even. Blank lines
+    between records are dropped.
     """
-    plain = lines.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
-    odd = F.pmod(_quote_count(F.col("value")), F.lit(2))
-    if plain.filter(odd == 1).isEmpty():
-        records = plain.withColumnRenamed("value", "record")
-    else:
-        counted = running_sum(plain.withColumn("_odd", odd), LINE_NO, F.col("_odd"), "_quotes")
-        opens = F.pmod(F.col("_quotes") - F.col("_odd"), F.lit(2)) == 0
-        placed = running_last(counted, LINE_NO, F.when(opens, F.col(LINE_NO)), "_record")
-        joined = placed.groupBy("_record", "file").agg(
-            F.sort_array(F.collect_list(F.struct(LINE_NO, "value"))).alias("_lines")
-        )
-        records = joined.select(
-            F.col("_record").alias(LINE_NO), "file",
-            F.array_join("_lines.value", "\n").alias("record"),
-        )
-    return records.filter(F.col("record") != "")
+    flagged = lines.withColumn("_odd", _odd_quotes(F.col("value")))
+    counted = running_sum(flagged, LINE_NO, F.col("_odd"), "_quotes")
+    opens = F.pmod(F.col("_quotes") - F.col("_odd"), F.lit(2)) == 0
+    placed = running_last(counted, LINE_NO, F.when(opens, F.col(LINE_NO)), "_record")
+    joined = placed.groupBy("_record", "file").agg(
+        F.sort_array(F.collect_list(F.struct(LINE_NO, "value"))).alias("_lines")
+    )
+    return joined.select(
+        F.col("_record").alias(LINE_NO), "file", F.array_join("_lines.value", "\n").alias("record")
+    ).filter(F.col("record") != "")
 
 
 def _fields(record: Column) -> Column:
@@ -64,25 +62,40 @@ def parse_csv(records: DataFrame, columns: list[str]) -> DataFrame:
     return checked.select(LINE_NO, *cells)
 
 
+def _header(records: DataFrame, path: str) -> list[str]:
+    first = records.orderBy(LINE_NO).limit(1).select(_fields(F.col("record")).alias("f")).first()
+    if first is None:
+        raise ValueError(f"CSV {path!r} has no rows")
+    return [
+        name[1:-1].replace('""', '"') if name.startswith('"') else name
+        for name in (first["f"][0].removeprefix(BOM), *first["f"][1:])
+    ]
+
+
 def read_host_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read CSV files as a log table of strings, large files in parallel.
 
-    Column names come from the first record, as does the header of further
-    files. Line numbers follow the records' order.
+    Column names come from the first record; the first record of every further
+    file is its header too. Line numbers count the records after the headers.
+    If no cell runs over the end of its line, which the first scan tells, lines
+    are records and need no shuffle.
     """
     if not str(path).lower().rstrip("/*").endswith(".csv"):
         raise ValueError(f"unsupported file {path!r} (want .csv; sessions: read_session)")
-    lines = read_lines(spark, path, sep="\n")
-    filled = lines.filter(~F.col("value").isin("", "\r"))
-    first_lines = filled.groupBy("file").agg(F.min(LINE_NO).alias(LINE_NO)).select(LINE_NO)
-    records = csv_records(lines)
-    header = records.orderBy(LINE_NO).limit(1).select(_fields(F.col("record")).alias("f")).first()
-    if header is None:
-        raise ValueError(f"CSV {path!r} has no rows")
-    names = [
-        name[1:-1].replace('""', '"') if name.startswith('"') else name
-        for name in (header["f"][0].removeprefix(BOM), *header["f"][1:])
-    ]
-    few = len(lines.inputFiles()) <= BROADCAST_ROWS
-    body = records.join(F.broadcast(first_lines) if few else first_lines, LINE_NO, "left_anti")
-    return with_roles(parse_csv(body, names), "host")
+    seen = Observation()
+    value = F.regexp_replace("value", r"\r\z", "")
+    placed = place_scan(scan_lines(spark, path, sep="\n").withColumn("value", value).observe(
+        seen, F.count_if((F.col("value") == "") | (_odd_quotes(F.col("value")) == 1)).alias("joined")
+    ))
+    if seen.get["joined"] == 0:
+        names = _header(number_placed(placed).withColumnRenamed("value", "record"), path)
+        records = number_placed(placed, skip_first=True).withColumnRenamed("value", "record")
+    else:
+        every = csv_records(number_placed(placed))
+        names = _header(every, path)
+        headers = every.groupBy("file").agg(F.min(LINE_NO).alias(LINE_NO)).select(LINE_NO)
+        few = len(placed.inputFiles()) <= BROADCAST_ROWS
+        body = every.join(F.broadcast(headers) if few else headers, LINE_NO, "left_anti")
+        counted = running_sum(body, LINE_NO, F.lit(1), "_ordinal")
+        records = counted.select(F.col("_ordinal").alias(LINE_NO), "record")
+    return with_roles(parse_csv(records, names), "host")

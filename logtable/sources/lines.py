@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logtable.plans.ordered import number_scan
+from logtable.plans.ordered import number_placed, place_scan
 
 
 def scan_lines(spark: SparkSession, path: str | list[str], sep: str | None = None) -> DataFrame:
@@ -27,4 +27,4 @@ def read_lines(spark: SparkSession, path: str | list[str], sep: str | None = Non
     The lines are written once as Parquet, so that every later pass sees the
     same numbers even if executors come and go between the passes.
     """
-    return number_scan(scan_lines(spark, path, sep))
+    return number_placed(place_scan(scan_lines(spark, path, sep)))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from logtable.functions.text import gtrim, parse_int
 from logtable.functions.times import epoch_to_date
 from logtable.operators.rows import LINE_NO, with_roles
-from logtable.plans.ordered import number_scan
+from logtable.plans.ordered import number_placed, place_scan
 from logtable.sources.lines import scan_lines
 
 COLUMNS = ("date", "timestamp", "pid", "process", "key", "value")
@@ -59,4 +59,5 @@ def read_stats_log(
     if skipped is not None:
         short = (fields < MIN_FIELDS) & (gtrim("value") != "")
         lines = lines.observe(skipped, F.count_if(short).alias("skipped"))
-    return parse_stats(number_scan(lines.filter(fields >= MIN_FIELDS)), mode, zone)
+    placed = place_scan(lines.filter(fields >= MIN_FIELDS))
+    return parse_stats(number_placed(placed), mode, zone)
