@@ -19,8 +19,9 @@ WHITE_SPACE = (
 
 BOM = "﻿"
 
-DECIMAL_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-INFINITE_NUMBER = r"^(?i)[+-]?inf(?:inity)?\z"
+NUMBER = (
+    r"^(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:[+-]?inf(?:inity)?|nan))\z"
+)
 WHOLE_NUMBER = r"^[+-]?[0-9]+\z"
 
 
@@ -55,14 +56,12 @@ def row_text(columns: Sequence[str], sep: str = "\t") -> Column:
 
 def parse_float(text: Column) -> Column:
     """DOUBLE for number syntax, NULL otherwise or when out of range."""
-    number = F.when(text.rlike(DECIMAL_NUMBER), text.try_cast("double"))
-    infinite = text.rlike(INFINITE_NUMBER)
-    return (
-        F.when(number.isNotNull() & (F.abs(number) < F.lit(float("inf"))), number)
-        .when(infinite & text.startswith("-"), F.lit(float("-inf")))
-        .when(infinite, F.lit(float("inf")))
-        .when(F.lower(text) == "nan", F.lit(float("nan")))
+    number = text.try_cast("double")
+    may_overflow = (
+        (F.char_length(text) > 300) | F.contains(text, F.lit("e")) | F.contains(text, F.lit("E"))
     )
+    out_of_range = may_overflow & (F.abs(number) == float("inf"))
+    return F.when(text.rlike(NUMBER), F.when(~out_of_range, number))
 
 
 def parse_number(col: Column | str) -> Column:

@@ -101,16 +101,21 @@ def _bucket_end(extent: Extent, width: int) -> Column:
     )
 
 
+def _place() -> Column:
+    """Time, then row order, as one fixed-width number: a hash aggregation can keep
+    it in place, where a pair would have every row sorted first."""
+    return F.expr("cast(ts as decimal(20,0)) * 9223372036854775808BD + ord")
+
+
 def _aggregate(agg: str) -> Column:
     """The bucket value. A first reading that is not a number sticks for max and min."""
-    when = F.struct("ts", "ord")
     if agg == "last":
-        return F.max_by("val", when)
+        return F.max_by("val", "at")
     if agg == "avg":
         return F.avg("val")
     real = F.when(~F.isnan("val"), F.col("val"))
     best = F.max(real) if agg == "max" else F.min(real)
-    first = F.min_by("val", when)
+    first = F.min_by("val", "at")
     return F.when(F.isnan(first), first).otherwise(best)
 
 
@@ -131,12 +136,13 @@ def bucket_series(
     agg = _mode(agg, ("last", "avg", "max", "min"))
     fill = _mode(fill, ("hold", "none"))
     extent = extent or series_extent(points, max_keys)
-    buckets = (
-        points.withColumn("x", _bucket(extent, width))
-        .filter(F.col("x") < width)
-        .groupBy("series", "x")
-        .agg(_aggregate(agg).alias("value"), F.max_by("val", F.struct("ts", "ord")).alias("held"))
-    )
+    placed = points.select("series", "val", _bucket(extent, width).alias("x"), _place().alias("at"))
+    if width == 1:  # one bucket takes only the earliest time
+        placed = placed.filter("x = 0")
+    values = [_aggregate(agg).alias("value")]
+    if fill == "hold":
+        values.append(F.max_by("val", "at").alias("held"))
+    buckets = placed.groupBy("series", "x").agg(*values)
     if extent.series:
         names = points.sparkSession.createDataFrame([(s,) for s in extent.series], "series string")
     else:

@@ -144,20 +144,25 @@ def neighbours(df: DataFrame, order: str, value: Column, after: str, before: str
     df = df.withColumn("_value", value)
     keyed = F.when(F.col("_value").isNotNull(), F.struct(order, "_value"))
     blocked, blocks = _blocks(df, order, F.struct(F.min(keyed).alias("low"), F.max(keyed).alias("high")))
-    by_block, inside = Window.orderBy("_block"), Window.partitionBy("_block").orderBy(order)
-    onward, so_far = (1, Window.unboundedFollowing), (Window.unboundedPreceding, -1)
+    # Looking ahead is looking back in descending order: frames that only grow
+    # are computed in one pass, frames that shrink would start over at every row.
+    so_far = (Window.unboundedPreceding, -1)
     carried = blocks.select(
         "_block",
-        F.min("_summary.low").over(by_block.rowsBetween(*onward))["_value"].alias("_later"),
-        F.max("_summary.high").over(by_block.rowsBetween(*so_far))["_value"].alias("_earlier"),
+        F.min("_summary.low").over(Window.orderBy(F.desc("_block")).rowsBetween(*so_far))["_value"]
+        .alias("_later"),
+        F.max("_summary.high").over(Window.orderBy("_block").rowsBetween(*so_far))["_value"]
+        .alias("_earlier"),
     )
+    inside = Window.partitionBy("_block")
+
+    def nearest(direction: Column) -> Column:
+        frame = inside.orderBy(direction).rowsBetween(*so_far)
+        return F.last("_value", ignorenulls=True).over(frame)
+
     found = blocked.join(carried, "_block").withColumns({
-        after: F.coalesce(
-            F.first("_value", ignorenulls=True).over(inside.rowsBetween(*onward)), F.col("_later")
-        ),
-        before: F.coalesce(
-            F.last("_value", ignorenulls=True).over(inside.rowsBetween(*so_far)), F.col("_earlier")
-        ),
+        after: F.coalesce(nearest(F.desc(order)), F.col("_later")),
+        before: F.coalesce(nearest(F.asc(order)), F.col("_earlier")),
     })
     return found.drop("_block", "_later", "_earlier", "_value")
 

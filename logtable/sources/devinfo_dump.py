@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -34,7 +35,8 @@ OUT, COPY, HEAD, TUPLES = 0, 1, 2, 3
 MAX_DEPTH = 7
 STATES = TUPLES + 2 * (MAX_DEPTH + 1)
 
-MARKS = re.compile(r"['();]")
+QUOTED = re.compile(r"'[^']*'?")
+BRACKETS = re.compile(r"[()]")
 VALUES = re.compile("values", re.IGNORECASE | re.ASCII)
 TOKEN = re.compile(r"'(?:[^']|'')*'|[(),]|[^'(),]+")
 
@@ -70,22 +72,16 @@ def _copy_fields(value: Column, escapes: str) -> Column:
 
 # --- INSERT statements ----------------------------------------------------------
 
-def _scan(text: str, quoted: bool, depth: int) -> tuple[bool, bool, int]:
-    """Whether the statement ends in ``text``, and the quote and depth after it."""
-    ended = False
-    for mark in MARKS.finditer(text):
-        char = mark.group()
-        if char == "'":
-            quoted = not quoted
-        elif quoted:
-            continue
-        elif char == "(":
-            depth += 1
-        elif char == ")":
-            depth = max(0, depth - 1)
-        else:
-            ended = True
-    return ended, quoted, depth
+@lru_cache(maxsize=16)
+def _scan(text: str, quoted: int) -> tuple[bool, int, int, int]:
+    """What a piece of a VALUES list does: whether it ends the statement, whether
+    it ends inside quotes, and how far it moves and lowers the depth of brackets."""
+    outside = QUOTED.sub("", "'" + text if quoted else text)
+    depth = lowest = 0
+    for bracket in BRACKETS.findall(outside):
+        depth += 1 if bracket == "(" else -1
+        lowest = min(lowest, depth)
+    return ";" in outside, (text.count("'") + quoted) % 2, depth, lowest
 
 
 def _after(state: int, kind: str, value: str) -> int:
@@ -94,7 +90,7 @@ def _after(state: int, kind: str, value: str) -> int:
         return OUT if kind == "end" else COPY
     if state == OUT and kind != "insert":
         return COPY if kind == "copy" else OUT
-    ended, quoted, depth, text = False, False, 0, value
+    ended, depth, quoted, text = False, 0, 0, value
     if state in (OUT, HEAD):
         found = VALUES.search(value)
         if not found:
@@ -102,9 +98,10 @@ def _after(state: int, kind: str, value: str) -> int:
         ended, text = ";" in value[:found.start()], value[found.end():]
     else:
         depth, quoted = divmod(state - TUPLES, 2)
-    over, quoted, depth = _scan(text, bool(quoted), depth)
+    over, quoted, moved, lowest = _scan(text, quoted)
     if ended or over:
         return OUT
+    depth = moved + max(depth, -lowest)  # a bracket too many closes nothing
     if depth > MAX_DEPTH:
         raise ValueError("malformed INSERT VALUES: brackets nested too deeply")
     return TUPLES + 2 * depth + quoted

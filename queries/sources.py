@@ -9,6 +9,7 @@ from logtable.operators.devinfo import (
     list_groups,
 )
 from logtable.plans.ordered import in_order
+from logtable.plans.staging import stage
 from logtable.sources.config import field_mappings
 from logtable.sources.devinfo_dump import RAW, parse_devinfo, read_devinfo_dump
 from logtable.sources.lines import read_lines
@@ -29,8 +30,8 @@ def query(name: str, sql: str):
 
 # --- plugin logs --------------------------------------------------------------------------
 
-def plugin_lines(spark, sf_dir) -> DataFrame:
-    """Three lines per event: a head, a blank and a body, with levels in either place."""
+def plugin_texts(spark, sf_dir) -> DataFrame:
+    """Four lines per event: a head, a blank, a body and a blank, with levels in either place."""
     ts, n = F.col("ts").cast("timestamp"), F.col("event_id")
     shard = F.concat(F.lit("sw-"), (n % 20 + 1).cast("string"))
     micros = F.unix_micros(ts).cast("string")
@@ -49,12 +50,16 @@ def plugin_lines(spark, sf_dir) -> DataFrame:
         F.date_format(ts, "EEE MMM dd HH:mm:ss yyyy"), F.lit(": "), payload,
     )
     body = F.concat(F.lit("value sw:"), F.col("value").cast("string"))
-    lines = F.array(head, F.lit(""), body, F.lit(""))
-    return read(spark, sf_dir, "events").select(n, F.posexplode(lines)).select(
-        (n * 4 + F.col("pos") + 1).alias("line_no"), F.col("col").alias("value")
+    return read(spark, sf_dir, "events").select(
+        n.alias("line_no"), F.concat_ws("\n", head, F.lit(""), body, F.lit("")).alias("value")
     )
 
 
+def plugin_lines(spark, sf_dir) -> DataFrame:
+    lines = plugin_texts(spark, sf_dir).select("line_no", F.posexplode(F.split("value", "\n")))
+    return lines.select((F.col("line_no") * 4 + F.col("pos")).alias("line_no"), F.col("col").alias("value"))
+
+
 PLUGIN = """SELECT event_id + 1 AS line_no,
   CASE WHEN event_id % 3 = 0 THEN 'sw' ELSE 'sw-' || (event_id % 20 + 1) END AS process,
   CAST(user_id AS VARCHAR) AS pid, substr(CAST(epoch_us(ts) AS VARCHAR), 1, 10) || '.' || substr(CAST(epoch_us(ts) AS VARCHAR), 11, 6) AS epoch,
@@ -74,7 +79,7 @@ def plugin_parse(spark, sf_dir):
 
 @query("plugin_file", PLUGIN)
 def plugin_file(spark, sf_dir):
-    path = write_lines(plugin_lines(spark, sf_dir))
+    path = write_lines(plugin_texts(spark, sf_dir))  # a record stays in one file
     return read_plugin_log(spark, path).select("line_no", *PLUGIN_COLUMNS)
 
 
@@ -221,7 +226,7 @@ RAW_SQL = "category, id, time, field_name, field_value, lower(field_value) AS fi
 
 @query("devinfo_copy", f"WITH {ATTRIBUTES} SELECT {RAW_SQL} FROM attributes")
 def devinfo_copy(spark, sf_dir):
-    return parse_devinfo(copy_lines(spark, sf_dir)).select(*RAW)
+    return parse_devinfo(stage(copy_lines(spark, sf_dir))).select(*RAW)
 
 
 @query("devinfo_copy_file", f"""WITH {ATTRIBUTES}
@@ -237,7 +242,7 @@ SELECT row_number() OVER (ORDER BY line_no) AS line_no, {RAW_SQL} FROM both_part
 
 @query("devinfo_insert", INSERTED)
 def devinfo_insert(spark, sf_dir):
-    return parse_devinfo(insert_lines(spark, sf_dir)).select("line_no", *RAW)
+    return parse_devinfo(stage(insert_lines(spark, sf_dir))).select("line_no", *RAW)
 
 
 @query("devinfo_insert_file", INSERTED)

@@ -54,7 +54,7 @@ def line_numbers(spark, sf_dir):
     return with_line_no(read(spark, sf_dir, "lineitem").select(*LINE_KEYS), *LINE_KEYS)
 
 
-@query("column_profile", """SELECT unnest(['event', 'user', 'kind', 'none', 'blank', 'message']) AS column,
+@query("column_profile", """SELECT unnest(['event', 'account', 'kind', 'none', 'blank', 'message']) AS column,
   unnest([1, 2, 3, 4, 5, 6]) AS ordinal,
   unnest(['normal', 'normal', 'normal', 'normal', 'normal', 'primary']) AS role,
   unnest([max(trim(CAST(event_id AS VARCHAR)) <> ''), max(trim(CAST(user_id AS VARCHAR)) <> ''),
@@ -192,7 +192,7 @@ def sorted_column(df, column, desc=False):
     CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE round(o_totalprice) END DESC, o_orderkey) AS pos
 FROM orders""")
 def sort_numbers(spark, sf_dir):
-    price = F.format_number(F.rint("o_totalprice"), 0)  # with thousands commas
+    price = F.format_number(F.round("o_totalprice"), 0)  # with thousands commas
     orders = read(spark, sf_dir, "orders").select(
         F.when(F.col("o_custkey") % 7 == 0, " ").otherwise(price).alias("price"),
         (F.col("o_orderkey") + 1).alias("line_no"),

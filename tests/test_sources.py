@@ -19,7 +19,7 @@ from logtable.sources.stats_log import parse_stats, read_stats_log
 def splits(request, spark):
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     if request.param == "many splits":
-        spark.conf.set(names[0], "512")
+        spark.conf.set(names[0], "2048")
         spark.conf.set(names[1], "0")
     yield request.param
     for name in names:
