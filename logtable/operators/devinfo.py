@@ -127,8 +127,8 @@ def decode_value(raw: Column, folded: Column, mapping: Column) -> Column:
 def apply_mappings(fields: DataFrame, mappings: DataFrame) -> DataFrame:
     """The decoded table. A mapping for (group, field) wins over (category, field).
 
-    ``mappings`` comes from :func:`logtable.sources.config.field_mappings`; its
-    size is known to the planner, which picks the join by it.
+    ``mappings`` comes from :func:`logtable.sources.config.field_mappings`, which
+    marks it for broadcast if it is small enough.
     """
     by_group = mappings.select(
         F.col("scope").alias("group_category"), "field_name", F.col("mapping").alias("_by_group")

@@ -13,6 +13,7 @@ from logtable.operators.filters import filter_marked, filter_regex
 from logtable.operators.sorting import ordering
 from logtable.operators.windows import TimeWindow, filter_window
 from logtable.plans.ordered import Key, in_order, ordered
+from logtable.plans.staging import stage
 
 
 @dataclass(frozen=True)
@@ -64,19 +65,37 @@ class LogView:
         df = filter_window(df, self.window, self.ts)
         return filter_regex(df, self.pattern, self.pattern_on)
 
-    def keys(self, backwards: bool = False) -> list[Key]:
-        return ordering(self.rows(), self.sort_by, self.desc, backwards=backwards)
+    @property
+    def is_filtered(self) -> bool:
+        in_time = self.window is not None and self.window.enabled
+        return self.annotations is not None or in_time or bool(self.pattern and self.pattern_on)
+
+    def settled(self) -> DataFrame:
+        """The rows of the view, staged if filters had to find them.
+
+        Sorting reads its input more than once: to see what kind of values it
+        sorts, to choose the ranges, and to move the rows.
+        """
+        return stage(self.rows()) if self.is_filtered else self.df
+
+    def keys(self, rows: DataFrame, backwards: bool = False) -> list[Key]:
+        """Sort keys for ``rows`` of this view."""
+        return ordering(rows, self.sort_by, self.desc, backwards=backwards)
 
     def to_df(self) -> DataFrame:
         """The view in order."""
-        return ordered(self.rows(), self.keys())
+        rows = self.settled()
+        return ordered(rows, self.keys(rows))
 
     def positions(self) -> DataFrame:
         """The view with dense positions."""
-        return in_order(self.rows(), self.keys())
+        rows = self.settled()
+        return in_order(rows, self.keys(rows))
 
     def page(self, start: int, size: int) -> DataFrame:
-        return positions.page(self.rows(), self.keys(), start, size)
+        rows = self.settled()
+        return positions.page(rows, self.keys(rows), start, size)
 
     def last(self, size: int) -> DataFrame:
-        return positions.last(self.rows(), self.keys(backwards=True), size)
+        rows = self.settled()
+        return positions.last(rows, self.keys(rows, backwards=True), size)

@@ -118,20 +118,19 @@ def _renumbered(
     return joined.select(*kept, position.alias(out))
 
 
-def _blocks(df: DataFrame, order: str, summary: Column) -> tuple[DataFrame, DataFrame]:
-    blocked = df.withColumn("_block", F.floor(F.col(order) / BLOCK).cast("bigint"))
-    return blocked, blocked.groupBy("_block").agg(summary.alias("_summary"))
+def _blocked(df: DataFrame, order: str) -> DataFrame:
+    return df.withColumn("_block", F.expr(f"`{order}` div {BLOCK}"))
 
 
 def running_last(
     df: DataFrame, order: str, value: Column, out: str, inclusive: bool = True
 ) -> DataFrame:
     """The last non-NULL ``value`` before each row, or at it when ``inclusive``."""
-    df = df.withColumn("_value", value)
-    keyed = F.when(F.col("_value").isNotNull(), F.struct(order, "_value"))
-    blocked, blocks = _blocks(df, order, F.max(keyed))
+    blocked = _blocked(df.withColumn("_value", value), order)
+    at = F.when(F.col("_value").isNotNull(), F.col(order))
+    blocks = blocked.groupBy("_block").agg(F.max_by("_value", at).alias("_last"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("_block", F.max("_summary").over(before)["_value"].alias("_carry"))
+    carried = blocks.select("_block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     inside = Window.partitionBy("_block").orderBy(order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
@@ -141,36 +140,35 @@ def running_last(
 
 def neighbours(df: DataFrame, order: str, value: Column, after: str, before: str) -> DataFrame:
     """The nearest non-NULL ``value`` after and before each row, not at it."""
-    df = df.withColumn("_value", value)
-    keyed = F.when(F.col("_value").isNotNull(), F.struct(order, "_value"))
-    blocked, blocks = _blocks(df, order, F.struct(F.min(keyed).alias("low"), F.max(keyed).alias("high")))
+    blocked = _blocked(df.withColumn("_value", value), order)
+    at = F.when(F.col("_value").isNotNull(), F.col(order))
+    blocks = blocked.groupBy("_block").agg(
+        F.min_by("_value", at).alias("_first"), F.max_by("_value", at).alias("_last")
+    )
     # Looking ahead is looking back in descending order: frames that only grow
     # are computed in one pass, frames that shrink would start over at every row.
     so_far = (Window.unboundedPreceding, -1)
+
+    def nearest(column: str, window) -> Column:
+        return F.last(column, ignorenulls=True).over(window.rowsBetween(*so_far))
+
     carried = blocks.select(
         "_block",
-        F.min("_summary.low").over(Window.orderBy(F.desc("_block")).rowsBetween(*so_far))["_value"]
-        .alias("_later"),
-        F.max("_summary.high").over(Window.orderBy("_block").rowsBetween(*so_far))["_value"]
-        .alias("_earlier"),
+        nearest("_first", Window.orderBy(F.desc("_block"))).alias("_later"),
+        nearest("_last", Window.orderBy("_block")).alias("_earlier"),
     )
     inside = Window.partitionBy("_block")
-
-    def nearest(direction: Column) -> Column:
-        frame = inside.orderBy(direction).rowsBetween(*so_far)
-        return F.last("_value", ignorenulls=True).over(frame)
-
     found = blocked.join(carried, "_block").withColumns({
-        after: F.coalesce(nearest(F.desc(order)), F.col("_later")),
-        before: F.coalesce(nearest(F.asc(order)), F.col("_earlier")),
+        after: F.coalesce(nearest("_value", inside.orderBy(F.desc(order))), F.col("_later")),
+        before: F.coalesce(nearest("_value", inside.orderBy(order)), F.col("_earlier")),
     })
     return found.drop("_block", "_later", "_earlier", "_value")
 
 
 def running_sum(df: DataFrame, order: str, value: Column, out: str) -> DataFrame:
     """The sum of ``value`` over each row and the rows before it."""
-    df = df.withColumn("_value", value)
-    blocked, blocks = _blocks(df, order, F.sum("_value"))
+    blocked = _blocked(df.withColumn("_value", value), order)
+    blocks = blocked.groupBy("_block").agg(F.sum("_value").alias("_summary"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(
         "_block", F.coalesce(F.sum("_summary").over(before), F.lit(0)).alias("_carry")

@@ -25,9 +25,11 @@ def export_csv(
     An empty view writes every row in line order unless ``fallback_all`` is off.
     Part files follow each other in order, each with a header.
     """
-    rows, keys = view.rows(), view.keys()
+    rows = view.settled()
     if fallback_all and rows.isEmpty():
         rows, keys = view.df, [(F.col(LINE_NO), False)]
+    else:
+        keys = view.keys(rows)
     columns = data_columns(view.df)
     ordered(annotate(rows, annotations), keys).select(
         *[cell(c).alias(c) for c in columns],

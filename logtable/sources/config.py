@@ -20,6 +20,7 @@ MAPPING_SCHEMA = (
     "scope string, field_name string, mapping struct<label:string, desc:string, hide:boolean,"
     " enum:map<string,string>, unit:string, format:string, bool_normalize:boolean>"
 )
+BROADCAST_FIELDS = 50_000
 SUFFIXES = (".yaml", ".yml", ".json")
 
 
@@ -100,7 +101,10 @@ def java_format(shape: str) -> str:
 
 
 def field_mappings(spark: SparkSession, source: Mapping[str, Any] | str) -> DataFrame:
-    """``scope -> field -> mapping`` as a table with one row per field."""
+    """``scope -> field -> mapping`` as a table with one row per field.
+
+    Its size is known here, so it is marked for broadcast up to ``BROADCAST_FIELDS``.
+    """
     rows = []
     for scope, fields in load_config(spark, source).items():
         for name, entry in (fields or {}).items():
@@ -112,7 +116,8 @@ def field_mappings(spark: SparkSession, source: Mapping[str, Any] | str) -> Data
                 java_format(entry["format"]) if entry.get("format") else "",
                 bool(entry.get("bool_normalize")),
             )))
-    return spark.createDataFrame(rows, MAPPING_SCHEMA)
+    table = spark.createDataFrame(rows, MAPPING_SCHEMA)
+    return F.broadcast(table) if len(rows) <= BROADCAST_FIELDS else table
 
 
 def read_presets(spark: SparkSession, path: str) -> DataFrame:

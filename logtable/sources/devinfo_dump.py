@@ -197,7 +197,7 @@ def _labelled(lines: DataFrame) -> DataFrame:
     starts in. Each block first tells, for every state, where it leads; these
     effects (one row per block) are chained in order; then every block is read.
     """
-    blocked = lines.withColumn("_block", F.floor(F.col(LINE_NO) / BLOCK).cast("bigint"))
+    blocked = lines.withColumn("_block", F.expr(f"{LINE_NO} div {BLOCK}"))
     effects = blocked.groupBy("_block").applyInPandas(
         _block_effect, "_block bigint, _ends array<int>"
     )
@@ -247,9 +247,9 @@ def _mixed_rows(lines: DataFrame, escapes: str) -> DataFrame:
 
 def _copy_rows(lines: DataFrame, escapes: str) -> DataFrame:
     """``(line_no, fields)`` of a dump of COPY blocks only."""
-    marked = F.when(F.col("_kind").isin("copy", "end"), F.col("_kind"))
-    inside = running_last(lines, LINE_NO, marked, "_last", inclusive=False)
-    return inside.filter((F.col("_last") == "copy") & (F.col("_kind") != "end")).select(
+    opens = F.when(F.col("_kind").isin("copy", "end"), F.col("_kind") == "copy")
+    inside = running_last(lines, LINE_NO, opens, "_inside", inclusive=False)
+    return inside.filter(F.col("_inside") & (F.col("_kind") != "end")).select(
         LINE_NO, _copy_fields(F.col("value"), escapes).alias("fields")
     )
 
