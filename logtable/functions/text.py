@@ -46,7 +46,9 @@ def gtrim(col: Column | str) -> Column:
 
 def gfold(col: Column | str) -> Column:
     """Lower-case character by character, without context or expansion rules."""
-    return F.lower(F.translate(as_column(col), "Σİ", "σi"))
+    col = as_column(col)
+    special = F.contains(col, F.lit("Σ")) | F.contains(col, F.lit("İ"))
+    return F.lower(F.when(special, F.translate(col, "Σİ", "σi")).otherwise(col))
 
 
 def row_text(columns: Sequence[str], sep: str = "\t") -> Column:
