@@ -24,9 +24,10 @@ def parse_stats(lines: DataFrame, mode: str = "FAILFAST", zone: str = "UTC") ->
     Lines with fewer than six fields are left out. A time or process id that is
     no number fails the job, or drops the line with ``mode='DROP'``.
     """
-    split = lines.select(LINE_NO, _fields(F.col("value")).alias("f")).filter(
-        F.size("f") >= MIN_FIELDS
-    )
+    # As the output of a generator the fields are split once per line; as a plain
+    # expression they would be split again in the filters and for every column.
+    once = F.explode(F.array(_fields(F.col("value"))))
+    split = lines.select(LINE_NO, once.alias("f")).filter(F.size("f") >= MIN_FIELDS)
     typed = split.select(
         LINE_NO, "f", parse_int(F.col("f")[1]).alias("at"), parse_int(F.col("f")[3]).alias("id")
     )
