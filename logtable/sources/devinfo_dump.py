@@ -250,7 +250,7 @@ def _copy_rows(lines: DataFrame, escapes: str) -> DataFrame:
     opens = F.when(F.col("_kind").isin("copy", "end"), F.col("_kind") == "copy")
     inside = running_last(lines, LINE_NO, opens, "_inside", inclusive=False)
     return inside.filter(F.col("_inside") & (F.col("_kind") != "end")).select(
-        LINE_NO, _copy_fields(F.col("value"), escapes).alias("fields")
+        LINE_NO, F.explode(F.array(_copy_fields(F.col("value"), escapes))).alias("fields")
     )
 
 

@@ -51,7 +51,8 @@ def _unquoted(field: Column) -> Column:
 def parse_csv(records: DataFrame, columns: list[str]) -> DataFrame:
     """Split records into cells. A malformed record, or one with another number of
     fields than the header, fails the job whichever columns are read."""
-    split = records.withColumn("_fields", _fields(F.col("record")))
+    # The output of a generator is worked out once, not again for every column.
+    split = records.withColumn("_fields", F.explode(F.array(_fields(F.col("record")))))
     taken = F.aggregate("_fields", F.lit(0), lambda total, f: total + F.char_length(f) + 1)
     whole = (taken == F.char_length("record") + 1) & (F.size("_fields") == len(columns))
     complaint = F.concat(F.lit("malformed CSV record at line "), F.col(LINE_NO).cast("string"))
