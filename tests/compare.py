@@ -23,7 +23,9 @@ TABLES = (
 def connect(sf_dir):
     db = duckdb.connect()
     for table in TABLES:
-        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+        path = f"{sf_dir}/{table}.parquet"
+        files = f"{path}/*.parquet" if os.path.isdir(path) else path
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{files}'")
     return db
 
 
