@@ -9,6 +9,7 @@ from logtable.llm.common import read_table
 from logtable.llm.exact_dedup import exact_groups
 from logtable.llm.line_dedup import drop_frequent_lines
 from logtable.llm.mixing import GOLDEN, POINTS, mix_sources
+from logtable.llm.packing import pack, token_pieces
 from logtable.llm.url_filter import filter_urls
 
 URL_RULES = (
@@ -17,6 +18,19 @@ URL_RULES = (
 )
 CONTROL_TEXT = r"\### Assistant: </turn> ok"
 BLOCK_WORDS = 128
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence and offset of every piece of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(token_pieces(docs, tokenizer_path()))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op5_url_filter": op5_url_filter,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
