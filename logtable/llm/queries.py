@@ -10,6 +10,7 @@ from logtable.llm.exact_dedup import exact_groups
 from logtable.llm.line_dedup import drop_frequent_lines
 from logtable.llm.mixing import GOLDEN, POINTS, mix_sources
 from logtable.llm.packing import pack, token_pieces
+from logtable.llm.toxicity import learn, score_texts
 from logtable.llm.url_filter import filter_urls
 
 URL_RULES = (
@@ -33,6 +34,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(docs, tokenizer_path()))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return score_texts(docs, learn(docs, labels))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, longest rule and verdict of every page's URL."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
@@ -75,6 +83,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_toxicity": op3_toxicity,
     "op5_url_filter": op5_url_filter,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
