@@ -9,6 +9,7 @@ from logtable.llm.common import read_table
 from logtable.llm.exact_dedup import exact_groups
 from logtable.llm.line_dedup import drop_frequent_lines
 from logtable.llm.mixing import GOLDEN, POINTS, mix_sources
+from logtable.llm.near_dedup import near_duplicates
 from logtable.llm.packing import pack, token_pieces
 from logtable.llm.toxicity import learn, score_texts
 from logtable.llm.url_filter import filter_urls
@@ -41,6 +42,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, learn(docs, labels))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near-duplicates that every document belongs to."""
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, longest rule and verdict of every page's URL."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
@@ -84,6 +90,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_near_dedup": op4_near_dedup,
     "op5_url_filter": op5_url_filter,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
@@ -95,6 +102,25 @@ _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL = {
+    "op4_near_dedup": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS uid, len(any_value(s)) AS n FROM shingled WHERE len(s) > 0 GROUP BY 1),
+sets AS (SELECT uid, n, unnest(s) AS shingle FROM classes),
+common AS (
+  SELECT x.uid AS a, y.uid AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c
+  FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.uid != y.uid GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (na + nb - c)),
+reached(node, other) AS (
+  SELECT uid, uid FROM classes UNION SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a),
+smallest AS (SELECT node, min(other) AS component FROM reached GROUP BY node)
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id,
+  d.doc_id = coalesce(m.component, d.doc_id) AS kept
+FROM shingled d LEFT JOIN classes c ON len(d.s) > 0 AND list_sort(d.s) = c.s LEFT JOIN smallest m ON m.node = c.uid""",
     "op5_url_filter": f"""
 WITH tails AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS tail
