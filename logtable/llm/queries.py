@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logtable.llm.ann import nearest
 from logtable.llm.chat import LEARNT, format_chats, read_chats
 from logtable.llm.common import read_table
 from logtable.llm.exact_dedup import exact_groups
@@ -35,6 +36,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(docs, tokenizer_path()))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +95,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_ann": op2_ann,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_url_filter": op5_url_filter,
