@@ -12,6 +12,7 @@ from logtable.llm.line_dedup import drop_frequent_lines
 from logtable.llm.mixing import GOLDEN, POINTS, mix_sources
 from logtable.llm.near_dedup import near_duplicates
 from logtable.llm.packing import pack, token_pieces
+from logtable.llm.substring_dedup import remove_repeats
 from logtable.llm.toxicity import learn, score_texts
 from logtable.llm.url_filter import filter_urls
 
@@ -59,6 +60,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without passages that smaller documents have."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without the lines found in ten documents or more."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -99,6 +106,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op9_chat_format": op9_chat_format,
@@ -145,6 +153,21 @@ fits AS (
   GROUP BY p.page_id)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f USING (page_id)""",
+    "op6_substring_dedup": """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words WHERE len(w) >= 50),
+windows AS (SELECT doc_id, s, hash(w[s:s + 49]) AS h, md5(array_to_string(w[s:s + 49], ' ')) AS m FROM starts),
+firsts AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY h, m) AS first FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS pos FROM firsts WHERE first < doc_id),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words),
+kept AS (
+  SELECT p.doc_id, count(g.pos) AS n_removed,
+    sha256(coalesce(string_agg(p.word, ' ' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+  coalesce(k.kept_sha256, sha256('')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (doc_id)""",
     "op7_line_dedup": f"""
 WITH pieces AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM pieces),
