@@ -18,19 +18,22 @@ null label is no label; rows that repeat are scored alike.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logtable.plans.staging import stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEM = 4
+TOXIC_FROM = 0.5
 SAMPLE_ROWS, MAX_TERMS, MIN_ROWS = 20_000, 4096, 3
 #: Chi-square at one degree of freedom that chance exceeds once in a hundred thousand times.
 CHI_SQUARE = 19.5
@@ -146,11 +149,12 @@ def learn(
         np.array([r["label"] for r in data], float), kept)
 
 
-def score_texts(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for each of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model | None):
+    """A function of a text column: its score."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, remembered = shared.value, {}
 
         def numbers(word: str) -> tuple[int, ...]:
@@ -159,21 +163,21 @@ def score_texts(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", te
             found = remembered[word] = tuple(model.terms[t] for t in word_terms(word) if t in model.terms)
             return found
 
-        def margin(text: str | None) -> float:
+        def probability(text: str | None) -> float:
             if model is None:
-                return -np.inf
+                return 0.0
             found = {n for word in words_of(text) for n in (remembered[word] if word in remembered else numbers(word))}
-            return model.margin(sorted(found))
+            return 1 / (1 + math.exp(-min(max(model.margin(sorted(found)), -700.0), 700.0)))
 
-        for batch in batches:
-            margins = np.array([margin(t.as_py()) for t in batch.column(2)], float)
-            scores = 1 / (1 + np.exp(-np.clip(margins, -700, 700))) if model else np.zeros(len(margins))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))],
-                ["doc_id", "held_out", "score", "predicted"])
+        for texts in batches:
+            yield pd.Series([probability(t) for t in texts], dtype="float64")
+
+    return score
 
-    read = docs.select(
+
+def score_texts(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for each of ``docs``."""
+    scored = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"),
-        F.col(f"`{text}`").cast("string").alias("text"))
-    kind = read.schema["doc_id"].dataType.simpleString()
-    return read.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+        scorer(docs.sparkSession, model)(F.col(f"`{text}`").cast("string")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
