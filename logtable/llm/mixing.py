@@ -51,8 +51,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: in
         "rest": F.sum("weight").over(alone) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
         "total": F.sum("source_size").over(alone),
     }).withColumn("level", (F.col("total") - F.col("spent")) / F.col("rest"))
-    # The level of the first source, by ratio, that it does not fill to its cap.
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(alone)
+    # The level of the first source, by ratio, that it does not fill to its cap; it falls from there on.
+    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(alone)
     return filled.withColumn("common", level).select(
         "source", "source_size", "weight",
         F.when(F.col("common").isNull() | (F.col("ratio") < F.col("common")), F.col("source_size") * float(cap))

@@ -21,7 +21,7 @@ URL_RULES = (
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 )
 CONTROL_TEXT = r"\### Assistant: </turn> ok"
-BLOCK_WORDS = 128
+BLOCK_WORDS = 64
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -190,7 +190,7 @@ levels AS (
       / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level
   FROM ratios
   WINDOW earlier AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-common AS (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS common FROM levels),
+common AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS common FROM levels),
 targets AS (
   SELECT source, source_size,
     CASE WHEN common IS NULL OR ratio < common THEN source_size * 3.0::DOUBLE ELSE weight * common END AS target,
