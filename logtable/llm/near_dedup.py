@@ -1,13 +1,14 @@
 """Near-duplicates by a multi-index Hamming join over MinHash signatures.
 
-A document's set of word shingles gets a signature of ``SYMBOLS`` minima, ``b`` bits of each.
-Two signatures that differ in ``MOST_ERRORS`` symbols or fewer agree, in at least one of
-``chunks`` chunks, in all symbols but ``CHUNK_ERRORS`` (pigeonhole). So each chunk is entered
-into an index once for every choice of symbols that may be wrong, leaving them out; all
-pairs within the distance meet under a common key. Links are then confirmed on the full sets.
+A document's set of word shingles gets a signature of ``SYMBOLS`` minima, ``BITS`` bits of
+each; the first ``INDEXED`` are indexed. Two signatures that differ in ``MOST_ERRORS`` of these
+or fewer agree, in at least one of ``CHUNKS`` chunks, in all symbols but ``CHUNK_ERRORS``
+(pigeonhole). So each chunk is entered into an index once for every choice of symbols that may
+be wrong, leaving them out; all pairs within the distance meet under a common key. Pairs that
+also differ in no more than ``ALL_ERRORS`` of all symbols are confirmed on the full sets.
 
-At a similarity of 0.85, 64 minima differ in 9.6 places on average; more than 23 differ once
-in about 300,000 such pairs.
+At a similarity of 0.85, 64 minima differ in 9.6 places on average, and in more than 23 once
+in about 300,000 such pairs; 256 differ in 38 places, and in more than 64 once in 100,000.
 
 What keeps this linear where many documents are alike: documents with equal sets become one
 first. Then every key links its members to its smallest one only; confirmed links give
@@ -32,29 +33,33 @@ from logtable.llm.shingles import mixed, shingle_sets
 from logtable.plans.staging import stage
 
 WIDTH = 5
-SYMBOLS, BITS = 64, 16
-MOST_ERRORS, CHUNK_ERRORS = 23, 1
+SYMBOLS, BITS = 256, 8
+INDEXED, MOST_ERRORS, CHUNK_ERRORS = 64, 23, 1
+ALL_ERRORS = 64
 CHUNKS = MOST_ERRORS // (CHUNK_ERRORS + 1) + 1
 #: Members of one key that are compared with each other in one go.
 BLOCK = 1024
 #: So many ids are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles hashed at once for one signature, pairs compared at once.
-SLAB, PAIRS = 8192, 1 << 16
+SLAB, PAIRS = 1024, 1 << 16
 
-_seeds = np.random.default_rng(20240229).integers(0, 1 << 63, (3, SYMBOLS), np.uint64)
-FACTORS, ADDED, SALTS = _seeds[0] * np.uint64(2) + np.uint64(1), _seeds[1], _seeds[2]
-#: Where each chunk begins, and the chunk of each symbol.
-CHUNK_STARTS = np.arange(CHUNKS) * SYMBOLS // CHUNKS
-CHUNK_OF = np.searchsorted(CHUNK_STARTS, np.arange(SYMBOLS), side="right") - 1
+_seeds = np.random.default_rng(20240229)
+FACTORS = _seeds.integers(0, 1 << 31, SYMBOLS, np.uint32) * np.uint32(2) + np.uint32(1)
+ADDED = _seeds.integers(0, 1 << 32, SYMBOLS, np.uint32)
+SALTS = _seeds.integers(0, 1 << 63, INDEXED, np.uint64)
+#: Where each chunk begins, and the chunk of each indexed symbol.
+CHUNK_STARTS = np.arange(CHUNKS) * INDEXED // CHUNKS
+CHUNK_OF = np.searchsorted(CHUNK_STARTS, np.arange(INDEXED), side="right") - 1
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """``SYMBOLS`` numbers of ``BITS`` bits."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), SLAB):
-        np.minimum(least, (shingles[at : at + SLAB, None] * FACTORS + ADDED).min(axis=0), out=least)
-    return (mixed(least) >> np.uint64(64 - BITS)).astype(np.uint16)
+    """``SYMBOLS`` numbers of ``BITS`` bits: least values of as many linear functions of the hashes."""
+    least = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), SLAB):
+        np.minimum(least, (short[at : at + SLAB, None] * FACTORS + ADDED).min(axis=0), out=least)
+    return (mixed(least.astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.uint8)
 
 
 def index_keys(signatures: np.ndarray) -> np.ndarray:
@@ -62,7 +67,7 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
 
     A chunk's key is a sum over its symbols, so leaving one out is a subtraction.
     """
-    parts = mixed(signatures.astype(np.uint64) + SALTS)
+    parts = mixed(signatures[:, :INDEXED].astype(np.uint64) + SALTS)
     sums = np.add.reduceat(parts, CHUNK_STARTS, axis=1)
     return mixed(sums[:, CHUNK_OF] - parts + SALTS[::-1]).view(np.int64)
 
@@ -92,7 +97,7 @@ def keyed(classes: DataFrame) -> DataFrame:
         for batch in batches:
             keys = index_keys(_matrix(batch.column(1)))
             lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(keys) + 1) * SYMBOLS, pa.int32()), pa.array(keys.ravel()))
+                pa.array(np.arange(len(keys) + 1) * INDEXED, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["uid", "keys"])
 
     entered = classes.select("uid", "signature").mapInArrow(enter, "uid long, keys array<long>")
@@ -100,7 +105,7 @@ def keyed(classes: DataFrame) -> DataFrame:
 
 
 def _matrix(signatures: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
 
 
 def close_pairs(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -117,7 +122,7 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFra
         for batch in batches:
             if batch.num_rows:
                 errors = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
-                yield batch.select([0, 1]).filter(pa.array(errors <= MOST_ERRORS))
+                yield batch.select([0, 1]).filter(pa.array(errors <= ALL_ERRORS))
 
     return both.mapInArrow(near, "a long, b long")
 
@@ -166,7 +171,7 @@ def _near_in_groups(table: pa.Table, threshold: int) -> pa.RecordBatch:
     uid, component, size, block = column("uid"), column("component"), column("n_shingles"), column("block")
     left, right = column("left"), column("right")
     signatures = _matrix(table.column("signature").combine_chunks())
-    keys = index_keys(signatures) if len(uid) else np.zeros((0, SYMBOLS), np.int64)
+    keys = index_keys(signatures) if len(uid) else np.zeros((0, INDEXED), np.int64)
     new = np.ones(len(uid), bool)
     new[1:] = (np.diff(column("key")) != 0) | (np.diff(left) != 0) | (np.diff(right) != 0)
     edges = np.append(np.flatnonzero(new), len(uid))
@@ -187,7 +192,9 @@ def _near_in_groups(table: pa.Table, threshold: int) -> pa.RecordBatch:
         one, other = one[fits], other[fits]
         for at in range(0, len(one), PAIRS):
             a, b = one[at : at + PAIRS], other[at : at + PAIRS]
-            near = (signatures[a] != signatures[b]).sum(axis=1) <= MOST_ERRORS
+            near = (signatures[a, :INDEXED] != signatures[b, :INDEXED]).sum(axis=1) <= MOST_ERRORS
+            a, b = a[near], b[near]
+            near = (signatures[a] != signatures[b]).sum(axis=1) <= ALL_ERRORS
             a, b = a[near], b[near]
             # The first key that both have is the one that reports the pair.
             first = keys[a, (keys[a] == keys[b]).argmax(axis=1)] == key[a]
