@@ -34,7 +34,7 @@ SAMPLE, MOST_LISTS = 20_000, 4096
 REPLICATE, MOST_REPLICAS = 1.02, 4
 #: Vectors without any structure need most lists for a recall of 0.95; where there are
 #: clusters, few centroids lie within this ratio.
-SELECT, LEAST_LISTS = 1.25, 4
+SELECT, LEAST_LISTS = 1.3, 4
 #: The graph is searched a little beyond what is selected, as paths may lead through it.
 BEYOND = 1.05
 #: Members of a list that one task compares at a time.
