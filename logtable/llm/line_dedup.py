@@ -29,18 +29,26 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs of ``(h, n)``: a line hash and the documents it was found in."""
+    """Levelled runs of ``(h, n)``: a line hash and the documents it was found in.
+
+    Joins use the buckets of a run. Sums read the files plainly: a union of bucketed tables
+    counts as partitioned by their buckets in Spark 4.1.2, though its partitions are not put
+    together, so a key may come out once per table.
+    """
 
     def __init__(self, spark: SparkSession, closed_at: int, fan_out: int = 2, buckets: int | None = None) -> None:
         self.spark, self.closed_at, self.fan_out = spark, closed_at, fan_out
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
 
+    def _path(self, name: str) -> str:
+        return f"{staging_root(self.spark)}/{name}"
+
     def _write(self, counts: DataFrame) -> str:
         name = f"line_runs_{uuid.uuid4().hex}"
         (
             counts.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h")
-            .option("path", f"{staging_root(self.spark)}/{name}").saveAsTable(name)
+            .option("path", self._path(name)).saveAsTable(name)
         )
         return name
 
@@ -58,7 +66,7 @@ class LineRuns:
     def _compact(self) -> None:
         for level, names in enumerate(self.levels):
             if len(names) >= self.fan_out:
-                merged = self._write(self._sum([self.spark.table(n) for n in names]))
+                merged = self._write(self._sum(names))
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[level + 1].append(merged)
@@ -66,16 +74,13 @@ class LineRuns:
                     self.spark.sql(f"DROP TABLE {name}")
                 self.levels[level] = []
 
-    @staticmethod
-    def _sum(runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
+    def _sum(self, names: list[str]) -> DataFrame:
+        every = self.spark.read.schema("h long, n long").parquet(*[self._path(name) for name in names])
         return every.groupBy("h").agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame:
         """``h`` of the lines found in ``closed_at`` documents or more."""
-        return self._sum(self.runs()).filter(F.col("n") >= self.closed_at).select("h")
+        return self._sum([name for level in self.levels for name in level]).filter(F.col("n") >= self.closed_at).select("h")
 
     def drop(self) -> None:
         for level in self.levels:
