@@ -268,6 +268,7 @@ def near_duplicates(
     of_digest = classes.select("digest", "uid").join(every.withColumnRenamed("node", "uid"), "uid", "left").select(
         "digest", F.coalesce("component", "uid").alias("component"))
     joined = documents.join(of_digest, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(linked, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
