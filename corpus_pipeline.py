@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logtable.llm.common import read_table
+from logtable.llm.common import read_table, unused
 from logtable.llm.line_dedup import drop_frequent_lines
 from logtable.llm.mixing import mix_sources
 from logtable.llm.near_dedup import near_duplicates
@@ -51,12 +51,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes of its words, to the nearest whole one."""
     taken = mix_sources(docs, block_words=BLOCK_WORDS).filter("taken > 0")
     # Rows that repeat an id and a size get the same number each.
-    copies = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
-        F.round(F.sum("taken") / F.col("_size") / F.count(F.lit(1))).cast("int").alias("_copies")).filter("_copies > 0")
-    copies = copies.groupBy("_id", "_source").agg(F.max("_copies").alias("_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    repeated = docs.join(_few(copies), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    number = F.round(F.sum("taken") / F.first("size") / F.count(F.lit(1))).cast("int")
+    copies = taken.groupBy("doc_id", "source", "size").agg(number.alias("copies"))
+    copies = copies.groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    of, of_source, times, copy = unused(docs.columns, "of", "of_source", "times", "copy")
+    copies = _few(copies.withColumnsRenamed({"doc_id": of, "source": of_source, "copies": times}))
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & F.col("source").eqNullSafe(F.col(of_source))
+    return docs.join(copies, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,16 @@ def whole(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until it is none of ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def total_before(blocks: DataFrame, group: list[str], order: str, size: str, out: str, fan: int = 4096) -> DataFrame:
     """The sum of ``size`` over earlier blocks of the same group.
 

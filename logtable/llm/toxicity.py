@@ -37,7 +37,7 @@ TOXIC_FROM = 0.5
 SAMPLE_ROWS, MAX_TERMS, MIN_ROWS = 20_000, 4096, 3
 #: Chi-square at one degree of freedom that chance exceeds once in a hundred thousand times.
 CHI_SQUARE = 19.5
-RANK, EPOCHS, BATCH, RATE, DECAY = 8, 12, 256, 0.1, 1e-4
+RANK, EPOCHS, STEPS, BATCH, RATE, DECAY = 8, 12, 800, 256, 0.1, 1e-4
 #: Words whose terms a task remembers.
 REMEMBERED = 200_000
 
@@ -70,14 +70,15 @@ class Model(NamedTuple):
 
 
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, terms: list[int], seed: int = 7) -> Model:
-    """Logistic loss, AdaGrad, ``EPOCHS`` passes in a fixed random order. ``rows`` hold term numbers."""
+    """Logistic loss, AdaGrad, ``EPOCHS`` passes in a fixed random order, and ``STEPS`` steps at
+    least. ``rows`` hold term numbers."""
     order_of = np.random.default_rng(seed)
     size = len(terms)
-    weights, factors = np.zeros(size), order_of.normal(0, 0.01, (size, RANK))
+    weights, factors = np.zeros(size), order_of.normal(0, 0.05, (size, RANK))
     positive = min(max(labels.mean(), 1e-3), 1 - 1e-3) if len(labels) else 0.5
     bias = float(np.log(positive / (1 - positive)))
     seen_w, seen_v, seen_b = np.full(size, 1e-6), np.full((size, RANK), 1e-6), 1e-6
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(rows))))):
         order = order_of.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
@@ -98,7 +99,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, terms: list[int], se
             seen_w[touched] += step_w * step_w
             seen_v[touched] += step_v * step_v
             weights[touched] -= RATE * step_w / np.sqrt(seen_w[touched])
-            factors[touched] -= RATE * 0.1 * step_v / np.sqrt(seen_v[touched])
+            factors[touched] -= RATE * step_v / np.sqrt(seen_v[touched])
             step_b = error.sum()
             seen_b += step_b * step_b
             bias -= RATE * step_b / np.sqrt(seen_b)

@@ -18,14 +18,11 @@ def test_held_out_accuracy(spark):
 
 
 def test_pairs_are_learnt():
-    """Two terms that are harmless alone and toxic together, which no sum of weights separates."""
-    rows = [[0], [1], [0, 1], []] * 200
-    labels = np.array([0, 0, 1, 0] * 200, float)
-    model = fit_machine([np.array(r, np.int64) for r in rows], labels, [10, 11])
-    margins = [model.margin(r) for r in ([0], [1], [0, 1], [])]
-    assert margins[2] > 0 > max(margins[0], margins[1], margins[3])
-    interaction = margins[2] - margins[0] - margins[1] + margins[3]
-    assert interaction > 1
+    """Terms that are toxic with one term and harmless with another, which no sum of weights tells apart."""
+    cases = [[0, 2], [1, 3], [0, 3], [1, 2]]
+    model = fit_machine([np.array(r, np.int64) for r in cases * 200], np.array([1, 1, 0, 0] * 200, float), [10, 11, 12, 13])
+    margins = [model.margin(r) for r in cases]
+    assert min(margins[:2]) > 1 and max(margins[2:]) < -1
 
 
 def test_labels_of_held_out_rows_are_not_read(spark, docs):
