@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logtable.functions.text import WHITE_SPACE, gfold, gtrim
 from logtable.operators.filters import search_term
@@ -96,13 +96,26 @@ def fold_fields(raw: DataFrame) -> DataFrame:
 
 
 def fold(raw: DataFrame, rules: GroupRules = GroupRules()) -> DataFrame:
-    """Fields with the attributes of their entity.
+    """Fields with the attributes of their entity, in one pass over the rows.
 
-    Both aggregations combine inside each task first. The join goes by entity;
-    an entity that owns a large share of the fields is split by adaptive
-    execution, as its other side is a single row.
+    First one row per entity and field, combined inside each task, that also carries what
+    the field's rows say about the entity; then a window over the fields of each entity.
     """
-    return with_group(fold_fields(raw).join(fold_entities(raw), ENTITY), rules)
+    place = F.col(LINE_NO)
+    kept = {c: F.min(F.when(F.col(c) != "", F.struct(place, F.col(c)))).alias(c) for c in ("agentid", "time", "extra")}
+    first = F.min(F.struct(place, "field_value", "field_value_lc")).alias("f")
+    fields = _named(raw).groupBy(*ENTITY, "field_name").agg(first, *kept.values())
+    entity = Window.partitionBy(*ENTITY)
+    told = fields.withColumns({
+        "seen": F.min(F.col("f")[LINE_NO]).over(entity),
+        **{c: F.coalesce(F.min(c).over(entity)[c], F.lit("")) for c in kept},
+    })
+    folded = told.filter(F.col("field_name") != "").select(
+        *ENTITY, "field_name", F.col(f"f.{LINE_NO}").alias("field_seen"),
+        F.col("f.field_value").alias("raw_value"), F.col("f.field_value_lc").alias("raw_value_lc"),
+        "seen", *kept,
+    )
+    return with_group(folded, rules)
 
 
 def norm_bool(text: Column) -> Column:

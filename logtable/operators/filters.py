@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 
-import pyarrow as pa
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logtable.functions.patterns import InvalidPattern, to_java
 from logtable.functions.text import WHITE_SPACE, cell, gfold, quoted, row_text
@@ -63,23 +62,14 @@ def search(df: DataFrame, query: str, columns: Sequence[str] | None = None) -> D
     return df.filter(is_hit(row_text(columns or data_columns(df)), query))
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def _span_starts(text: pa.Array, term: pa.Array) -> pa.Array:
-    starts = []
-    for content, wanted in zip(text.to_pylist(), term.to_pylist()):
-        found, at = [], content.find(wanted)
-        while at >= 0:
-            found.append(at)
-            at = content.find(wanted, at + len(wanted))
-        starts.append(found)
-    return pa.array(starts, pa.list_(pa.int64()))
-
-
 def match_spans(
     df: DataFrame, query: str, key: str = LINE_NO, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """One row per cell with a hit: the 0-based starts of the hits in it, left to
-    right and without overlap. Only cells that contain the term reach Python."""
+    right and without overlap. ``key`` tells rows apart.
+
+    A cell is split at the term; each hit starts behind the pieces and terms before it.
+    """
     columns = list(columns or data_columns(df))
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), gfold(cell(c)).alias("text")) for c in columns
@@ -90,4 +80,11 @@ def match_spans(
         .select(quoted(key), "c.column", "c.text")
         .filter(F.contains("text", F.lit(term)) if term else F.lit(False))
     )
-    return hits.select(quoted(key), "column", _span_starts("text", F.lit(term)).alias("starts"))
+    pieces = hits.select(
+        quoted(key), "column", F.posexplode(F.split("text", re.escape(term) or "$", -1)).alias("at", "piece"))
+    order = Window.partitionBy(quoted(key), "column").orderBy("at")
+    through = F.sum(F.char_length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    starts = pieces.withColumns({
+        "start": through + F.col("at") * len(term), "more": F.lead("at").over(order).isNotNull(),
+    }).filter("more")
+    return starts.groupBy(quoted(key), "column").agg(F.sort_array(F.collect_list("start")).alias("starts"))

@@ -13,17 +13,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logtable.functions.text import row_text
 from logtable.operators.filters import is_hit
 from logtable.operators.rows import LINE_NO, ROW_ID, data_columns
-from logtable.plans.ordered import Key, first_in_order, in_order, neighbours
+from logtable.plans.ordered import Key, in_order, neighbours
 
-# Pages that end within this many rows are cut by a top-k; later ones by position.
-TOP_K = 100_000
+
+# A page of so many rows, each two numbers, is broadcast to fetch its rows; a longer one is
+# joined by a shuffle.
+PAGE_ROWS = 100_000
+
+
+def fetched(df: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """The rows of ``df`` at ``places`` (``line_no``, ``pos``), of which there are ``size``."""
+    few = F.broadcast(places) if size <= PAGE_ROWS else places
+    return df.join(few, LINE_NO).select(*df.columns, "pos")
 
 
 def page(df: DataFrame, keys: Sequence[Key], start: int, size: int) -> DataFrame:
-    """The ``size`` rows from position ``start`` on."""
-    end = start + size - 1
-    placed = first_in_order(df, keys, end) if end <= TOP_K else in_order(df, keys)
-    return placed.filter(F.col("pos").between(start, end))
+    """The ``size`` rows from position ``start`` on.
+
+    Only sort keys and line numbers are put in order; the page's rows, which are
+    ``size`` of them, are then fetched by line number.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    narrow = df.select(LINE_NO, *[key.alias(name) for name, (key, _) in zip(names, keys)])
+    placed = in_order(narrow, [(F.col(name), down) for name, (_, down) in zip(names, keys)])
+    wanted = placed.filter(F.col("pos").between(start, start + size - 1)).select(LINE_NO, "pos")
+    return fetched(df, wanted, size)
 
 
 def last(df: DataFrame, backwards: Sequence[Key], size: int) -> DataFrame:
@@ -41,6 +55,15 @@ def row_at_line(rows: DataFrame, view: DataFrame, line_no: int) -> tuple[str, Da
     return "out of bounds" if rows.filter(at_line).isEmpty() else "not in current filter", found
 
 
+def rows_at_lines(rows: DataFrame, view: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What :func:`row_at_line` says of each line of ``wanted``, by joins: ``line_no`` and ``status``."""
+    line = wanted.select(LINE_NO).distinct()
+    there = rows.join(line, LINE_NO, "left_semi").select(LINE_NO, F.lit(True).alias("_there"))
+    shown = view.join(line, LINE_NO, "left_semi").select(LINE_NO, F.lit(True).alias("_shown"))
+    status = F.when(F.col("_shown"), "found").when(F.col("_there"), "not in current filter").otherwise("out of bounds")
+    return wanted.join(there, LINE_NO, "left").join(shown, LINE_NO, "left").select(LINE_NO, status.alias("status"))
+
+
 def _flag_marked(positions: DataFrame, annotations: DataFrame) -> DataFrame:
     marked = annotations.filter(F.col("mark").isNotNull()).select(
         ROW_ID, F.lit(True).alias("_marked")

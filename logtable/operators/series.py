@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from logtable.functions.text import cell, gtrim, parse_float, parse_int
 from logtable.operators.rows import LINE_NO
 
-# How many series a chart takes, and what a blank key is called.
+# How many series a chart shows and a function takes (limits that a caller
+# may ask for; there is none by default), and what a blank key is called.
 VIEW_KEYS = 8
 FUNCTION_KEYS = 5
 EMPTY_KEY = "(empty)"
@@ -57,8 +58,9 @@ def series_points(
     ).filter(F.col("ts").isNotNull() & F.col("val").isNotNull())
 
 
-def series_extent(points: DataFrame, max_keys: int | None = FUNCTION_KEYS) -> Extent:
-    """One pass over the points: shared range and series, refused beyond ``max_keys``.
+def series_extent(points: DataFrame, max_keys: int | None = None) -> Extent:
+    """One pass over the points: shared range and, if there is a limit, the series; more
+    than ``max_keys`` of them are refused.
 
     Partial sums make one row per key in each task, and at most ``max_keys + 1``
     rows come back. Without a limit only the range comes back.
@@ -124,7 +126,7 @@ def bucket_series(
     width: int,
     agg: str = "last",
     fill: str = "hold",
-    max_keys: int | None = FUNCTION_KEYS,
+    max_keys: int | None = None,
     extent: Extent | None = None,
 ) -> DataFrame:
     """``(series, x, bucket_ts, value)`` for every series and ``x`` in ``0..width-1``.
@@ -180,16 +182,14 @@ def normalise_series(buckets: DataFrame, layout: str = "overlay") -> DataFrame:
     """Add ``y`` in [0, 1]: over all series (overlay) or each on its own (split).
 
     A range of zero gives 0.5. The range is aggregated per series first; the
-    overlay then widens it over the series, one row each.
+    overlay then widens it by a window over one row per series.
     """
     layout = _mode(layout, ("overlay", "split"))
     ranges = buckets.groupBy("series").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     if layout == "overlay":
-        overall = ranges.agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        low, high = overall.select("low").scalar(), overall.select("high").scalar()
-        joined = buckets.withColumns({"low": low, "high": high})
-    else:
-        joined = buckets.join(ranges, "series")
+        every = Window.partitionBy()
+        ranges = ranges.select("series", F.min("low").over(every).alias("low"), F.max("high").over(every).alias("high"))
+    joined = buckets.join(ranges, "series")
     span = F.col("high") - F.col("low")
     ratio = (F.col("value") - F.col("low")) / F.nullif(span, F.lit(0.0))
     y = F.when(F.col("value").isNull(), None).when(span == 0, 0.5).otherwise(ratio)

@@ -7,9 +7,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 
 from logtable.functions.patterns import to_java
+from logtable.functions.text import quoted
 from logtable.operators import positions
 from logtable.operators.columns import ColumnView, reset_view, sort_column
 from logtable.operators.filters import filter_marked, filter_regex
+from logtable.operators.rows import LINE_NO
 from logtable.operators.sorting import ordering
 from logtable.operators.windows import TimeWindow, filter_window
 from logtable.plans.ordered import Key, in_order, ordered
@@ -65,37 +67,32 @@ class LogView:
         df = filter_window(df, self.window, self.ts)
         return filter_regex(df, self.pattern, self.pattern_on)
 
-    @property
-    def is_filtered(self) -> bool:
-        in_time = self.window is not None and self.window.enabled
-        return self.annotations is not None or in_time or bool(self.pattern and self.pattern_on)
-
-    def settled(self) -> DataFrame:
-        """The rows of the view, staged if filters had to find them.
-
-        Sorting reads its input more than once: to see what kind of values it
-        sorts, to choose the ranges, and to move the rows.
-        """
-        return stage(self.rows()) if self.is_filtered else self.df
-
     def keys(self, rows: DataFrame, backwards: bool = False) -> list[Key]:
         """Sort keys for ``rows`` of this view."""
         return ordering(rows, self.sort_by, self.desc, backwards=backwards)
 
+    def _narrow(self) -> DataFrame:
+        """Line numbers and the sort column of the view's rows, staged: the kind of the
+        values and the order are found on these alone."""
+        sorts = [] if self.sort_by in (None, "#") else [quoted(self.sort_by)]
+        return stage(self.rows().select(LINE_NO, *sorts))
+
     def to_df(self) -> DataFrame:
         """The view in order."""
-        rows = self.settled()
+        rows = self.rows()
         return ordered(rows, self.keys(rows))
 
     def positions(self) -> DataFrame:
         """The view with dense positions."""
-        rows = self.settled()
+        rows = self.rows()
         return in_order(rows, self.keys(rows))
 
     def page(self, start: int, size: int) -> DataFrame:
-        rows = self.settled()
-        return positions.page(rows, self.keys(rows), start, size)
+        narrow = self._narrow()
+        places = positions.page(narrow, self.keys(narrow), start, size).select(LINE_NO, "pos")
+        return positions.fetched(self.rows(), places, size)
 
     def last(self, size: int) -> DataFrame:
-        rows = self.settled()
-        return positions.last(rows, self.keys(rows, backwards=True), size)
+        narrow = self._narrow()
+        places = positions.last(narrow, self.keys(narrow, backwards=True), size).select(LINE_NO, "pos")
+        return positions.fetched(self.rows(), places, size)

@@ -105,14 +105,17 @@ def bounds(df: DataFrame, ts: str = TS) -> Bounds:
     return Bounds(instant(row["low"]), instant(row["high"]))
 
 
+def in_window(df: DataFrame, window: TimeWindow | None, ts: str = TS) -> Column:
+    """Whether a row is inside the window; an enabled one holds no row without a time."""
+    if window is None or not window.enabled:
+        return F.lit(True)
+    first, last = time_literal(df, ts, window.start), time_literal(df, ts, window.end)
+    return (F.col(ts) >= first) & (F.col(ts) <= last)
+
+
 def filter_window(df: DataFrame, window: TimeWindow | None, ts: str = TS) -> DataFrame:
     """Rows inside the window; rows without a time drop out while it is enabled."""
-    if window is None or not window.enabled:
-        return df
-    return df.filter(
-        (F.col(ts) >= time_literal(df, ts, window.start))
-        & (F.col(ts) <= time_literal(df, ts, window.end))
-    )
+    return df if window is None or not window.enabled else df.filter(in_window(df, window, ts))
 
 
 # --- choosing a window -------------------------------------------------------
@@ -167,29 +170,29 @@ def window_from_text(limits: Bounds, start: str, end: str) -> TimeWindow:
 
 
 def shift_window(window: TimeWindow, limits: Bounds, delta: timedelta) -> TimeWindow:
-    """Slide the window, keeping its width, as far as the bounds allow."""
-    width = window.end - window.start
-    width = width if width > timedelta(0) else EMPTY_WIDTH
-    if width > limits.high - limits.low:
+    """Slide the window, keeping its width, as far as the bounds allow.
+
+    Where a bound stops it, an empty window opens to ``EMPTY_WIDTH``.
+    """
+    held = window.end - window.start
+    room = held or EMPTY_WIDTH
+    last_start = limits.high - room
+    if last_start < limits.low:
         return TimeWindow(limits.low, limits.high)
-    start, end = window.start + delta, window.end + delta
-    if start < limits.low:
-        start, end = limits.low, limits.low + width
-    if end > limits.high:
-        start, end = limits.high - width, limits.high
-    return TimeWindow(start, end)
+    wanted = window.start + delta
+    start = Bounds(limits.low, last_start).clamp(wanted)
+    return TimeWindow(start, start + (held if start == wanted else room))
 
 
 def expand_window(window: TimeWindow, limits: Bounds, delta: timedelta) -> TimeWindow:
     """Move the start left (negative) or the end right (positive), inside the bounds."""
-    start, end = window.start, window.end
+    if not delta:
+        return TimeWindow(window.start, window.end)
+    moved = limits.clamp((window.start if delta < timedelta(0) else window.end) + delta)
+    fixed = window.end if delta < timedelta(0) else window.start
     if delta < timedelta(0):
-        start = max(start + delta, limits.low)
-        end = max(start, end)
-    elif delta > timedelta(0):
-        end = min(end + delta, limits.high)
-        start = min(start, end)
-    return TimeWindow(start, end)
+        return TimeWindow(moved, max(moved, fixed))
+    return TimeWindow(min(moved, fixed), moved)
 
 
 def reset_window(limits: Bounds, keep_enabled: bool) -> TimeWindow:

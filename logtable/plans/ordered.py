@@ -40,15 +40,6 @@ def ordered(df: DataFrame, keys: Sequence[Key]) -> DataFrame:
     return with_keys.orderBy(*order).drop(*names)
 
 
-def first_in_order(df: DataFrame, keys: Sequence[Key], size: int, out: str = "pos") -> DataFrame:
-    """The first ``size`` rows with their positions: a top-k in every task, then one
-    task over ``size`` rows."""
-    with_keys, order, names = _keyed(df, keys)
-    top = with_keys.orderBy(*order).limit(size)
-    place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
-    return top.withColumn(out, place).drop(*names)
-
-
 def in_order(df: DataFrame, keys: Sequence[Key], out: str = "pos", first: int = 1) -> DataFrame:
     """Sort by ``keys``, which must be total, and number the rows from ``first``.
 

@@ -2,13 +2,13 @@
 
 Some operators need two passes over data whose layout must not change between
 them (positions after a sort, line order of a text scan). They write the rows
-as Parquet under the shared folder named by ``spark.checkpoint.dir`` and go on
-from there; a lost executor costs no more than a re-read.
+as Parquet under the shared folder named by ``spark.checkpoint.dir``, or under the
+warehouse where that is unset, and go on from there; a lost executor costs no more
+than a re-read.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +18,7 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 def staging_root(spark: SparkSession) -> str:
     """The session's folder for staged tables."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="logtable-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{folder.rstrip('/')}/logtable-{spark.sparkContext.applicationId}"
 
 

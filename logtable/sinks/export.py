@@ -25,7 +25,7 @@ def export_csv(
     An empty view writes every row in line order unless ``fallback_all`` is off.
     Part files follow each other in order, each with a header.
     """
-    rows = view.settled()
+    rows = view.rows()
     if fallback_all and rows.isEmpty():
         rows, keys = view.df, [(F.col(LINE_NO), False)]
     else:

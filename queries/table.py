@@ -274,9 +274,8 @@ def last_page(spark, sf_dir):
 FROM (SELECT unnest([0, 1, 2, 3, 4, 5, 1000, 100000000]) AS n) LEFT JOIN orders ON o_orderkey + 1 = n""")
 def row_at_line(spark, sf_dir):
     view = price_view(spark, sf_dir)
-    wanted = [0, 1, 2, 3, 4, 5, 1000, 100000000]
-    found = [(n, places.row_at_line(view.df, view.rows(), n)[0]) for n in wanted]
-    return spark.createDataFrame(found, "line_no int, status string")
+    wanted = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 4, 5, 1000, 100000000)], "line_no int")
+    return places.rows_at_lines(view.df, view.rows(), wanted)
 
 
 NEAR_MARKS = marks_sql("marked", "kind = 'error'")
@@ -369,16 +368,15 @@ def preset_tables(spark, sf_dir):
         "p_size",
     )
     blank = F.when(F.col("p_size") == 1, " ").otherwise(F.col("pattern"))
-    base = rows.filter("p_size < 12").withColumn("pattern", blank).drop("p_size")
-    return base, rows.filter("p_size > 40").drop("p_size")
+    return rows.filter("p_size <= 30").withColumn("pattern", blank).drop("p_size"), rows.filter("p_size >= 20").drop("p_size")
 
 
 @query("presets_merge", """WITH rows AS (
   SELECT p_partkey AS ord, p_brand || '|' || p_type AS pattern, trim(p_name || ' ' || p_partkey) AS description, p_size FROM part),
 base AS (SELECT min(ord) AS ord, pattern, arg_min(description, ord) AS description FROM rows
-  WHERE p_size < 12 AND p_size <> 1 GROUP BY pattern),
+  WHERE p_size <= 30 AND p_size <> 1 GROUP BY pattern),
 overlay AS (SELECT min(ord) AS ord, pattern, arg_min(description, ord) AS description FROM rows
-  WHERE p_size > 40 GROUP BY pattern)
+  WHERE p_size >= 20 GROUP BY pattern)
 SELECT CASE WHEN b.pattern IS NULL THEN 1 ELSE 0 END AS layer, coalesce(b.ord, o.ord) AS ord,
   pattern, coalesce(o.description, b.description) AS description
 FROM base b FULL JOIN overlay o USING (pattern)""")

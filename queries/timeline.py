@@ -10,7 +10,7 @@ from logtable.operators.series import (
     bucket_of, bucket_series, normalise_series, scale_series, series_extent, series_points,
 )
 from logtable.operators.windows import (
-    TimeWindow, bounds, expand_window, filter_window, parse_input, reset_window, shift_window,
+    TimeWindow, bounds, expand_window, filter_window, in_window, parse_input, reset_window, shift_window,
     time_bounds, window_from_row, window_from_text, window_profile, with_ts,
 )
 from queries.table import MIXED_TIMES, mixed_times
@@ -66,7 +66,8 @@ row_time AS (SELECT ts AS t FROM events WHERE event_id = 499), shown AS (
   UNION ALL SELECT 'shifted to end', high - INTERVAL '25 hours 30 minutes 15 seconds', high FROM ends
   UNION ALL SELECT 'wider right', TIMESTAMP '2024-01-05 06:00:00', TIMESTAMP '2024-01-08 07:30:15' FROM ends
   UNION ALL SELECT 'wider left', low, TIMESTAMP '2024-01-06 07:30:15' FROM ends
-  UNION ALL SELECT 'reset', low, high FROM ends)
+  UNION ALL SELECT 'reset', low, high FROM ends
+  UNION ALL SELECT 'off', low, high FROM ends)
 SELECT name, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS ids FROM shown JOIN events ON ts BETWEEN s AND e GROUP BY name""")
 def window_edges(spark, sf_dir):
     log = event_log(spark, sf_dir)
@@ -81,14 +82,15 @@ def window_edges(spark, sf_dir):
         "wider right": expand_window(typed, limits, timedelta(days=2)),
         "wider left": expand_window(typed, limits, -timedelta(days=60)),
         "reset": reset_window(limits, keep_enabled=True),
+        "off": reset_window(limits, keep_enabled=False),
     }
-    counts = None
+    counts = []
     for name, window in chosen.items():
-        shown = filter_window(log, window).agg(
-            F.count(F.lit(1)).alias("rows"), F.sum(F.col("line_no") - 1).alias("ids")
-        ).select(F.lit(name).alias("name"), "rows", "ids")
-        counts = shown if counts is None else counts.unionAll(shown)
-    return counts
+        shown = in_window(log, window)
+        counts.append(F.struct(
+            F.lit(name).alias("name"), F.count_if(shown).alias("rows"),
+            F.sum(F.when(shown, F.col("line_no") - 1)).alias("ids")))
+    return log.agg(F.array(*counts).alias("windows")).select(F.inline("windows"))
 
 
 # --- series -----------------------------------------------------------------------------------
@@ -133,7 +135,7 @@ def series_sql(agg: str) -> str:
 
 def bucketed(spark, sf_dir, agg, fill="none", width=WIDTH):
     return bucket_series(
-        series_points(readings(spark, sf_dir), "timestamp", "key", "value"), width, agg, fill, max_keys=8
+        series_points(readings(spark, sf_dir), "timestamp", "key", "value"), width, agg, fill
     )
 
 
@@ -157,7 +159,7 @@ for _agg in AGGREGATES:
 SELECT series, min(ord) + 1 AS seen, any_value(low) AS low, any_value(low + span) AS high FROM points, ends GROUP BY series""")
 def extent(spark, sf_dir):
     found = series_points(readings(spark, sf_dir), "timestamp", "key", "value")
-    limits = series_extent(found, max_keys=8)
+    limits = series_extent(found)
     return found.groupBy("series").agg(F.min("ord").alias("seen")).withColumns(
         {"low": F.lit(limits.low), "high": F.lit(limits.high)}
     )
@@ -193,12 +195,12 @@ def series_split(spark, sf_dir):
 
 
 @query("bucket_of_row", f"""WITH {points_sql('last')}
-SELECT event_id + 1 AS line_no, CASE WHEN event_id % 50 = 1 THEN 0 ELSE CAST(ceil(
-  CAST(epoch_us(e.ts) // 1000000 - low AS DOUBLE) / CAST(span AS DOUBLE) * {WIDTH - 1}.0::DOUBLE) AS BIGINT) END AS x
-FROM events e, ends WHERE epoch_us(e.ts) // 1000000 BETWEEN low AND low + span""")
+SELECT event_id + 1 AS line_no, CASE WHEN event_id % 50 = 1 THEN 0 ELSE CAST(ceil(CAST(
+  least(greatest(epoch_us(e.ts) // 1000000, low), low + span) - low AS DOUBLE)
+  / CAST(span AS DOUBLE) * {WIDTH - 1}.0::DOUBLE) AS BIGINT) END AS x
+FROM events e, ends""")
 def bucket_of_row(spark, sf_dir):
     cells = readings(spark, sf_dir)
-    limits = series_extent(series_points(cells, "timestamp", "key", "value"), max_keys=8)
+    limits = series_extent(series_points(cells, "timestamp", "key", "value"))
     ts = cells.select("line_no", F.col("timestamp").try_cast("bigint").alias("ts"))
-    inside = ts.filter(F.col("ts").isNull() | F.col("ts").between(limits.low, limits.high))
-    return inside.select("line_no", bucket_of(F.col("ts"), limits, WIDTH).alias("x"))
+    return ts.select("line_no", bucket_of(F.col("ts"), limits, WIDTH).alias("x"))

@@ -67,28 +67,28 @@ def test_line_numbers_are_dense(spark):
 # --- columns -----------------------------------------------------------------------------------
 
 def test_columns(table):
-    df = table(["Time", "MAC Address", "Hidden", "Details"], [("1", "m", " ", "d")])
+    df = table(["When", "Rack Unit", "Blank", "Remark"], [("1", "m", " ", "d")])
     view = initial_view(df)
-    assert view.visible == ["Time", "MAC Address", "Details"]
-    view, toggled, missing = toggle_columns(view, ["hidden", "1", "TIME", "9", "nope"])
-    assert toggled == ["Hidden", "Time"] and missing == ["9", "nope"]
-    assert view.visible == ["MAC Address", "Hidden", "Details"]
-    assert toggle_columns(view, ["all"])[0].visible == ["Time", "MAC Address", "Hidden", "Details"]
-    moved, named, missing = reorder_columns(view, ["details", "2", "x"])
-    assert named == ["Details", "MAC Address"] and missing == ["x"]
-    assert moved.order == ("Details", "MAC Address", "Time", "Hidden")
-    assert moved.select(df).columns == ["Details", "MAC Address", "Hidden", "line_no"]
+    assert view.visible == ["When", "Rack Unit", "Remark"]
+    view, toggled, missing = toggle_columns(view, ["blank", "1", "WHEN", "9", "nope"])
+    assert toggled == ["Blank", "When"] and missing == ["9", "nope"]
+    assert view.visible == ["Rack Unit", "Blank", "Remark"]
+    assert toggle_columns(view, ["all"])[0].visible == ["When", "Rack Unit", "Blank", "Remark"]
+    moved, named, missing = reorder_columns(view, ["remark", "2", "x"])
+    assert named == ["Remark", "Rack Unit"] and missing == ["x"]
+    assert moved.order == ("Remark", "Rack Unit", "When", "Blank")
+    assert moved.select(df).columns == ["Remark", "Rack Unit", "Blank", "line_no"]
     with pytest.raises(ValueError):
         reorder_columns(view, ["x"])
     with pytest.raises(ValueError):
         toggle_columns(view, [])
-    assert reset_view(df).visible == ["Time", "MAC Address", "Hidden", "Details"]
+    assert reset_view(df).visible == ["When", "Rack Unit", "Blank", "Remark"]
 
 
 def test_sort_column():
-    view = ColumnView(("﻿Time", "MAC Address", "Hidden", "Details"), frozenset({"Hidden"}))
-    assert [sort_column(view, by) for by in ("time", "mac address", 3, "0", "Line", "off", "", None)] == [
-        "﻿Time", "MAC Address", "Details", "#", "#", None, None, None]
+    view = ColumnView(("﻿When", "Rack Unit", "Blank", "Remark"), frozenset({"Blank"}))
+    assert [sort_column(view, by) for by in ("when", "rack unit", 3, "0", "Line", "off", "", None)] == [
+        "﻿When", "Rack Unit", "Remark", "#", "#", None, None, None]
     for bad in ("4", "-1", "nope"):
         with pytest.raises(ValueError):
             sort_column(view, bad)
@@ -161,8 +161,8 @@ def test_positions(spark, table, monkeypatch):
     df = with_row_id(table(["v"], [(str(i % 10),) for i in range(40)]))
     view = LogView.of(df).sort("v", desc=True)
     expected = sorted(range(1, 41), key=lambda n: (-((n - 1) % 10), n))
-    for limit in (100, 5):
-        monkeypatch.setattr(places, "TOP_K", limit)
+    for limit in (100, 2):
+        monkeypatch.setattr(places, "PAGE_ROWS", limit)
         got = view.page(9, 4).orderBy("pos").collect()
         assert [(r.line_no, r.pos) for r in got] == [(expected[p - 1], p) for p in range(9, 13)]
         got = view.last(3).orderBy("pos").collect()
@@ -178,8 +178,11 @@ def test_positions(spark, table, monkeypatch):
     seven = red.first()["row_id"]
     assert places.position_of(placed, seven) == 9 and places.position_of(placed, 1) == 1
     rows = view.filter("[5-9]").rows()
-    assert [places.row_at_line(df, rows, n)[0] for n in (6, 1, 0, 41)] == [
-        "found", "not in current filter", "out of bounds", "out of bounds"]
+    said = ["found", "not in current filter", "out of bounds", "out of bounds"]
+    assert [places.row_at_line(df, rows, n)[0] for n in (6, 1, 0, 41)] == said
+    wanted = spark.createDataFrame([(6,), (1,), (0,), (41,)], "line_no int")
+    found = {r["line_no"]: r["status"] for r in places.rows_at_lines(df, rows, wanted).collect()}
+    assert [found[n] for n in (6, 1, 0, 41)] == said
 
 
 # --- annotations ------------------------------------------------------------------------------------
@@ -272,22 +275,32 @@ def series(spark, points, low, high, width, agg, fill):
     return [r["value"] for r in found.orderBy("x").collect()]
 
 
-POINTS = [(1, 10), (2, 20), (2, 40), (3, 30)]
-N = None
+def by_definition(points, low, high, width, agg, fill):
+    """A bucket holds the readings up to its end and after the end of the one before."""
+    steps, span = max(1, width - 1), max(1, high - low)
+    in_time = [v for _, _, v in sorted((t, i, v) for i, (t, v) in enumerate(points))]
+    times, out = sorted(t for t, _ in points), []
+    for x in range(width):
+        inside = [v for t, v in zip(times, in_time) if -(-(t - low) * steps // span) == x]
+        before = [v for t, v in zip(times, in_time) if -(-(t - low) * steps // span) < x]
+        value = None
+        if inside:
+            value = {"last": inside[-1], "avg": sum(inside) / len(inside), "max": max(inside), "min": min(inside)}[agg]
+        out.append(before[-1] if value is None and before and fill == "hold" else value)
+    return out
+
+
+SPANS = [
+    ([(104, 3.5), (100, 7), (111, -2), (104, 9), (107, 0.25), (111, 6)], 100, 111, 6),
+    ([(41, 8)], 12, 41, 4), ([(60, 2), (62, 5)], 60, 75, 16), ([(90, 4), (90, 4.5), (93, 1)], 90, 93, 1),
+    ([(33, 1), (33, 2)], 33, 33, 5), ([(-2**61, 1), (2**61, 2)], -2**61, 2**61, 3),
+]
 
 
-@pytest.mark.parametrize("points, low, high, width, agg, fill, expected", [
-    (POINTS, 1, 3, 3, "last", "none", [10, 40, 30]), (POINTS, 1, 3, 3, "avg", "none", [10, 30, 30]),
-    (POINTS, 1, 3, 3, "max", "none", [10, 40, 30]), (POINTS, 1, 3, 3, "min", "none", [10, 20, 30]),
-    ([(10, 3)], 0, 10, 3, "last", "hold", [N, N, 3]),
-    ([(1, 10), (3, 30)], 1, 5, 5, "last", "none", [10, N, 30, N, N]),
-    ([(1, 10), (3, 30)], 1, 5, 5, "last", "hold", [10, 10, 30, 30, 30]),
-    ([(1, 10), (1, 50), (1, 20)], 1, 5, 5, "max", "hold", [50, 20, 20, 20, 20]),
-    ([(1, 10), (3, 30)], 1, 3, 1, "last", "none", [10]), ([(7, 1), (7, 2)], 7, 7, 4, "last", "none", [2, N, N, N]),
-    ([(-2**61, 1), (2**61, 2)], -2**61, 2**61, 3, "last", "none", [1, N, 2]),
-])
-def test_buckets(spark, points, low, high, width, agg, fill, expected):
-    assert series(spark, points, low, high, width, agg, fill) == expected
+@pytest.mark.parametrize("agg, fill", [("last", "hold"), ("avg", "none"), ("max", "hold"), ("min", "none")])
+@pytest.mark.parametrize("points, low, high, width", SPANS)
+def test_buckets(spark, points, low, high, width, agg, fill):
+    assert series(spark, points, low, high, width, agg, fill) == by_definition(points, low, high, width, agg, fill)
 
 
 def test_not_a_number_readings(spark):
