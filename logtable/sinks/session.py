@@ -1,15 +1,15 @@
 """Saved sessions: rows, marks, comments and the time window.
 
-Parquet sessions hold three tables and take any size. JSON sessions are one
-document, the exchange form of small tables; beyond ``JSON_ROWS`` rows they are
-refused in favour of Parquet.
+A session is a folder with the tables ``rows`` and ``annotations`` and a small
+document ``meta``. Tables are Parquet, or JSON lines: one object a row, in part
+files that are written and read in parallel, so either form takes any size.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logtable.functions.hashing import unsigned
 from logtable.functions.text import cell
@@ -18,7 +18,6 @@ from logtable.operators.rows import LINE_NO, ROW_ID, data_columns
 from logtable.operators.windows import TimeWindow
 
 VERSION = 1
-JSON_ROWS = 200_000
 
 # How JSON sessions number the roles, and an unset time.
 ROLE_NUMBERS = {"normal": 0, "primary": 1, "secondary": 2}
@@ -43,22 +42,20 @@ def _header(df: DataFrame, view: ColumnView) -> list[dict]:
     ]
 
 
-def _refuse_large(df: DataFrame) -> None:
-    if df.limit(JSON_ROWS + 1).count() > JSON_ROWS:
-        raise ValueError(f"more than {JSON_ROWS} rows: write format='parquet'")
-
-
-def _entries(field: str) -> Column:
-    kept = F.when(F.col(field).isNotNull(), F.struct(unsigned(F.col(ROW_ID)), field))
-    return F.map_from_entries(F.collect_list(kept))
+def _row_object(columns: list[str]) -> list[Column]:
+    """A row as it stands in JSON: its cells, identity and line."""
+    return [
+        F.array(*[cell(c) for c in columns]).alias("cols"),
+        unsigned(F.col(ROW_ID)).cast("decimal(20,0)").alias("id"), F.col(LINE_NO).alias("originalIndex"),
+    ]
 
 
-def _annotation_maps(annotations: DataFrame) -> DataFrame:
-    return annotations.agg(_entries("mark").alias("marked"), _entries("comment").alias("comments"))
+def _json_annotations(annotations: DataFrame) -> DataFrame:
+    return annotations.select(unsigned(F.col(ROW_ID)).cast("decimal(20,0)").alias("id"), "mark", "comment")
 
 
-def _write_text(document: DataFrame, path: str) -> None:
-    document.coalesce(1).write.text(path)
+def _write_meta(spark: SparkSession, meta: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
 
 
 def write_session(
@@ -66,36 +63,18 @@ def write_session(
     view: ColumnView | None = None, note: str = "", format: str = "parquet",
 ) -> None:
     """Save every row with marks, comments and the window; filter and sort are not saved."""
-    header = _header(df, view or reset_view(df))
-    meta = {"version": VERSION, "header": header, "timeWindow": _window_fields(window), "note": note}
+    meta = {
+        "version": VERSION, "format": format, "header": _header(df, view or reset_view(df)),
+        "timeWindow": _window_fields(window), "note": note,
+    }
     columns = data_columns(df)
     if format == "parquet":
-        rows = df.select(*[cell(c).alias(c) for c in columns], ROW_ID, LINE_NO)
-        rows.write.parquet(f"{path}/rows")
+        df.select(*[cell(c).alias(c) for c in columns], ROW_ID, LINE_NO).write.parquet(f"{path}/rows")
         annotations.select(ROW_ID, "mark", "comment").write.parquet(f"{path}/annotations")
-        _write_text(df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string"),
-                    f"{path}/meta")
-        return
-    _refuse_large(df)
-    _refuse_large(annotations)
-    order = sorted(range(len(header)), key=lambda i: header[i]["Index"])
-    cells = F.array(*[cell(columns[i]) for i in range(len(order))])
-    row = F.struct(
-        F.col(LINE_NO), cells.alias("cols"),
-        unsigned(F.col(ROW_ID)).cast("decimal(20,0)").alias("id"),
-    )
-    rows = df.agg(F.sort_array(F.collect_list(row)).alias("rows")).select(
-        F.transform("rows", lambda r: F.struct(
-            r["cols"].alias("cols"), r["id"].alias("id"), r[LINE_NO].alias("originalIndex")
-        )).alias("rows"),
-        F.lit(1).alias("_one"),
-    )
-    maps = _annotation_maps(annotations).withColumn("_one", F.lit(1))
-    body = F.to_json(F.struct("rows", "marked", "comments"))
-    head = json.dumps(meta)[:-1] + ", "
-    _write_text(rows.join(maps, "_one").select(
-        F.concat(F.lit(head), F.substring(body, F.lit(2), F.char_length(body))).alias("value")
-    ), path)
+    else:
+        df.select(*_row_object(columns)).write.json(f"{path}/rows")
+        _json_annotations(annotations).write.json(f"{path}/annotations")
+    _write_meta(df.sparkSession, meta, path)
 
 
 def write_annotations(annotations: DataFrame, path: str, format: str = "parquet") -> None:
@@ -103,7 +82,5 @@ def write_annotations(annotations: DataFrame, path: str, format: str = "parquet"
     if format == "parquet":
         annotations.select(ROW_ID, "mark", "comment").write.parquet(path)
         return
-    _refuse_large(annotations)
-    _write_text(_annotation_maps(annotations).select(
-        F.to_json(F.struct(F.lit(VERSION).alias("version"), "marked", "comments")).alias("value")
-    ), path)
+    _json_annotations(annotations).write.json(f"{path}/annotations")
+    _write_meta(annotations.sparkSession, {"version": VERSION, "format": format}, path)

@@ -1,4 +1,4 @@
-"""Saved sessions and annotations, as Parquet tables or JSON documents."""
+"""Saved sessions and annotations: folders of Parquet or JSON lines, or one JSON document."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logtable.functions.hashing import signed
@@ -28,6 +29,10 @@ JSON_SCHEMA = """
 """
 
 
+ROW_SCHEMA = "cols ARRAY<STRING>, id DECIMAL(20,0), originalIndex BIGINT"
+ANNOTATION_SCHEMA = "id DECIMAL(20,0), mark STRING, comment STRING"
+
+
 @dataclass(frozen=True)
 class Session:
     """A restored session: rows with identity and line number, and what lay over them."""
@@ -79,29 +84,56 @@ def _json_annotations(document: DataFrame) -> DataFrame:
     return clean_marks(fields[0].join(fields[1], ROW_ID, "full"))
 
 
+def _saved_rows(saved: DataFrame, names: list[str]) -> DataFrame:
+    """Rows out of their JSON objects."""
+    return saved.select(
+        *[F.coalesce(F.get("cols", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)],
+        _key(F.col("id").cast("string")).alias(ROW_ID),
+        F.col("originalIndex").alias(LINE_NO),
+    )
+
+
+def _meta(spark: SparkSession, path: str) -> dict | None:
+    """What a session folder says of itself; none if ``path`` is a single document."""
+    try:
+        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    _check_version(meta.get("version"))
+    return meta
+
+
+def _json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Annotations saved as JSON lines."""
+    saved = spark.read.schema(ANNOTATION_SCHEMA).json(f"{path}/annotations", mode="FAILFAST")
+    return clean_marks(saved.select(_key(F.col("id").cast("string")).alias(ROW_ID), "mark", "comment"))
+
+
+def _document(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(JSON_SCHEMA).json(path, multiLine=True, mode="FAILFAST")
+
+
 def read_session(spark: SparkSession, path: str) -> Session:
-    """Restore a session; a path that ends in ``.json`` is a JSON document.
+    """Restore a session from its folder, or from a single JSON document.
 
     A saved window is fitted to the rows' time bounds.
     """
-    if path.rstrip("/").endswith(".json"):
-        document = spark.read.schema(JSON_SCHEMA).json(path, multiLine=True, mode="FAILFAST")
-        first = document.select("version", "header", "timeWindow", "note").first()
-        meta = first.asDict(recursive=True)
+    meta = _meta(spark, path)
+    if meta is None:
+        document = _document(spark, path)
+        meta = document.select("version", "header", "timeWindow", "note").first().asDict(recursive=True)
         _check_version(meta["version"])
         annotations = _json_annotations(document)
-        names = [h["Name"] for h in sorted(meta["header"] or [], key=lambda h: h["Index"])]
-        saved = document.select(F.explode("rows").alias("r"))
-        rows = saved.select(
-            *[F.coalesce(F.get("r.cols", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)],
-            _key(F.col("r.id").cast("string")).alias(ROW_ID),
-            F.col("r.originalIndex").alias(LINE_NO),
-        )
+        saved = document.select(F.inline("rows"))
+    elif meta.get("format") == "json":
+        annotations = _json_lines(spark, path)
+        saved = spark.read.schema(ROW_SCHEMA).json(f"{path}/rows", mode="FAILFAST")
     else:
-        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-        _check_version(meta.get("version"))
-        rows = spark.read.parquet(f"{path}/rows")
-        annotations = spark.read.parquet(f"{path}/annotations")
+        annotations, saved = spark.read.parquet(f"{path}/annotations"), None
+    names = [h["Name"] for h in sorted(meta["header"] or [], key=lambda h: h["Index"])]
+    rows = spark.read.parquet(f"{path}/rows") if saved is None else _saved_rows(saved, names)
     header = meta["header"] or []
     numbers = {number: role for role, number in ROLE_NUMBERS.items()}
     for column in header:
@@ -119,9 +151,11 @@ def read_session(spark: SparkSession, path: str) -> Session:
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Saved marks and comments."""
+    """Saved marks and comments: Parquet, JSON lines, or a single JSON document."""
     if not path.rstrip("/").endswith(".json"):
         return spark.read.parquet(path)
-    document = spark.read.schema(JSON_SCHEMA).json(path, multiLine=True, mode="FAILFAST")
+    if _meta(spark, path) is not None:
+        return _json_lines(spark, path)
+    document = _document(spark, path)
     _check_version(document.select("version").first()["version"])
     return _json_annotations(document)

@@ -7,7 +7,6 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-import logtable.sinks.session as session_sink
 from logtable.operators import annotate as notes
 from logtable.operators.filters import filter_regex, search
 from logtable.operators.presets import tag_presets
@@ -126,10 +125,17 @@ def test_annotations_alone(spark, log, ann, tmp_path, format):
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, ann.collect()))
 
 
-def test_large_json_is_refused(log, ann, tmp_path, monkeypatch):
-    monkeypatch.setattr(session_sink, "JSON_ROWS", 3)
-    with pytest.raises(ValueError, match="parquet"):
-        write_session(log, ann, str(tmp_path / "s.json"), format="json")
+def test_large_json_session(spark, tmp_path):
+    """JSON sessions are written and read in parts, whatever their size."""
+    rows = spark.range(0, 210_000, numPartitions=6).select(
+        F.col("id").cast("string").alias("Details"), F.col("id").alias("row_id"), (F.col("id") + 1).alias("line_no"))
+    marks = rows.select("row_id", F.lit("red").alias("mark"), F.lit(None).cast("string").alias("comment"))
+    path = str(tmp_path / "s.json")
+    write_session(rows, marks, path, format="json")
+    saved = read_session(spark, path)
+    assert saved.rows.filter("Details = row_id AND line_no = row_id + 1").count() == 210_000
+    assert saved.annotations.filter("mark = 'red'").count() == 210_000
+    assert len(glob.glob(f"{path}/rows/part-*")) == 6
 
 
 def test_staging_follows_the_session(spark):
