@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from logtable.functions.text import WHITE_SPACE, gfold, gtrim
+from logtable.functions.text import gfold, gtrim
 from logtable.operators.rows import LINE_NO
 from logtable.plans.ordered import running_last, running_sum
 from logtable.plans.staging import stage
@@ -26,19 +22,14 @@ COPY_SOURCE = "from stdin"
 COPY_END = r"\."
 INSERT_START = "insert into public.devinfo"
 
-# Lines per task where their order matters to Python.
-BLOCK = 1 << 14
-
 # What a line is read as: nothing, a COPY row, an INSERT before its VALUES, or
-# tuples at a depth of brackets, outside or inside quotes.
-OUT, COPY, HEAD, TUPLES = 0, 1, 2, 3
-MAX_DEPTH = 7
-STATES = TUPLES + 2 * (MAX_DEPTH + 1)
+# tuples, outside or inside quotes.
+OUT, COPY, HEAD, TUPLES, QUOTED = range(5)
+
+# Neighbouring lines, or blocks of them, that are put together at each level.
+FAN = 1024
 
-QUOTED = re.compile(r"'[^']*'?")
-BRACKETS = re.compile(r"[()]")
-VALUES = re.compile("values", re.IGNORECASE | re.ASCII)
-TOKEN = re.compile(r"'(?:[^']|'')*'|[(),]|[^'(),]+")
+TOKEN = r"'(?:[^']++|'')*+'|[(),]|[^'(),]+"
 
 
 # --- COPY rows ----------------------------------------------------------------
@@ -67,116 +58,99 @@ def copy_unescape(col: Column, escapes: str = "doubled") -> Column:
 
 
 def _copy_fields(value: Column, escapes: str) -> Column:
-    return F.transform(F.split(value, "\t", -1), lambda field: copy_unescape(field, escapes))
+    fields = F.split(value, "\t", -1)
+    undone = F.transform(fields, lambda field: copy_unescape(field, escapes))
+    return F.when(F.contains(value, F.lit("\\")), undone).otherwise(fields)
 
 
 # --- INSERT statements ----------------------------------------------------------
 
-@lru_cache(maxsize=16)
-def _scan(text: str, quoted: int) -> tuple[bool, int, int, int]:
-    """What a piece of a VALUES list does: whether it ends the statement, whether
-    it ends inside quotes, and how far it moves and lowers the depth of brackets."""
-    outside = QUOTED.sub("", "'" + text if quoted else text)
-    depth = lowest = 0
-    for bracket in BRACKETS.findall(outside):
-        depth += 1 if bracket == "(" else -1
-        lowest = min(lowest, depth)
-    return ";" in outside, (text.count("'") + quoted) % 2, depth, lowest
-
-
-def _after(state: int, kind: str, value: str) -> int:
-    """What the next line is read as."""
-    if state == COPY:
-        return OUT if kind == "end" else COPY
-    if state == OUT and kind != "insert":
-        return COPY if kind == "copy" else OUT
-    ended, depth, quoted, text = False, 0, 0, value
-    if state in (OUT, HEAD):
-        found = VALUES.search(value)
-        if not found:
-            return OUT if ";" in value else HEAD
-        ended, text = ";" in value[:found.start()], value[found.end():]
-    else:
-        depth, quoted = divmod(state - TUPLES, 2)
-    over, quoted, moved, lowest = _scan(text, quoted)
-    if ended or over:
-        return OUT
-    depth = moved + max(depth, -lowest)  # a bracket too many closes nothing
-    if depth > MAX_DEPTH:
-        raise ValueError("malformed INSERT VALUES: brackets nested too deeply")
-    return TUPLES + 2 * depth + quoted
-
-
-def _block_effect(lines: pd.DataFrame) -> pd.DataFrame:
-    """Where each possible state at the start of a block leads at its end."""
-    lines = lines.sort_values("line_no")
-    reached = {state: [state] for state in range(STATES)}
-    for kind, value in zip(lines["_kind"], lines["value"]):
-        onward: dict[int, list[int]] = {}
-        for state, origins in reached.items():
-            try:
-                after = _after(state, kind, value)
-            except ValueError:
-                after = OUT  # raised again when the block is read for good
-            onward.setdefault(after, []).extend(origins)
-        reached = onward
-    ends = [0] * STATES
-    for state, origins in reached.items():
-        for origin in origins:
-            ends[origin] = state
-    return pd.DataFrame({"_block": [lines["_block"].iloc[0]], "_ends": [ends]})
-
-
-def _chain(batches):
-    """The state each block starts in; block -1 tells how the dump ends."""
-    state = OUT
-    for batch in batches:
-        starts = []
-        for ends in batch["_ends"]:
-            starts.append(state)
-            state = int(ends[state])
-        yield pd.DataFrame({"_block": batch["_block"], "_state": starts})
-    yield pd.DataFrame({"_block": [-1], "_state": [state]})
-
-
-def _label(lines: pd.DataFrame) -> pd.DataFrame:
-    """What every line of a block is read as."""
-    lines = lines.sort_values("line_no")
-    state, before = int(lines["_state"].iloc[0]), []
-    for kind, value in zip(lines["_kind"], lines["value"]):
-        before.append(state)
-        state = _after(state, kind, value)
-    return lines[["line_no", "value", "_kind"]].assign(_before=before)
-
-
-@F.arrow_udf(ArrayType(ArrayType(StringType())))
-def _tuples(text: pa.Array) -> pa.Array:
-    """The tuples of eight values in a piece of a VALUES list."""
-    found = []
-    for content in text.to_pylist():
-        rows, row, token, depth, read = [], [], [], 0, 0
-        for match in TOKEN.finditer(content):
-            part = match.group()
-            read += len(part)
-            if part == "(":
-                if depth == 0:
-                    row, token = [], []
-                depth += 1
-            elif part in (",", ")"):
-                if depth == 1:
-                    value = "".join(token).strip(WHITE_SPACE)
-                    row.append("" if value.lower() == "null" else value)
-                    token = []
-                    if part == ")":
-                        rows.append(row)
-                if part == ")":
-                    depth = max(0, depth - 1)
-            elif depth > 0:
-                token.append(part[1:-1].replace("''", "'") if part[0] == "'" else part)
-        if depth or read != len(content):
-            raise ValueError("malformed INSERT VALUES")
-        found.append([r for r in rows if len(r) == len(RAW)])
-    return pa.array(found, pa.list_(pa.list_(pa.string())))
+# An effect says, for each state a line or a block may start in, what it ends in, and what
+# becomes of the depth of brackets: it is raised to ``-lowest`` at least (a bracket too many
+# closes nothing) and moved by ``moved``, or counted afresh. So effects of neighbours combine
+# in closed form, at any depth, and a block is read without knowing what stands before it.
+EFFECT = "array<struct<state:int,moved:int,lowest:int,afresh:boolean>>"
+
+
+def _effect_of(state, moved=0, lowest=0, afresh=True) -> Column:
+    values = (state, moved, lowest, afresh)
+    state, moved, lowest, afresh = (v if isinstance(v, Column) else F.lit(v) for v in values)
+    return F.struct(
+        state.cast("int").alias("state"), moved.cast("int").alias("moved"),
+        lowest.cast("int").alias("lowest"), afresh.alias("afresh"),
+    )
+
+
+def _scan(text: Column, quoted: bool, afresh: bool) -> Column:
+    """The effect of a piece of a VALUES list that starts inside or outside quotes."""
+    outside = F.regexp_replace(F.concat(F.lit("'" if quoted else ""), text), "'[^']*'?", "")
+    quotes = F.char_length(text) - F.char_length(F.replace(text, F.lit("'"), F.lit("")))
+    ends_in = F.lit(TUPLES) + F.pmod(quotes + int(quoted), F.lit(2))
+    brackets = F.regexp_replace(outside, "[^()]+", "")
+    opened = F.char_length(F.replace(brackets, F.lit(")"), F.lit("")))
+    moved = 2 * opened - F.char_length(brackets)
+    walked = F.aggregate(
+        F.split(brackets, ""),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")),
+        lambda acc, c: F.struct(
+            (acc["at"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("at"),
+            F.least(acc["low"], acc["at"] + F.when(c == ")", -1).otherwise(0)).alias("low"),
+        ),
+        lambda acc: acc["low"],
+    )
+    lowest = F.when(brackets.rlike(r"^(?:\(\))*+\(*+$"), 0).otherwise(walked)
+    return F.when(F.contains(outside, F.lit(";")), _effect_of(OUT)).otherwise(
+        _effect_of(ends_in, moved, lowest, F.lit(afresh)))
+
+
+def _line_effect(value: Column, kind: Column) -> Column:
+    at = F.instr(F.translate(value, "VALUES", "values"), "values")
+    before, after = F.substring(value, F.lit(1), at - 1), F.substring(value, at + len("values"), F.char_length(value))
+    ended = F.when(F.contains(value, F.lit(";")), _effect_of(OUT)).otherwise(_effect_of(HEAD))
+    head = (
+        F.when(at == 0, ended).when(F.contains(before, F.lit(";")), _effect_of(OUT))
+        .otherwise(_scan(after, False, True))
+    )
+    return F.array(
+        F.when(kind == "copy", _effect_of(COPY)).when(kind == "insert", head).otherwise(_effect_of(OUT)),
+        F.when(kind == "end", _effect_of(OUT)).otherwise(_effect_of(COPY)),
+        head,
+        _scan(value, False, False),
+        _scan(value, True, False),
+    ).cast(EFFECT)
+
+
+def _then(first: Column, second: Column) -> Column:
+    """The effect of two neighbours, for one state that the first starts in."""
+    found = F.get(second, first["state"])
+    afresh = found["afresh"]
+    return _effect_of(
+        found["state"],
+        found["moved"] + F.when(afresh, 0).otherwise(first["moved"]),
+        F.when(afresh, found["lowest"]).otherwise(F.least(first["lowest"], first["moved"] + found["lowest"])),
+        afresh | first["afresh"],
+    )
+
+
+def _together(effects: Column) -> Column:
+    """The effect of neighbours in order."""
+    unread = F.array(*[_effect_of(state, afresh=False) for state in range(5)]).cast(EFFECT)
+    return F.aggregate(effects, unread, lambda acc, e: F.transform(acc, lambda first: _then(first, e)).cast(EFFECT))
+
+
+PLACE = "struct<state:int,depth:int>"
+
+
+def _starts(start: Column, effects: Column) -> Column:
+    """What each of some neighbours starts in, given what the first starts in."""
+    def step(acc: Column, effect: Column) -> Column:
+        found = F.get(effect, acc["now"]["state"])
+        depth = F.when(found["afresh"], 0).otherwise(acc["now"]["depth"])
+        now = F.struct(found["state"].alias("state"), (found["moved"] + F.greatest(depth, -found["lowest"])).alias("depth"))
+        return F.struct(now.cast(PLACE).alias("now"), F.concat(acc["starts"], F.array(acc["now"])).alias("starts"))
+
+    none = F.struct(start.cast(PLACE).alias("now"), F.array().cast(f"array<{PLACE}>").alias("starts"))
+    return F.aggregate(effects, none, step)
 
 
 def _kind(value: Column) -> Column:
@@ -190,31 +164,86 @@ def _kind(value: Column) -> Column:
 
 
 def _labelled(lines: DataFrame) -> DataFrame:
-    """Every line with what it is read as.
+    """Every line with the state and the depth of brackets that it starts in.
 
-    A quoted value may hold text that looks like the start or the end of
-    something, so a block of lines can only be read once it is known what it
-    starts in. Each block first tells, for every state, where it leads; these
-    effects (one row per block) are chained in order; then every block is read.
+    A quoted value may hold text that looks like the start or the end of something, so a
+    line can only be read once it is known what it starts in. Effects are combined level by
+    level, ``FAN`` neighbours at a time, and starts handed down again the same way; no task
+    sees more than ``FAN`` rows together.
     """
-    blocked = lines.withColumn("_block", F.expr(f"{LINE_NO} div {BLOCK}"))
-    effects = blocked.groupBy("_block").applyInPandas(
-        _block_effect, "_block bigint, _ends array<int>"
-    )
-    chained = stage(
-        effects.coalesce(1).sortWithinPartitions("_block").mapInPandas(
-            _chain, "_block bigint, _state int"
-        )
+    parts = stage(
+        lines.withColumn("effect", _line_effect(F.col("value"), F.col("_kind")))
+        .groupBy(F.expr(f"{LINE_NO} div {FAN}").alias("block"))
+        .agg(F.sort_array(F.collect_list(F.struct(LINE_NO, "value", "_kind", "effect"))).alias("parts"))
+        .withColumn("effect", _together(F.col("parts.effect")))
     )
-    if chained.filter((F.col("_block") == -1) & (F.col("_state") >= HEAD)).count():
+    levels = [parts.select("block", "effect")]
+    last = lines.agg(F.max(F.abs(LINE_NO))).first()[0] or 0
+    while last >= FAN * FAN:
+        last //= FAN
+        levels.append(stage(
+            levels[-1].groupBy(F.expr(f"block div {FAN}").alias("above"))
+            .agg(F.sort_array(F.collect_list(F.struct("block", "effect"))).alias("parts"))
+            .select(F.col("above").alias("block"), _together(F.col("parts.effect")).alias("effect"), "parts")
+        ))
+    # No more than FAN rows are left; they hang from one.
+    top = levels[-1].agg(F.sort_array(F.collect_list(F.struct("block", "effect"))).alias("parts"))
+    outside = F.struct(F.lit(OUT).alias("state"), F.lit(0).alias("depth"))
+    walked = top.select("parts", _starts(outside, F.col("parts.effect")).alias("w"))
+    if walked.select("w.now.state").first()[0] >= HEAD:
         raise ValueError("unterminated INSERT statement")
-    return blocked.join(chained, "_block").groupBy("_block").applyInPandas(
-        _label, f"{LINE_NO} bigint, value string, _kind string, _before int"
-    )
+
+    def handed_down(walked: DataFrame) -> DataFrame:
+        each = F.explode(F.arrays_zip(F.col("parts.block").alias("block"), F.col("w.starts").alias("start"))).alias("p")
+        return walked.select(each).select("p.block", "p.start")
+
+    starts = handed_down(walked)
+    for level in reversed(levels[1:]):
+        starts = handed_down(
+            level.join(starts, "block").select("parts", _starts(F.col("start"), F.col("parts.effect")).alias("w")))
+    read = parts.select("block", "parts").join(starts, "block").select(
+        "parts", _starts(F.col("start"), F.col("parts.effect"))["starts"].alias("starts"))
+    each = F.explode(F.arrays_zip("parts", "starts")).alias("p")
+    return read.select(each).select(
+        f"p.parts.{LINE_NO}", "p.parts.value", "p.parts._kind",
+        F.col("p.starts.state").alias("_before"), F.col("p.starts.depth").alias("_depth"))
+
+
+def _tuple_rows(pieces: DataFrame) -> DataFrame:
+    """``(line_no, rows)``: the tuples of eight values in pieces of VALUES lists.
+
+    Tokens are numbered in their piece; running sums over them give the depth of brackets
+    (which no bracket too many lowers) and number the tuples and the values.
+    """
+    tokens = pieces.select(LINE_NO, "text", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    whole = F.char_length(F.array_join("tokens", "")) == F.char_length("text")
+    malformed = F.raise_error(F.lit("malformed INSERT VALUES")).cast("boolean")
+    tokens = tokens.filter(F.when(whole, True).otherwise(malformed)).select(LINE_NO, F.posexplode("tokens").alias("at", "part"))
+    order = Window.partitionBy(LINE_NO).orderBy("at")
+    so_far, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    part, depth = F.col("part"), F.col("depth")
+    summed = tokens.withColumn("sum", F.sum(F.when(part == "(", 1).when(part == ")", -1).otherwise(0)).over(so_far))
+    deep = summed.withColumn("after", F.col("sum") - F.least(F.min("sum").over(so_far), F.lit(0)))
+    deep = deep.withColumn("depth", F.lag("after", 1, 0).over(order))
+    closes = part.isin(",", ")") & (depth == 1)
+    numbered = deep.withColumns({
+        "tuple": F.sum(((part == "(") & (depth == 0)).cast("int")).over(so_far),
+        "number": F.coalesce(F.sum(closes.cast("int")).over(earlier), F.lit(0)),
+        "open": F.last("after").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    }).filter(F.when(F.col("open") > 0, malformed).otherwise(depth > 0))
+    text = F.when(part.startswith("'"), F.replace(F.substring(part, F.lit(2), F.char_length(part) - 2), F.lit("''"), F.lit("'")))
+    text = F.when(part.isin("(", ",", ")"), "").otherwise(F.coalesce(text, part))
+    values = numbered.groupBy(LINE_NO, "tuple", "number").agg(
+        gtrim(F.array_join(F.sort_array(F.collect_list(F.struct("at", text.alias("text"))))["text"], "")).alias("value"))
+    filled = F.when(gfold("value") == "null", "").otherwise(F.col("value"))
+    tuples = values.groupBy(LINE_NO, "tuple").agg(
+        F.sort_array(F.collect_list(F.struct("number", filled.alias("value"))))["value"].alias("fields"))
+    eight = tuples.filter(F.size("fields") == len(RAW)).groupBy(LINE_NO)
+    return eight.agg(F.sort_array(F.collect_list(F.struct("tuple", "fields")))["fields"].alias("rows"))
 
 
 def _mixed_rows(lines: DataFrame, escapes: str) -> DataFrame:
-    """``(line_no, fields)`` of a dump that holds INSERT statements.
+    """``(line_no, rows)`` of a dump that holds INSERT statements.
 
     A statement may hold most of the dump, so it is never put together: its
     lines are joined only as far as a tuple runs on.
@@ -225,7 +254,7 @@ def _mixed_rows(lines: DataFrame, escapes: str) -> DataFrame:
         LINE_NO, _copy_fields(F.col("value"), escapes).alias("fields")
     ).filter(F.size("fields") == len(RAW)).select(LINE_NO, F.array("fields").alias("rows"))
     starts = (before == OUT) & (kind == "insert")
-    opens = starts | (before == TUPLES)
+    opens = starts | ((before == TUPLES) & (F.col("_depth") == 0))
     inserted = running_last(
         labelled.filter(starts | (before >= HEAD)), LINE_NO, F.when(opens, F.col(LINE_NO)), "_piece"
     )
@@ -235,36 +264,35 @@ def _mixed_rows(lines: DataFrame, escapes: str) -> DataFrame:
     ).select(F.col("_piece").alias(LINE_NO), F.array_join("_lines.value", "\n").alias("text"), "_headed")
     at = F.instr(gfold("text"), "values")
     values = F.substring(F.col("text"), at + len("values"), F.char_length("text"))
-    tuples = pieces.filter(~F.col("_headed") | (at > 0)).select(
-        LINE_NO, _tuples(F.when(F.col("_headed"), values).otherwise(F.col("text"))).alias("rows")
-    )
-    rows = stage(copied.unionByName(tuples).filter(F.size("rows") > 0))
-    numbered = running_sum(rows, LINE_NO, F.size("rows"), "_through")
-    return numbered.select(
-        (F.col("_through") - F.size("rows") + 1).alias("_first"), F.posexplode("rows")
-    ).select((F.col("_first") + F.col("pos")).alias(LINE_NO), F.col("col").alias("fields"))
+    tuples = _tuple_rows(pieces.filter(~F.col("_headed") | (at > 0)).select(
+        LINE_NO, F.when(F.col("_headed"), values).otherwise(F.col("text")).alias("text")
+    ))
+    return copied.unionByName(tuples)
 
 
 def _copy_rows(lines: DataFrame, escapes: str) -> DataFrame:
-    """``(line_no, fields)`` of a dump of COPY blocks only."""
+    """``(line_no, rows)`` of a dump of COPY blocks only."""
     opens = F.when(F.col("_kind").isin("copy", "end"), F.col("_kind") == "copy")
     inside = running_last(lines, LINE_NO, opens, "_inside", inclusive=False)
     return inside.filter(F.col("_inside") & (F.col("_kind") != "end")).select(
         LINE_NO, F.explode(F.array(_copy_fields(F.col("value"), escapes))).alias("fields")
-    )
+    ).filter(F.size("fields") == len(RAW)).select(LINE_NO, F.array("fields").alias("rows"))
 
 
 def parse_devinfo(lines: DataFrame, escapes: str = "doubled") -> DataFrame:
-    """Numbered dump lines to the eight raw columns, in dump order by ``line_no``.
+    """Numbered dump lines to the eight raw columns.
 
-    Rows without exactly eight fields are skipped; an empty lower-case value is
-    filled in from the value.
+    ``line_no`` counts the rows in dump order from 1, whatever statements they come from.
+    Rows without exactly eight fields are skipped; an empty lower-case value is filled in
+    from the value. A dump without INSERT takes a shorter way to the same rows.
     """
     lines = lines.select(LINE_NO, "value", _kind(F.col("value")).alias("_kind"))
     has_insert = not lines.filter(F.col("_kind") == "insert").isEmpty()
     rows = _mixed_rows(lines, escapes) if has_insert else _copy_rows(lines, escapes)
-    cells = rows.filter(F.size("fields") == len(RAW)).select(
-        LINE_NO, *[F.col("fields")[i].alias(c) for i, c in enumerate(RAW)]
+    numbered = running_sum(stage(rows), LINE_NO, F.size("rows"), "_through")
+    each = numbered.select((F.col("_through") - F.size("rows") + 1).alias("_first"), F.posexplode("rows").alias("at", "fields"))
+    cells = each.select(
+        (F.col("_first") + F.col("at")).alias(LINE_NO), *[F.col("fields")[i].alias(c) for i, c in enumerate(RAW)]
     )
     folded = F.when(F.col("field_value_lc") == "", gfold("field_value"))
     return cells.withColumn("field_value_lc", F.coalesce(folded, F.col("field_value_lc")))

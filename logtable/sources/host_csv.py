@@ -9,6 +9,7 @@ from logtable.operators.rows import LINE_NO, with_roles
 from logtable.plans.ordered import (
     BROADCAST_ROWS, number_placed, place_scan, running_last, running_sum,
 )
+from logtable.plans.staging import stage
 from logtable.sources.lines import scan_lines
 
 # One field behind its comma: quoted with doubled quotes inside, or plain.
@@ -24,12 +25,19 @@ def _odd_quotes(text: Column) -> Column:
 def csv_records(lines: DataFrame) -> DataFrame:
     """Join the lines of each record: ``(line_no of its first line, file, record)``.
 
-    A record starts where the number of quotes before it is even. Blank lines
-    between records are dropped.
+    A record starts where the number of quotes before it, in its file, is even. Blank
+    lines between records are dropped. A file that ends inside a quoted cell is refused
+    before any of its lines are joined.
     """
     flagged = lines.withColumn("_odd", _odd_quotes(F.col("value")))
     counted = running_sum(flagged, LINE_NO, F.col("_odd"), "_quotes")
-    opens = F.pmod(F.col("_quotes") - F.col("_odd"), F.lit(2)) == 0
+    files = stage(counted.groupBy("file").agg(
+        F.min(F.col("_quotes") - F.col("_odd")).alias("_before"), F.sum("_odd").alias("_all")))
+    open_ended = files.filter("_all % 2 = 1").select(F.min("file")).first()[0]
+    if open_ended is not None:
+        raise ValueError(f"CSV file {open_ended} ends inside a quoted cell")
+    counted = counted.join(files.select("file", "_before"), "file")
+    opens = F.pmod(F.col("_quotes") - F.col("_odd") - F.col("_before"), F.lit(2)) == 0
     placed = running_last(counted, LINE_NO, F.when(opens, F.col(LINE_NO)), "_record")
     joined = placed.groupBy("_record", "file").agg(
         F.sort_array(F.collect_list(F.struct(LINE_NO, "value"))).alias("_lines")
@@ -55,7 +63,7 @@ def parse_csv(records: DataFrame, columns: list[str]) -> DataFrame:
     split = records.withColumn("_fields", F.explode(F.array(_fields(F.col("record")))))
     taken = F.aggregate("_fields", F.lit(0), lambda total, f: total + F.char_length(f) + 1)
     whole = (taken == F.char_length("record") + 1) & (F.size("_fields") == len(columns))
-    complaint = F.concat(F.lit("malformed CSV record at line "), F.col(LINE_NO).cast("string"))
+    complaint = F.concat(F.lit("malformed CSV record at line "), F.col(LINE_NO).cast("string"), F.lit(" of the rows, in "), "file")
     checked = split.filter(
         F.when(whole, True).otherwise(F.raise_error(complaint).cast("boolean"))
     )
@@ -64,13 +72,14 @@ def parse_csv(records: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _header(records: DataFrame, path: str) -> list[str]:
-    first = records.orderBy(LINE_NO).limit(1).select(_fields(F.col("record")).alias("f")).first()
-    if first is None:
+    """The column names, which the first records of all files must agree on."""
+    heads = records.groupBy("file").agg(F.min_by("record", LINE_NO).alias("record")).select(
+        _fields(F.regexp_replace("record", f"^{BOM}", "")).alias("f")).distinct().limit(2).collect()
+    if not heads:
         raise ValueError(f"CSV {path!r} has no rows")
-    return [
-        name[1:-1].replace('""', '"') if name.startswith('"') else name
-        for name in (first["f"][0].removeprefix(BOM), *first["f"][1:])
-    ]
+    if len(heads) > 1:
+        raise ValueError(f"CSV {path!r}: files differ in their header: {heads[0]['f']} and {heads[1]['f']}")
+    return [name[1:-1].replace('""', '"') if name.startswith('"') else name for name in heads[0]["f"]]
 
 
 def read_host_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -92,11 +101,11 @@ def read_host_csv(spark: SparkSession, path: str) -> DataFrame:
         names = _header(number_placed(placed).withColumnRenamed("value", "record"), path)
         records = number_placed(placed, skip_first=True).withColumnRenamed("value", "record")
     else:
-        every = csv_records(number_placed(placed))
+        every = stage(csv_records(number_placed(placed)))
         names = _header(every, path)
-        headers = every.groupBy("file").agg(F.min(LINE_NO).alias(LINE_NO)).select(LINE_NO)
-        few = len(placed.inputFiles()) <= BROADCAST_ROWS
+        headers = stage(every.groupBy("file").agg(F.min(LINE_NO).alias(LINE_NO)).select(LINE_NO))
+        few = headers.count() <= BROADCAST_ROWS
         body = every.join(F.broadcast(headers) if few else headers, LINE_NO, "left_anti")
         counted = running_sum(body, LINE_NO, F.lit(1), "_ordinal")
-        records = counted.select(F.col("_ordinal").alias(LINE_NO), "record")
+        records = counted.select(F.col("_ordinal").alias(LINE_NO), "file", "record")
     return with_roles(parse_csv(records, names), "host")

@@ -230,7 +230,7 @@ def devinfo_copy(spark, sf_dir):
 
 
 @query("devinfo_copy_file", f"""WITH {ATTRIBUTES}
-SELECT row_number() OVER (ORDER BY line_no) + 2 AS line_no, {RAW_SQL} FROM attributes""")
+SELECT row_number() OVER (ORDER BY line_no) AS line_no, {RAW_SQL} FROM attributes""")
 def devinfo_copy_file(spark, sf_dir):
     return read_devinfo_dump(spark, write_lines(copy_lines(spark, sf_dir))).select("line_no", *RAW)
 

@@ -30,7 +30,7 @@ def small_blocks(monkeypatch, size=16):
     import logtable.plans.ordered as ordered
     import logtable.sources.devinfo_dump as dump
     monkeypatch.setattr(ordered, "BLOCK", size)
-    monkeypatch.setattr(dump, "BLOCK", size)
+    monkeypatch.setattr(dump, "FAN", max(2, size // 4))
 
 
 def rows(df, *columns):
@@ -75,10 +75,31 @@ def test_csv_without_line_breaks(spark, tmp_path, splits):
 def test_csv_malformed_fails_even_on_count(spark, tmp_path, body):
     path = tmp_path / "bad.csv"
     path.write_text(body)
-    with pytest.raises(PySparkException):
+    with pytest.raises((PySparkException, ValueError)):
         read_host_csv(spark, str(path)).select("a").count()
 
 
+def test_csv_files_stand_alone(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,x"\n2,y\n')
+    (tmp_path / "b.csv").write_text('a,b\n3,"two\nlines"\n')
+    with pytest.raises(ValueError, match="a.csv"):
+        read_host_csv(spark, str(tmp_path / "*.csv"))
+    assert rows(read_host_csv(spark, str(tmp_path / "b.csv")), "a", "b") == [("3", "two\nlines")]
+    (tmp_path / "a.csv").write_text('a,b\n1,x"\n2,y"\n')
+    with pytest.raises(PySparkException, match="a.csv"):
+        read_host_csv(spark, str(tmp_path / "*.csv")).collect()
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n")
+    assert rows(read_host_csv(spark, str(tmp_path / "*.csv")), "a", "b") == [("1", "x"), ("3", "two\nlines")]
+
+
+@pytest.mark.parametrize("body", ["3,x\n", '3,"two\nlines"\n'])
+def test_csv_headers_must_agree(spark, tmp_path, body):
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "b.csv").write_text("a,c\n" + body)
+    with pytest.raises(ValueError, match="header"):
+        read_host_csv(spark, str(tmp_path / "*.csv"))
+
+
 def test_csv_refusals(spark, tmp_path):
     empty = tmp_path / "empty.csv"
     empty.write_text("")
@@ -211,6 +232,23 @@ def test_insert_details(spark, monkeypatch):
     ]
 
 
+def test_line_numbers_count_rows_with_and_without_insert(spark):
+    alone = rows(parse_devinfo(numbered(spark, DUMP)), "line_no", "category")
+    assert alone == [(1, "sw_main"), (2, "sw_main"), (3, "sw_port")]
+    assert rows(parse_devinfo(numbered(spark, DUMP + INSERT)), "line_no", "category")[:3] == alone
+    assert rows(parse_devinfo(numbered(spark, INSERT + DUMP)), "line_no", "category")[2:] == [(n + 2, c) for n, c in alone]
+
+
+@pytest.mark.parametrize("depth", [1, 9, 40])
+def test_nested_brackets_over_lines(spark, monkeypatch, depth):
+    small_blocks(monkeypatch, 8)
+    value = ["(" * (depth // 2), "(" * (depth - depth // 2) + "x", ")" * (depth // 2), ")" * (depth - depth // 2)]
+    lines = ["insert into public.devinfo values ('c','1','','f',", *value, ",'','',''),", ") ('d','2','','f','y','','','');"]
+    expected = [("c", "1", "x"), ("d", "2", "y")]
+    assert [(c, i, v.strip()) for c, i, v in rows(parse_devinfo(numbered(spark, lines)), "category", "id", "field_value")] == expected
+    assert rows(parse_devinfo(numbered(spark, ["".join(lines)])), "category", "id", "field_value") == expected
+
+
 @pytest.mark.parametrize("lines, error", [
     (["insert into public.devinfo values ('a',"], ValueError),
     (["insert into public.devinfo values ('a', (1);"], PySparkException),
