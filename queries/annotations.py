@@ -175,6 +175,16 @@ def exported(spark, sf_dir):
     return read_host_csv(spark, path)
 
 
+@query("export_fallback", f"""WITH {EVENT_LOG}, {OLD}
+SELECT line_no, event, kind, coalesce(mark, '') AS "Mark" FROM log LEFT JOIN old USING (account, kind)""")
+def exported_fallback(spark, sf_dir):
+    """An empty view exports every row in line order."""
+    log = shared_log(spark, sf_dir)
+    path = fresh_path(spark, ".csv")
+    export_csv(LogView.of(log).filter("^nothing at all$").sort("value"), old_marks(log), path)
+    return read_host_csv(spark, path).select("line_no", "event", "kind", "Mark")
+
+
 @query("export_pages", """SELECT page_id + 1 AS line_no, url, replace(html, '>', E'>\\n') AS html,
   '' AS "Mark", '' AS "Comment" FROM pages""")
 def exported_pages(spark, sf_dir):

@@ -10,12 +10,12 @@ from logtable.operators.devinfo import (
 )
 from logtable.plans.ordered import in_order
 from logtable.plans.staging import stage
-from logtable.sources.config import field_mappings
+from logtable.sources.config import field_mappings, group_rules
 from logtable.sources.devinfo_dump import RAW, parse_devinfo, read_devinfo_dump
 from logtable.sources.lines import read_lines
 from logtable.sources.plugin_log import COLUMNS as PLUGIN_COLUMNS, parse_plugin, read_plugin_log
 from logtable.sources.stats_log import COLUMNS as STATS_COLUMNS, parse_stats, read_stats_log
-from queries.tables import read, write_lines
+from queries.tables import read, write_document, write_lines
 
 QUERIES, SQL = {}, {}
 
@@ -235,6 +235,23 @@ def devinfo_copy_file(spark, sf_dir):
     return read_devinfo_dump(spark, write_lines(copy_lines(spark, sf_dir))).select("line_no", *RAW)
 
 
+@query("devinfo_escapes", """SELECT row_number() OVER (ORDER BY p_partkey) AS line_no, CAST(p_partkey AS VARCHAR) AS id,
+  replace(p_name, ' ', chr(9)) || chr(10) || p_brand || chr(13) || chr(92) || chr(92) || p_type AS field_value,
+  CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END AS extra FROM part""")
+def devinfo_escapes(spark, sf_dir):
+    """COPY rows with tabs, line ends and backslashes inside values, and nulls."""
+    part = read(spark, sf_dir, "part")
+    value = F.concat(
+        F.replace("p_name", F.lit(" "), F.lit(r"\\t")), F.lit(r"\\n"), "p_brand", F.lit(r"\\r"), F.lit("\\" * 4), "p_type")
+    extra = F.when(F.col("p_size") % 2 == 0, F.lit(r"\\N")).otherwise(F.col("p_type"))
+    key = F.col("p_partkey").cast("string")
+    lines = part.select(
+        (F.col("p_partkey") + 1).cast("long").alias("line_no"),
+        F.concat_ws("\t", F.lit("c"), key, F.lit(""), F.lit("f"), value, F.lit(""), F.lit(""), extra).alias("value"),
+    ).unionByName(_one_line(spark, 0, COPY_HEAD)).unionByName(_one_line(spark, 10**12, "\\."))
+    return parse_devinfo(stage(lines)).select("line_no", "id", "field_value", "extra")
+
+
 INSERTED = f"""WITH {ATTRIBUTES}, both_parts AS (SELECT * FROM attributes UNION ALL
   SELECT 999999999, 'last', '0', '', 'f', 'on two' || chr(10) || 'lines', '', '')
 SELECT row_number() OVER (ORDER BY line_no) AS line_no, {RAW_SQL} FROM both_parts"""
@@ -292,6 +309,14 @@ def devinfo_groups(spark, sf_dir):
     return list_groups(attributes(spark, sf_dir), RULES)
 
 
+@query("devinfo_groups_file", f"""WITH {ATTRIBUTES}
+SELECT {GROUP} AS group_category, min(line_no) AS seen FROM attributes GROUP BY 1""")
+def devinfo_groups_file(spark, sf_dir):
+    """The same by rules from a file; the default prefix rule is added to it."""
+    rules = {"nosplit": list(RULES.nosplit), "exact": RULES.exact, "prefix": {k: v for k, v in RULES.prefix.items() if k != "sw_"}}
+    return list_groups(attributes(spark, sf_dir), group_rules(spark, write_document(spark, rules)))
+
+
 @query("devinfo_categories", f"WITH {ATTRIBUTES} SELECT category, min(line_no) AS seen FROM attributes GROUP BY 1")
 def devinfo_categories(spark, sf_dir):
     return list_categories(attributes(spark, sf_dir))
@@ -338,6 +363,18 @@ def devinfo_mapped(spark, sf_dir):
     return decoded(spark, sf_dir).drop("seen", "field_seen")
 
 
+@query("devinfo_mapped_file", MAPPED.replace("CAST(raw_value AS INT)", "TRY_CAST(raw_value AS INT)") + """
+SELECT group_category, category, id, field_name, field_label, value, "desc" FROM decoded WHERE category = 'net_building' AND id = '7'
+UNION ALL SELECT group_category, category, id, field_name, field_label, value, "desc" FROM decoded WHERE category = 'sw_machinery'
+UNION ALL SELECT group_category, category, id, field_name, field_label, value, "desc" FROM decoded WHERE id = '3'""")
+def devinfo_mapped_file(spark, sf_dir):
+    """Mappings from a file, on the fields of one category, of one id, and of both."""
+    fields, mappings = fold(folded_raw(spark, sf_dir)), field_mappings(spark, write_document(spark, MAPPINGS))
+    chosen = [devinfo_query(fields, category="net_building", id="7"), devinfo_query(fields, category="sw_machinery"), devinfo_query(fields, id="3")]
+    found = chosen[0].unionByName(chosen[1]).unionByName(chosen[2])
+    return apply_mappings(found, mappings).select("group_category", "category", "id", "field_name", "field_label", "value", "desc")
+
+
 @query("devinfo_query", MAPPED.replace("CAST(raw_value AS INT)", "TRY_CAST(raw_value AS INT)") + """
 SELECT group_category, category, id, field_name, value, row_number() OVER (ORDER BY id, field_seen) AS pos
 FROM decoded WHERE group_category = 'net' AND category <> '' AND contains(lower(raw_value), 'in')""")

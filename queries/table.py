@@ -9,6 +9,7 @@ from logtable.operators import positions as places
 from logtable.operators.columns import reorder_columns, reset_view, toggle_columns
 from logtable.operators.filters import filter_marked, filter_regex, match_spans, search
 from logtable.operators.presets import dedupe_ordered, filter_preset, merge_presets, tag_presets
+from logtable.sources.config import read_presets
 from logtable.operators.rows import column_profile, with_line_no, with_row_id
 from logtable.operators.sorting import ordering
 from logtable.operators.view import LogView
@@ -16,7 +17,7 @@ from logtable.operators.windows import TimeWindow, filter_window, parse_input
 from logtable.plans.ordered import in_order
 from queries.tables import (
     EVENT_CELLS, EVENT_LOG, EVENT_TEXT, document_log, event_log, fnv_sql, marks, marks_sql, read,
-    shared_log,
+    shared_log, write_document,
 )
 
 QUERIES, SQL = {}, {}
@@ -123,6 +124,21 @@ def preset_filter(spark, sf_dir):
     return filter_preset(document_log(spark, sf_dir), PRESETS, "address").select("line_no")
 
 
+FILE_PRESETS = ((r"(?i)licen[cs]e", "license"), (r"^[A-Z][a-z]+ [a-z]+ [a-z]+[.]", "three words"), ("[0-9]{3,}", ""))
+
+
+@query("preset_file", "SELECT doc_id + 1 AS line_no, preset FROM documents CROSS JOIN (VALUES " + ", ".join(
+    f"('{name}', '{pattern}')" for pattern, name in FILE_PRESETS
+) + ") AS p(preset, pattern) WHERE regexp_matches(text, pattern)")
+def preset_file(spark, sf_dir):
+    """Presets written to a file, read back and applied; the last entry is plain text."""
+    entries = [{"pattern": p, "description": d} for p, d in FILE_PRESETS[:-1]] + [FILE_PRESETS[-1][0], " "]
+    presets = read_presets(spark, write_document(spark, {"presets": entries}))
+    kept = [(r["pattern"], r["description"]) for r in presets.orderBy("ord").collect()]
+    tagged = tag_presets(document_log(spark, sf_dir), kept)
+    return tagged.select("line_no", F.explode("presets").alias("preset"))
+
+
 @query("text_search", """SELECT doc_id + 1 AS line_no FROM documents
 WHERE contains(lower(text), lower('CIÓNta'))""")
 def text_search(spark, sf_dir):
@@ -264,6 +280,13 @@ def page(spark, sf_dir):
     return price_view(spark, sf_dir).page(501, 50).select("line_no", "pos")
 
 
+@query("deep_page", f"WITH {PRICE_VIEW} SELECT line_no, pos, price FROM placed WHERE pos BETWEEN n * 9 // 10 AND n * 9 // 10 + 39")
+def deep_page(spark, sf_dir):
+    view = price_view(spark, sf_dir)
+    start = view.rows().count() * 9 // 10
+    return view.page(start, 40).select("line_no", "pos", F.col("price").cast("double").alias("price"))
+
+
 @query("last_page", f"WITH {PRICE_VIEW} SELECT line_no, pos FROM placed WHERE pos > n - 25")
 def last_page(spark, sf_dir):
     return price_view(spark, sf_dir).last(25).select("line_no", "pos")

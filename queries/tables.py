@@ -6,6 +6,7 @@ so on; line numbers count from 1.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -95,5 +96,12 @@ def write_lines(lines: DataFrame) -> str:
     return path
 
 
+def write_document(spark: SparkSession, content: dict) -> str:
+    """Write a configuration as a JSON file; returns its path."""
+    path = fresh_path(spark, ".json")
+    spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
 def fresh_path(spark: SparkSession, suffix: str = "") -> str:
     return f"{staging_root(spark)}/{uuid.uuid4().hex}{suffix}"
