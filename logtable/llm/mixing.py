@@ -26,6 +26,8 @@ GOLDEN, POINTS = 1327217885, 1 << 31
 MAX_PASSES = 3
 #: Rows of one bucket of a shuffled source, and slots whose ranks one window finds.
 BUCKET, CHUNK = 512, 4096
+#: Cells that the whole of the targets is cut into.
+CELLS = 4096
 
 
 def word_count(text: str = "text") -> Column:
@@ -85,14 +87,19 @@ def schedule(spark: SparkSession, targets: DataFrame, total: int, block_words: i
     ordered = Window.orderBy(F.col("source").isNull(), "source")
     shares = targets.select(
         "source", (F.sum("target").over(ordered) - F.col("target")).alias("low"), F.sum("target").over(ordered).alias("high"),
-        F.lead("source").over(ordered).isNull().alias("last"),
         F.row_number().over(Window.orderBy(F.col("source").isNull().desc(), F.col("source").desc())).alias("from_end"),
     )
+    # Points and shares meet in cells of equal width, most of which belong to one source.
+    cell = lambda at: F.floor(at / float(max(total, 1)) * CELLS).cast("int")
+    last_cell = F.when(F.col("from_end") == 1, CELLS - 1).otherwise(F.least(cell(F.col("high")), F.lit(CELLS - 1)))
+    shares = shares.filter("high > low").withColumn("cell", F.explode(F.sequence(F.least(cell(F.col("low")), last_cell), last_cell)))
     point = (F.col("id") % POINTS * GOLDEN % POINTS).cast("double") / POINTS * total
     numbered = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"), F.expr(f"id div {CHUNK}").alias("chunk"))
-    # One row per source: a range join against as many rows as there are sources.
     inside = (F.col("point") >= F.col("low")) & ((F.col("point") < F.col("high")) | (F.col("from_end") == 1))
-    dealt = numbered.join(shares.filter("high > low"), inside).select("slot", "chunk", "source")
+    dealt = (
+        numbered.withColumn("at", cell(F.col("point"))).join(shares, (F.col("at") == F.col("cell")) & inside)
+        .select("slot", "chunk", "source")
+    )
     counts = dealt.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
     bases = total_before(counts, ["source"], "chunk", "n", "base").select(
         F.col("source").alias("s"), F.col("chunk").alias("c"), "base")
