@@ -28,6 +28,12 @@ CONTROL = {"a": r"\x07", "f": r"\f", "n": r"\n", "r": r"\r", "t": r"\t", "v": r"
 
 WORD_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 NO_WORD_EDGE = r"(?:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"
+# Beside what is a word character for sure, one look-around tells a word edge.
+BEFORE_WORD, AFTER_WORD = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
+WORD_NEXT = re.compile(r"(?:\\[dw]|\w)(?![*?]|\{0)", re.ASCII)
+# Ignoring case, K and S also stand for letters that are no word characters.
+FOLDED_WORD_NEXT = re.compile(r"(?:\\d|(?![kKsS])\w)(?![*?]|\{0)", re.ASCII)
+MAY_BE_NONE = re.compile(r"[*?]|\{0")
 REPEAT = re.compile(r"\{(\d+)(?:,(\d*))?\}")
 MAX_REPEAT = 1000
 
@@ -56,6 +62,9 @@ def literal(text: str) -> str:
 class _Translation:
     def __init__(self, pattern: str):
         self.src, self.at, self.out = pattern, 0, []
+        # Whether what was read last ends in a word character for sure; texts that every
+        # match holds.
+        self.word, self.needed = False, [""]
 
     def fail(self, why: str):
         raise InvalidPattern(f"{why} in pattern {self.src!r}")
@@ -76,27 +85,60 @@ class _Translation:
         return "".join(self.out)
 
     def alternatives(self, flags: _Flags, depth: int):
+        self.word = several = False
+        flags = self.branch(flags, depth)
+        while self.take("|"):
+            self.out.append("|")
+            self.word, several = False, True
+            flags = self.branch(flags, depth)
+        if several:
+            self.word = False
+            if not depth:
+                self.needed = [""]
+
+    def must_hold(self, text: str, depth: int, flags: _Flags):
+        """Note a literal outside groups, or ('') something else."""
+        if depth or flags.fold or not text:
+            self.needed.append("")
+        else:
+            self.needed[-1] += text
+
+    def branch(self, flags: _Flags, depth: int) -> _Flags:
+        """One alternative; flags that it changes stay so in the next."""
         repeatable = False
         while self.at < len(self.src):
             ch = self.src[self.at]
-            if ch == ")":
-                return
+            if ch in "|)":
+                break
             count = self.repetition()
             if count is not None:
                 if not repeatable:
                     self.fail("misplaced repetition")
                 self.out.append(count + ("" if self.take("?") == flags.lazy else "?"))
+                if MAY_BE_NONE.match(count):
+                    self.word, self.needed[-1] = False, self.needed[-1][:-1]
+                self.needed.append("")
                 if self.at < len(self.src) and self.repetition(peek=True):
                     self.fail("stacked repetition")
                 repeatable = False
                 continue
             repeatable = True
-            if self.take("|"):
-                self.out.append("|")
-                repeatable = False
-            elif self.take("("):
+            if self.take("("):
+                self.must_hold("", depth, flags)
                 flags, repeatable = self.group(flags, depth)
-            elif ch == "[":
+                continue
+            word, self.word = self.word, False
+            if ch == "\\":
+                self.escape(flags, depth, word)
+                continue
+            if ch not in "[.^$":
+                self.at += 1
+                self.out.append(literal(ch))
+                self.must_hold(ch, depth, flags)
+                self.word = self.is_word(ch, flags)
+                continue
+            self.must_hold("", depth, flags)
+            if ch == "[":
                 self.out.append(self.char_class())
             elif self.take("."):
                 self.out.append("(?s:.)" if flags.dot_all else r"[^\n]")
@@ -104,11 +146,11 @@ class _Translation:
                 self.out.append(r"(?<![^\n])" if flags.multi else r"\A")
             elif self.take("$"):
                 self.out.append(r"(?![^\n])" if flags.multi else r"\z")
-            elif ch == "\\":
-                self.escape()
-            else:
-                self.at += 1
-                self.out.append(literal(ch))
+        return flags
+
+    @staticmethod
+    def is_word(ch: str, flags: _Flags) -> bool:
+        return ch.isascii() and (ch.isalnum() or ch == "_") and not (flags.fold and ch in "kKsS")
 
     def repetition(self, peek: bool = False) -> str | None:
         ch = self.src[self.at]
@@ -144,6 +186,7 @@ class _Translation:
                     if not text:
                         self.fail("missing flags")
                     self.out.append("(?iu)" if inner.fold else "(?-iu)")
+                    self.word = False
                     return inner, False
         self.out.append("(?iu:" if inner.fold else "(?-iu:")
         self.alternatives(inner, depth + 1)
@@ -152,18 +195,29 @@ class _Translation:
         self.out.append(")")
         return flags, True
 
-    def escape(self):
+    def escape(self, flags: _Flags, depth: int, word: bool):
+        """``word``: what stands before ends in a word character."""
         if self.take("\\Q"):
+            self.must_hold("", depth, flags)
             quoted_text, _, _ = self.src[self.at:].partition("\\E")
             self.at = min(len(self.src), self.at + len(quoted_text) + 2)
             self.out.append(literal(quoted_text))
             return
         ends = {"A": r"\A", "z": r"\z", "b": WORD_EDGE, "B": NO_WORD_EDGE}
-        if (kind := self.src[self.at + 1]) in ends:
+        kind = self.src[self.at + 1]
+        if kind in ends:
+            self.must_hold("", depth, flags)
             self.at += 2
-            self.out.append(ends[kind])
+            edge = ends[kind]
+            if kind == "b" and word:
+                edge = AFTER_WORD
+            elif kind == "b" and (FOLDED_WORD_NEXT if flags.fold else WORD_NEXT).match(self.src, self.at):
+                edge = BEFORE_WORD
+            self.out.append(edge)
             return
         member = self.class_escape()
+        self.must_hold(kind if not kind.isalnum() else "", depth, flags)
+        self.word = kind == "d" or (kind == "w" and not flags.fold)
         self.out.append(f"[{member}]" if member[0] != "[" else member)
 
     def class_escape(self) -> str:
@@ -240,3 +294,10 @@ class _Translation:
 def to_java(pattern: str) -> str:
     """Translate an RE2 pattern; raises :class:`InvalidPattern`."""
     return _Translation(pattern).run()
+
+
+def needed_text(pattern: str) -> str:
+    """A text that every match of the pattern holds, '' if none is known."""
+    read = _Translation(pattern)
+    read.run()
+    return max(read.needed, key=len)

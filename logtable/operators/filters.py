@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from logtable.functions.patterns import InvalidPattern, to_java
+from logtable.functions.patterns import InvalidPattern, needed_text, to_java
 from logtable.functions.text import WHITE_SPACE, cell, gfold, quoted, row_text
 from logtable.operators.rows import LINE_NO, ROW_ID, TS, data_columns
 
@@ -21,7 +21,8 @@ def regex_match(text: Column, pattern: str) -> Column:
         SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(java)
     except IllegalArgumentException as error:
         raise InvalidPattern(f"{pattern!r}: {error}") from None
-    return text.rlike(java)
+    needed = needed_text(pattern)
+    return F.contains(text, F.lit(needed)) & text.rlike(java) if needed else text.rlike(java)
 
 
 def filter_regex(

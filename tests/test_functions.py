@@ -46,6 +46,28 @@ def test_patterns_match_as_in_re2(spark):
     assert not wrong
 
 
+EDGES = [
+    r"\ba", r"a\b", r"\ba?b", r"\b1{0,2}", r"\b\d+\b", r"\w\b\W", r"(a|1)\b", r"(?:1a)\b", r"(a)?\bb", r"a*\b-", r"\b(a|-)", r"a+\b",
+    r"(?i)\bk", r"(?i)K\b", r"(?i)\bA1\b", r"\b\b1", r"a-|\b1", r"(a\b)-?", r"x?-a", r"a-+", r"-a*", r"(-a)+b?", r"a(?i)b|-", r"1-?a",
+    r"[a1]\b", r"\ba|b\b", r"a(?s).b|-.1", r"^\b", r"\b$", r"\Ba", r"\b_", r"_\b",
+]
+
+
+def test_word_edges_and_needed_texts_as_in_re2(spark):
+    import itertools
+
+    import duckdb
+
+    texts = ["".join(t) for n in range(5) for t in itertools.product("aB1- k"[:6 if n < 4 else 4], repeat=n)] + ["K", "aK", "ſa", "a_1", "-é1", "a\nb"]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE texts AS SELECT unnest(?) AS s", [texts])
+    frame = spark.createDataFrame([(t,) for t in texts], "s string")
+    found = frame.select("s", *[regex_match(F.col("s"), p).alias(f"p{i}") for i, p in enumerate(EDGES)]).collect()
+    for i, pattern in enumerate(EDGES):
+        true = {r[0] for r in db.execute("SELECT s FROM texts WHERE regexp_matches(s, ?)", [pattern]).fetchall()}
+        assert {r["s"] for r in found if r[f"p{i}"]} == true, pattern
+
+
 @pytest.mark.parametrize("pattern", REFUSED)
 def test_patterns_refused(pattern):
     with pytest.raises(InvalidPattern):
