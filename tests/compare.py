@@ -62,6 +62,7 @@ def main():
     from pyspark.sql import SparkSession
 
     import __spark_entry__ as entry
+    from logtable.plans.staging import clear_staging
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(entry.queries())
@@ -79,6 +80,7 @@ def main():
         except Exception as error:  # report and go on
             found = f"{type(error).__name__}: {str(error)[:600]}"
         print(f"{name:24s} {time.time() - start:6.2f}s  {found or 'ok'}", flush=True)
+        clear_staging(spark)
 
 
 if __name__ == "__main__":
