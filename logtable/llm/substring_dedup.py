@@ -326,12 +326,13 @@ def remove_repeats(
     suspects = stage(read.join(ids, "doc_id", "left_semi").join(of_doc, KEY).dropDuplicates(KEY))
 
     runs = stage(_run_rows(suspects, window, gram))
-    first = runs.groupBy("passage").agg(F.min("doc_id").alias("first"))
+    # Staged, so that a passage of very many documents can be split in the joins.
+    first = stage(runs.groupBy("passage").agg(F.min("doc_id").alias("first")))
     marked = stage(runs.join(first, "passage").select(*KEY, "start", "windows", "first"))
     firsts = marked.filter("first = doc_id").groupBy(*KEY).agg(F.collect_list(F.struct("start", "windows")).alias("firsts"))
     single = stage(_single_windows(suspects.join(firsts, KEY), window))
     earliest = single.groupBy("passage").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    again = single.join(earliest.filter("first != last").select("passage", "first"), "passage").filter("first < doc_id")
+    again = single.join(stage(earliest.filter("first != last").select("passage", "first")), "passage").filter("first < doc_id")
     hits = stage(
         marked.filter("first < doc_id")
         .unionByName(again.select(*KEY, "start", F.lit(1).alias("windows"), "first")))
