@@ -245,7 +245,8 @@ def near_duplicates(
         .select("digest", "uid", "s.n_shingles", "s.signature"))
     entries = keyed(classes)
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("uid").alias("centre")).filter("members > 1")
-    members = stage(entries.join(shared, "key"))
+    # Staged sides of one row a key let joins split the keys of very many documents.
+    members = stage(entries.join(stage(shared), "key"))
     # First every member against the smallest of its key.
     star = members.filter("uid != centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
     links = confirmed(stage(close_pairs(star, classes, threshold)), docs, doc_id, text, width, threshold)
@@ -254,7 +255,7 @@ def near_duplicates(
     placed = members.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
         "component", F.coalesce("component", "uid"))
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed_keys = mixed_keys.filter("low != high").select("key")
+    mixed_keys = stage(mixed_keys.filter("low != high").select("key"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("uid"), blocks).cast("int")
     rows = (
