@@ -50,6 +50,19 @@ def tag_presets(
     return df.withColumn("presets", F.array_compact(F.array(*tags)))
 
 
+def preset_hits(
+    df: DataFrame, presets: Sequence[tuple[str, str]], columns: Sequence[str] | None = None
+) -> DataFrame:
+    """A row for each preset that a row matches, with its description as ``preset``.
+
+    Answers are exploded before any is dropped, so each pattern is tried once a row.
+    """
+    text = row_text(columns or data_columns(df))
+    answers = [F.struct(F.lit(name).alias("preset"), regex_match(text, pattern).alias("hit")) for pattern, name in presets]
+    tried = df.withColumn("_answer", F.explode(F.array(*answers))).filter("_answer.hit")
+    return tried.withColumn("preset", F.col("_answer.preset")).drop("_answer")
+
+
 def dedupe_ordered(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
     """Trim the key, drop blanks, keep the first row of each key."""
     rest = [c for c in df.columns if c not in (key, order)]

@@ -8,7 +8,7 @@ from logtable.functions.times import parse_log_ts
 from logtable.operators import positions as places
 from logtable.operators.columns import reorder_columns, reset_view, toggle_columns
 from logtable.operators.filters import filter_marked, filter_regex, match_spans, search
-from logtable.operators.presets import dedupe_ordered, filter_preset, merge_presets, tag_presets
+from logtable.operators.presets import dedupe_ordered, filter_preset, merge_presets, preset_hits, tag_presets
 from logtable.sources.config import read_presets
 from logtable.operators.rows import column_profile, with_line_no, with_row_id
 from logtable.operators.sorting import ordering
@@ -91,7 +91,7 @@ def regex_filter(spark, sf_dir):
     return filter_regex(event_log(spark, sf_dir), PATTERN).select("line_no", "kind", "value")
 
 
-DOCUMENT_PATTERN = r"(?i)\bof\b[^\n]{0,60}the.?\s[[:alpha:]]+\.$|[É&é]\w+@[\w.]+|(?m)^\pL{2,4}\.$"
+DOCUMENT_PATTERN = r"(?i)\bof\b[^\n]{0,60}the.?\s[[:alpha:]]+\.$|[É&é]&{2}\s|(?m)^\pL{2,4}\.$"
 
 
 @query("regex_documents", f"""SELECT doc_id + 1 AS line_no FROM documents
@@ -106,7 +106,7 @@ PRESETS = (
     (r"\b\d{1,3}(\.\d{1,3}){3}\b", "address"),
     (r"(?i)licen[cs]e", "license"),
     (r"^\s*\S+\s*$", "one word"),
-    (r"(?m)^\P{Lu}[^\n]*[!?]$", "shout"),
+    (r"(?m)^\P{Lu}[^\n]*\| ", "table row"),
 )
 
 
@@ -114,8 +114,7 @@ PRESETS = (
     f"('{name}', '{pattern}')" for pattern, name in PRESETS
 ) + ") AS p(preset, pattern) WHERE regexp_matches(text, pattern)")
 def preset_tags(spark, sf_dir):
-    tagged = tag_presets(document_log(spark, sf_dir), PRESETS)
-    return tagged.select("line_no", F.explode("presets").alias("preset"))
+    return preset_hits(document_log(spark, sf_dir), PRESETS).select("line_no", "preset")
 
 
 @query("preset_filter", f"""SELECT doc_id + 1 AS line_no FROM documents
