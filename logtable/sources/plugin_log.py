@@ -55,41 +55,42 @@ def table_time(text: Column) -> Column:
     return F.coalesce(found, text)
 
 
+MARK = "\x01"
+
+
+def _taken(text: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern at the start of a text and the rest behind it, by one match:
+    an array, empty but for the text if there is no match."""
+    marked = F.regexp_replace(text, pattern, "".join(f"${i + 1}{MARK}" for i in range(groups)))
+    none = F.array(*[F.lit("")] * groups, text)
+    each = [F.regexp_extract(text, pattern, i + 1) for i in range(groups)]
+    return (
+        F.when(F.contains(text, F.lit(MARK)), F.array(*each, F.regexp_replace(text, pattern, "")))
+        .when(marked == text, none).otherwise(F.split(marked, MARK, groups + 1))
+    )
+
+
 def parse_plugin(lines: DataFrame) -> DataFrame:
     """Numbered lines to the nine columns of a plugin log."""
-    records = plugin_records(lines)
-    record = F.col("record")
-    head = records.select(
-        LINE_NO,
-        *[F.regexp_extract(record, HEAD, i + 1).alias(c) for i, c in enumerate(COLUMNS[:3])],
-        gtrim(F.regexp_replace(record, HEAD, "")).alias("tail"),
-    )
-    tail = F.col("tail")
-    timed = head.select(
-        LINE_NO, *COLUMNS[:3],
-        table_time(F.regexp_extract(tail, LOCAL_TIME, 1)).alias("time"),
-        gtrim(F.regexp_replace(tail, LOCAL_TIME, "")).alias("payload"),
-    )
-    payload = F.col("payload")
-    levelled = timed.select(
-        LINE_NO, *COLUMNS[:4],
-        F.regexp_extract(payload, LEVEL, 1).alias("first_level"),
-        gtrim(F.regexp_replace(payload, LEVEL, "")).alias("body"),
-    )
-    body, first_level = F.col("body"), F.col("first_level")
-    placed = levelled.select(
-        LINE_NO, *COLUMNS[:4], "first_level",
-        *[gtrim(F.regexp_extract(body, PLACE, i + 1)).alias(c) for i, c in enumerate(COLUMNS[5:8])],
-        gtrim(F.regexp_replace(body, PLACE, "")).alias("rest"),
-        ((first_level == "") & body.rlike(PLACE)).alias("level_may_follow"),
-    )
-    rest, late = F.col("rest"), F.col("level_may_follow")
-    parsed = placed.select(
-        LINE_NO, *COLUMNS[:4],
-        F.when(late, F.regexp_extract(rest, LEVEL, 1)).otherwise(first_level).alias("level"),
-        *COLUMNS[5:8],
-        F.when(late, gtrim(F.regexp_replace(rest, LEVEL, ""))).otherwise(rest).alias("message"),
+    found, kept = F.col("found"), [LINE_NO, *COLUMNS[:3]]
+    head = plugin_records(lines).select(LINE_NO, _taken(F.col("record"), HEAD, 3).alias("found"))
+    head = head.select(LINE_NO, *[found[i].alias(c) for i, c in enumerate(COLUMNS[:3])], gtrim(found[3]).alias("rest"))
+    timed = head.select(*kept, _taken(F.col("rest"), LOCAL_TIME, 1).alias("found"))
+    timed = timed.select(*kept, table_time(found[0]).alias("time"), gtrim(found[1]).alias("rest"))
+    levelled = timed.select(*kept, "time", _taken(F.col("rest"), LEVEL, 1).alias("found"))
+    levelled = levelled.select(*kept, "time", found[0].alias("first_level"), gtrim(found[1]).alias("rest"))
+    placed = levelled.select(*kept, "time", "first_level", _taken(F.col("rest"), PLACE, 3).alias("found"))
+    # A place without a level before it may have one behind it.
+    placed = placed.select(
+        *kept, "time", "first_level", *[gtrim(found[i]).alias(c) for i, c in enumerate(COLUMNS[5:8])],
+        gtrim(found[3]).alias("rest"), ((F.col("first_level") == "") & (found[2] != "")).alias("late"),
     )
+    late, first = F.col("late"), F.array("first_level", "rest")
+    told = placed.select(
+        *kept, "time", *COLUMNS[5:8], F.when(late, _taken(F.col("rest"), LEVEL, 1)).otherwise(first).alias("found"), "late")
+    parsed = told.select(
+        *kept, "time", found[0].alias("level"), *COLUMNS[5:8],
+        F.when(late, gtrim(found[1])).otherwise(found[1]).alias("message"))
     return with_roles(parsed, "plugin")
 
 
