@@ -129,7 +129,8 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFra
 
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: int) -> DataFrame:
     """Those of ``pairs`` whose full sets are similar enough."""
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("_wanted")).distinct())
+    ends = [pairs.select(F.col(end).alias("_wanted")).distinct() for end in ("a", "b")]
+    wanted = stage(ends[0].unionByName(ends[1]).distinct())
     few = wanted.count() <= BROADCAST_IDS
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(
         F.broadcast(wanted) if few else wanted, F.col("id") == F.col("_wanted"), "left_semi")
