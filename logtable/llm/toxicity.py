@@ -7,9 +7,13 @@ counts once per text. The score is the logistic function of
 such as an insult with the mention of a group, that adding up single weights would miss.
 
 The model is fitted on a bounded sample of the labelled rows, ``sample_rows`` of them chosen
-by the hash of their id. Terms that go with the label (chi-square test) and come up often
-enough are kept, ``max_terms`` of them at most; what is collected and broadcast is bounded by
-these two numbers. Scoring reads every whole text.
+by the hash of their id. Every term found in ``MIN_ROWS`` of them takes part, whatever its own
+link with the label, as a term may matter only beside another: those with a link (chi-square
+test; ``max_terms`` of them at most) have a number each and are fitted first, all others are
+hashed into ``BUCKETS`` numbers and join them in a second fit, in small steps. A tenth of the
+sample tells how many passes of the second fit are best. The broadcast is bounded by
+``max_terms`` and ``BUCKETS``, what is collected by ``sample_rows`` lists of such numbers.
+Scoring reads every whole text.
 
 Defined results: a null or empty text has no terms and gets the bias alone; without any
 labelled row all scores are 0; an id labelled more than once is toxic if any row says so; a
@@ -38,6 +42,10 @@ SAMPLE_ROWS, MAX_TERMS, MIN_ROWS = 20_000, 4096, 3
 #: Chi-square at one degree of freedom that chance exceeds once in a hundred thousand times.
 CHI_SQUARE = 19.5
 RANK, EPOCHS, STEPS, BATCH, RATE, DECAY = 8, 12, 800, 256, 0.1, 1e-4
+#: Numbers that the terms without a link of their own share; numbers of one batch at most.
+BUCKETS, ENTRIES = 1 << 18, 1 << 19
+#: The second fit: one row in so many tells its passes; its rate times the terms of a text; first factors.
+CHECKED, STRIDE, SPREAD = 10, 1.0, 0.01
 #: Words whose terms a task remembers.
 REMEMBERED = 200_000
 
@@ -56,12 +64,18 @@ def text_terms(text: str | None) -> set[int]:
 
 
 class Model(NamedTuple):
-    """``terms`` maps a hashed term to its row in ``weights`` and ``factors``."""
+    """``terms`` maps a hashed term to its row in ``weights`` and ``factors``; ``buckets`` has the
+    row of each bucket of other terms, -1 for none."""
 
     terms: dict[int, int]
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    buckets: np.ndarray | None = None
+
+    def number(self, term: int) -> int:
+        found = self.terms.get(term, -1)
+        return found if found >= 0 or self.buckets is None else int(self.buckets[term % len(self.buckets)])
 
     def margin(self, rows: list[int]) -> float:
         vectors = self.factors[rows]
@@ -106,6 +120,108 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, terms: list[int], se
     return Model({term: i for i, term in enumerate(terms)}, float(bias), weights, factors)
 
 
+def _batches(order: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of ``order`` of ``BATCH`` rows and ``ENTRIES`` numbers at most, or of one row."""
+    at = entries = 0
+    for place, size in enumerate(sizes[order].tolist()):
+        if place > at and (place - at == BATCH or entries + size > ENTRIES):
+            yield order[at:place]
+            at, entries = place, 0
+        entries += size
+    if at < len(order):
+        yield order[at:]
+
+
+def _margins(model: Model, index: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors of each entry, their sum for each of ``n`` texts, and the texts' margins."""
+    vectors = model.factors[index]
+    total = np.stack([np.bincount(doc, vectors[:, j], n) for j in range(RANK)], axis=1)
+    squares = np.bincount(doc, (vectors * vectors).sum(axis=1), n)
+    return vectors, total, model.bias + np.bincount(doc, model.weights[index], n) + 0.5 * ((total * total).sum(axis=1) - squares)
+
+
+def fit_all(
+    start: Model, rows: list[np.ndarray], labels: np.ndarray, size: int, passes: int,
+    checked: tuple[list[np.ndarray], np.ndarray] | None = None, seed: int = 7,
+) -> tuple[Model, list[float]]:
+    """``start`` fitted further, with terms up to ``size``: AdaGrad in steps so small that all
+    terms of a text together move its margin little. Also the mean loss of the ``checked`` rows
+    and labels before the first pass and after each."""
+    order_of = np.random.default_rng(seed)
+    new = size - len(start.weights)
+    weights = np.concatenate([start.weights, np.zeros(new)])
+    factors = np.concatenate([start.factors, order_of.normal(0, SPREAD, (new, RANK))])
+    model, losses = start._replace(weights=weights, factors=factors), []
+    seen_w, seen_v, seen_b = np.ones(size), np.ones((size, RANK)), 1.0
+    sizes = np.array([len(r) for r in rows], np.int64)
+    rate = min(RATE, STRIDE / max(1.0, float(sizes.mean()))) if len(rows) else RATE
+    place_of = np.zeros(size, np.int64)
+
+    def together(some: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        some = list(some)
+        return np.concatenate([*some, np.zeros(0, np.int64)]), np.repeat(np.arange(len(some)), [len(r) for r in some])
+
+    def check(model: Model) -> None:
+        if checked is not None:
+            of = np.array([len(r) for r in checked[0]], np.int64)
+            margins = [_margins(model, *together(checked[0][i] for i in some), len(some))[2]
+                       for some in _batches(np.arange(len(of)), of)]
+            losses.append(float(np.logaddexp(0, np.where(checked[1] > 0, -1, 1) * np.concatenate(margins)).mean()))
+
+    # Without a pass, the terms that are new count nothing.
+    check(start._replace(weights=weights, factors=np.concatenate([start.factors, np.zeros((new, RANK))])))
+    for _ in range(passes):
+        for some in _batches(order_of.permutation(len(rows)), sizes):
+            index, doc = together(rows[i] for i in some)
+            vectors, total, margin = _margins(model, index, doc, len(some))
+            error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[some]
+            touched = np.flatnonzero(np.bincount(index, minlength=size))
+            place_of[touched] = np.arange(len(touched))
+            place, each = place_of[index], error[doc]
+            step_w = np.bincount(place, each, len(touched)) + DECAY * weights[touched]
+            step_v = DECAY * factors[touched]
+            for j in range(RANK):
+                step_v[:, j] += np.bincount(place, each * (total[doc, j] - vectors[:, j]), len(touched))
+            seen_w[touched] += step_w * step_w
+            seen_v[touched] += step_v * step_v
+            weights[touched] -= rate * step_w / np.sqrt(seen_w[touched])
+            factors[touched] -= rate * step_v / np.sqrt(seen_v[touched])
+            step_b = error.sum()
+            seen_b += step_b * step_b
+            model = model._replace(bias=float(model.bias - rate * step_b / np.sqrt(seen_b)))
+        check(model)
+    return model, losses
+
+
+def fit_linked_then_all(rows: list[np.ndarray], labels: np.ndarray, linked: list[int]) -> Model:
+    """A model of all numbers in ``rows``: below ``len(linked)`` those of the linked terms, from
+    there on those of buckets."""
+    n = len(linked)
+    found = np.zeros(n + BUCKETS, np.int64)
+    for row in rows:
+        found[row] += 1
+    kept = np.flatnonzero(found[n:] >= MIN_ROWS)
+    buckets = np.full(BUCKETS, -1, np.int64)
+    buckets[kept] = n + np.arange(len(kept))
+    rows = [np.concatenate([r[r < n], buckets[r[r >= n] - n]]) for r in rows]
+    rows = [r[r >= 0] for r in rows]
+    passes = max(EPOCHS, -(-STEPS // -(-len(rows) // BATCH)))
+
+    def fit(chosen: np.ndarray, passes: int, checked=None) -> tuple[Model, list[float]]:
+        some, of = [rows[i] for i in chosen], labels[chosen]
+        start = fit_machine([r[r < n] for r in some], of, linked)
+        return fit_all(start._replace(buckets=buckets), some, of, n + len(kept), passes, checked) if passes else (start, [])
+
+    every = np.arange(len(rows))
+    last = np.random.default_rng(11).permutation(len(rows)) % CHECKED == 0
+    if len(rows) >= 2 * CHECKED and len(kept):
+        _, losses = fit(every[~last], passes, ([rows[i] for i in every[last]], labels[last]))
+        passes = int(np.argmin(losses))
+    else:
+        passes = 0
+    return fit(every, passes)[0]
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a row's label is kept from learning."""
     return F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 5 == 0
@@ -143,11 +259,17 @@ def learn(
     kept = [r["term"] for r in with_term.filter(f"n >= {MIN_ROWS}").withColumn("chi", chi)
             .filter(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(max_terms).collect()]
     number = {term: i for i, term in enumerate(kept)}
-    known = F.array(*[F.lit(t) for t in kept]).cast("array<bigint>")
-    data = sample.select("label", F.array_intersect("terms", known).alias("terms")).collect()
-    return fit_machine(
-        [np.array(sorted(number[t] for t in r["terms"]), np.int64) for r in data],
-        np.array([r["label"] for r in data], float), kept)
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array(sorted({number.get(t, len(number) + t % BUCKETS) for t in row}), np.int32).tobytes()
+                     for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["label", "numbers"])
+
+    # In an order that does not depend on files or tasks.
+    data = sorted((bytes(r["numbers"]), r["label"]) for r in sample.mapInArrow(numbers, "label int, numbers binary").collect())
+    return fit_linked_then_all(
+        [np.frombuffer(row, np.int32).astype(np.int64) for row, _ in data], np.array([of for _, of in data], float), kept)
 
 
 def scorer(spark: SparkSession, model: Model | None):
@@ -161,7 +283,7 @@ def scorer(spark: SparkSession, model: Model | None):
         def numbers(word: str) -> tuple[int, ...]:
             if len(remembered) > REMEMBERED:
                 remembered.clear()
-            found = remembered[word] = tuple(model.terms[t] for t in word_terms(word) if t in model.terms)
+            found = remembered[word] = tuple(n for n in map(model.number, word_terms(word)) if n >= 0)
             return found
 
         def probability(text: str | None) -> float:

@@ -25,6 +25,18 @@ def test_pairs_are_learnt():
     assert min(margins[:2]) > 1 and max(margins[2:]) < -1
 
 
+def test_pairs_are_learnt_from_documents(spark, docs):
+    """No term goes with the label by itself, so that a choice by single terms would keep none."""
+    dealt, cases = random.Random(5), ["aa cc", "bb dd", "aa dd", "bb cc"]
+    for filler in (0, 15):
+        rows = [(i, " ".join([cases[i % 4], *dealt.sample([f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)], filler)]), "s")
+                for i in range(1000)]
+        labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i, _, _ in rows], "doc_id long, toxic int")
+        frame = docs(rows)
+        held = score_texts(frame, learn(frame, labels)).filter("held_out").collect()
+        assert len(held) > 100 and np.mean([r["predicted"] == (r["doc_id"] % 4 < 2) for r in held]) > 0.95
+
+
 def test_labels_of_held_out_rows_are_not_read(spark, docs):
     dealt = random.Random(3)
     words = [f"word{i}" for i in range(60)]
