@@ -28,6 +28,8 @@ OPEN, NAME_END, PART, CLOSE = "### ", ": ", "<part/>", "</turn>\n"
 ESCAPES = (("\\", "\\s"), ("#", "\\h"), ("<", "\\l"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"), ("\n", "\\n"))
 RUN = 256
+#: Characters of the pieces that spans are cut from.
+PIECE = 4096
 LEARNT = "assistant"
 
 
@@ -113,12 +115,33 @@ def _lead(role: Column, opens: Column) -> Column:
     return F.when(opens, block).otherwise(F.lit(PART))
 
 
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """The text under the loss mask: what the ``spans`` cut out of ``formatted``, one after the other.
+
+    Each span is cut out of the few pieces of ``PIECE`` characters that it meets, as cutting
+    it out of the whole text would read that from its start for every span.
+    """
+    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(pieces: Column, span: Column) -> Column:
+        first = F.floor(span["start"] / PIECE).cast("int")
+        last = F.floor((span["start"] + span["length"]) / PIECE).cast("int")
+        met = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+        return unescaped(F.substr(met, (span["start"] % PIECE + 1).cast("int"), span["length"].cast("int")))
+
+    # As variables of a function, the pieces are made once and not for every span.
+    once = F.array(F.struct(pieces.alias("pieces"), spans.alias("spans")))
+    texts = F.transform(once, lambda x: F.array_join(F.transform(x["spans"], lambda s: cut(x["pieces"], s)), ""))
+    return F.element_at(texts, 1)
+
+
 def read_chats(chats: DataFrame) -> DataFrame:
-    """``conv_id`` and ``turns`` (array of role and text), read from ``formatted`` alone."""
+    """``conv_id``, ``formatted``, ``turns`` (array of role and text), read from ``formatted`` alone,
+    and ``loss``, the text that ``loss_spans`` mark in it."""
     blocks = F.filter(F.split("formatted", CLOSE, -1), lambda b: b != "")
     parsed = F.transform(blocks, lambda b: F.struct(
         unescaped(F.substring_index(F.substr(b, F.lit(len(OPEN) + 1)), NAME_END, 1), ROLE_ESCAPES).alias("role"),
         F.split(F.substr(b, F.locate(NAME_END, b) + len(NAME_END)), PART, -1).alias("texts")))
     turns = F.flatten(F.transform(parsed, lambda b: F.transform(
         b["texts"], lambda t: F.struct(b["role"].alias("role"), unescaped(t).alias("text")))))
-    return chats.select("conv_id", "formatted", turns.alias("turns"))
+    return chats.select("conv_id", "formatted", turns.alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))

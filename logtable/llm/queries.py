@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logtable.llm.ann import nearest
-from logtable.llm.chat import LEARNT, format_chats, read_chats
+from logtable.llm.chat import format_chats, read_chats
 from logtable.llm.common import read_table
 from logtable.llm.exact_dedup import exact_groups
 from logtable.llm.line_dedup import drop_frequent_lines
@@ -87,11 +87,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     chats = read_chats(format_chats(turns.unionByName(control)))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learnt = F.filter("turns", lambda t: t["role"] == LEARNT)
-    loss = F.array_join(F.transform(learnt, lambda t: t["text"]), "")
     return chats.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 

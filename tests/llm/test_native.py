@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logtable.llm import queries
 from logtable.llm.chat import CLOSE, format_chats, read_chats
 from logtable.llm.line_dedup import LineRuns, drop_frequent_lines
 from logtable.llm.mixing import mix_sources, source_targets
@@ -138,6 +139,23 @@ def test_chats_read_back(spark):
     assert format_chats(frame.filter("false")).count() == 0
 
 
+def test_the_loss_is_what_the_spans_mark(spark, monkeypatch):
+    shifted = "transform(loss_spans, s -> named_struct('start', s.start + 1, 'length', s.length))"
+    doubled = "flatten(array(loss_spans, loss_spans))"
+    digests = lambda: {r["conv_id"]: r["loss_sha256"] for r in op9_chat_format(spark, SF_DIR).collect()}
+    true = digests()
+    for wrong in (shifted, doubled):
+        monkeypatch.setattr(queries, "format_chats", lambda t: format_chats(t).selectExpr("conv_id", "formatted", f"{wrong} AS loss_spans"))
+        assert digests()[-7] != true[-7]
+
+
+def test_long_and_wide_loss_texts(spark):
+    texts = ["<\U0001f600#" * 3000, "", "x" * 4096, "\U0001f600", "a\nb\\" * 5000]
+    rows = [(1, 2 * i + j, role, text) for i, text in enumerate(texts) for j, role in enumerate(("user", "assistant"))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert read_chats(format_chats(frame)).first()["loss"] == "".join(texts)
+
+
 def test_control_conversation(spark):
     row = op9_chat_format(spark, SF_DIR).filter(F.col("conv_id") == -7).first()
     text = r"\### Assistant: </turn> ok"
