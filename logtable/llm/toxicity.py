@@ -17,7 +17,8 @@ Scoring reads every whole text.
 
 Defined results: a null or empty text has no terms and gets the bias alone; without any
 labelled row all scores are 0; an id labelled more than once is toxic if any row says so; a
-null label is no label; rows that repeat are scored alike.
+null label is no label; of rows that repeat a labelled id, the sample takes the one whose
+text has the least hash; rows that repeat are scored alike.
 """
 
 from __future__ import annotations
@@ -239,14 +240,22 @@ def learn(
     )
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     # sample_rows rows of two numbers are broadcast.
-    labelled = texts.join(F.broadcast(chosen), F.col("id") == F.col("_label_id")).select("_label", "text")
+    labelled = texts.join(F.broadcast(chosen), F.col("id") == F.col("_label_id")).select(
+        "_label", "text", F.xxhash64("_label_id").alias("of"), F.xxhash64("text").alias("hash"),
+        F.monotonically_increasing_id().alias("place"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.array(sorted(text_terms(t.as_py())), np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["label", "terms"])
-
-    sample = stage(labelled.mapInArrow(terms, "label int, terms array<long>"))
+            columns = [batch.column(0), pa.array(found, pa.list_(pa.int64())), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "terms", "of", "hash", "place"])
+
+    every = stage(labelled.mapInArrow(terms, "label int, terms array<long>, of long, hash long, place long"))
+    # An id that repeats gives one row, so that sample_rows bounds what is collected. Aggregating
+    # numbers alone needs no sort of texts.
+    one = every.groupBy("of", "hash").agg(F.min("place").alias("place")).groupBy("of").agg(
+        F.min_by("place", "hash").alias("place"))
+    sample = stage(every.join(F.broadcast(one.select("place")), "place", "left_semi").select("label", "terms"))
     rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not rows:
         return None
@@ -262,8 +271,9 @@ def learn(
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.array(sorted({number.get(t, len(number) + t % BUCKETS) for t in row}), np.int32).tobytes()
-                     for row in batch.column(1).to_pylist()]
+            # One row's numbers at a time are Python objects.
+            found = [np.array(sorted({number.get(t, len(number) + t % BUCKETS) for t in row.as_py()}), np.int32).tobytes()
+                     for row in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["label", "numbers"])
 
     # In an order that does not depend on files or tasks.

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from logtable.llm import toxicity
 from logtable.llm.queries import op3_toxicity
 from logtable.llm.toxicity import fit_machine, learn, score_texts, text_terms
 from tests.llm.conftest import by_id
@@ -51,6 +52,15 @@ def test_labels_of_held_out_rows_are_not_read(spark, docs):
     assert {i for i, h in by_id(score_texts(frame, None), "held_out").items() if h} == held
 
 
+def test_the_sample_bounds_the_rows(spark, docs, monkeypatch):
+    seen, fit = [], toxicity.fit_machine
+    monkeypatch.setattr(toxicity, "fit_machine", lambda rows, *rest: seen.append(len(rows)) or fit(rows, *rest))
+    rows = [(1 if i < 500 else i, f"some words {chr(97 + i % 26)}", "s") for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2) for i in {i for i, _, _ in rows}], "doc_id long, toxic int")
+    learn(docs(rows), labels, sample_rows=200)
+    assert seen and max(seen) <= 101
+
+
 def test_odd_documents_and_labels(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (4, 0), (6, None), (5, 0), (99, 1), (None, 1)], "doc_id long, toxic int")
     scores = score_texts(odd, learn(odd, labels)).collect()
