@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logtable.llm.ann import nearest
 from logtable.llm.chat import format_chats, read_chats
+from logtable.llm.clustering import clustered, with_inertia
 from logtable.llm.common import read_table
 from logtable.llm.exact_dedup import exact_groups
 from logtable.llm.line_dedup import drop_frequent_lines
 from logtable.llm.mixing import GOLDEN, POINTS, mix_sources
 from logtable.llm.near_dedup import near_duplicates
 from logtable.llm.packing import pack, token_pieces
+from logtable.llm.repair import repair
 from logtable.llm.substring_dedup import remove_repeats
+from logtable.llm.token_files import fresh_folder, read_ids, write_ids
 from logtable.llm.toxicity import learn, score_texts
 from logtable.llm.url_filter import filter_urls
 
@@ -98,6 +101,47 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of all documents' token ids hold, read back from them."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = fresh_folder(spark)
+    write_ids(docs, path, tokenizer_path())
+    return read_ids(spark, path).drop("ids")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversation rows with one in twenty each dropped, emptied, cut short, repeated or set to user."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn")).cast("binary")) % 20
+    return (
+        turns.withColumn("fate", fate).filter("fate != 0")
+        .withColumns({
+            "text": F.when(F.col("fate") == 1, "").when(
+                F.col("fate") == 2, F.translate(blank("text"), ".!?", "")).otherwise(blank("text")),
+            "role": F.when(F.col("fate") == 4, "user").otherwise(blank("role")),
+            "copy": F.explode(F.sequence(F.lit(1), F.when(F.col("fate") == 3, 2).otherwise(1)))})
+        .select("conv_id", "turn", "role", "text"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = repair(damaged(turns))
+    digests = repaired.turns.filter("digest IS NOT NULL").select(F.col("conv_id").alias("of_digest"), "digest")
+    found = repaired.conversations.withColumnRenamed("conv_id", "of")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return (
+        turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+        .join(digests, F.col("conv_id").eqNullSafe(F.col("of_digest")), "left")
+        .select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector, with the distances within its cluster and in all."""
+    return with_inertia(*clustered(read_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_ann": op2_ann,
@@ -109,11 +153,45 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_token_files": op11_token_files,
+    "op12_repair": op12_repair,
+    "op13_clustering": op13_clustering,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every vector against every centroid, a component a row."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT rid, min(d * 64 + num) % 64 AS num, min(d * 64 + num) // 64 AS distance FROM (
+    SELECT x.rid, c.num, CAST(sum((x.val - c.val) * (x.val - c.val)) AS BIGINT) AS d
+    FROM parts x JOIN c{i} c USING (dim) GROUP BY ALL) GROUP BY rid)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.num, c.dim, coalesce(m.val, c.val) AS val FROM c{i} c LEFT JOIN (
+    SELECT num, dim, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS val FROM (
+      SELECT a.num, x.dim, CAST(sum(x.val) AS BIGINT) AS s, count(*) AS n FROM a{i} a JOIN parts x USING (rid) GROUP BY ALL)
+    ) m ON m.num = c.num AND m.dim = c.dim)""")
+    return f"""
+WITH ints AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64),
+parts AS MATERIALIZED (SELECT rid, unnest(range(64)) AS dim, unnest(v) AS val FROM ints),
+chosen AS (
+  SELECT rid, row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS num FROM ints),
+c0 AS MATERIALIZED (SELECT num, dim, val FROM chosen JOIN parts USING (rid) WHERE num < {k}),
+{", ".join(steps)},
+digests AS (SELECT num, sha256(string_agg(val, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY num)
+SELECT vec_id, CAST(num AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY num) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN ints USING (rid) JOIN digests USING (num)"""
+
+
 SQL = {
     "op4_near_dedup": f"""
 WITH RECURSIVE words AS (
@@ -245,4 +323,71 @@ WITH texts AS (
 groups AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY norm)
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM texts t JOIN groups g USING (norm)""",
+    "op12_repair": f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1))) AS v
+    FROM range(256) r(i))),
+fated AS (
+  SELECT c.*, xor(list_reduce(
+      list_prepend(4294967295, list_transform(
+        string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+        lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS fate
+  FROM conversations c, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+    unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM fated WHERE fate <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    trim(text, {_SPACES}) AS trimmed
+  FROM damaged),
+turns AS (
+  SELECT *, CASE WHEN trimmed = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    i > 1 AND left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed),
+follows(old, initial, new) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts(old, new, n, said) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''),
+    (0, 2, 1, 'user:' || chr(10)), (1, 2, 1, 'user:' || chr(10)), (3, 2, 1, 'user:' || chr(10)),
+    (2, 3, 1, 'assistant:' || chr(10)), (2, 2, 2, 'assistant:' || chr(10) || 'user:' || chr(10)),
+    (0, 3, 2, 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 2, 'user:' || chr(10) || 'assistant:' || chr(10)),
+    (3, 3, 2, 'user:' || chr(10) || 'assistant:' || chr(10))),
+rows_as AS (
+  SELECT conv_id, i, f.old, f.new, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS cost, 'K' AS edit, role || ':' || text || chr(10) AS said
+  FROM turns JOIN follows f ON left(role, 1) = f.initial WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT conv_id, i, f.old, f.new, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R',
+    CASE f.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text || chr(10)
+  FROM turns JOIN follows f ON f.initial IN ('u', 'a') WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, i, s.old, s.old, 4, 'D', '' FROM turns, range(4) s(old)),
+paths AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'said': ''}} AS best FROM turns
+  UNION ALL
+  SELECT p.conv_id, r.i, r.new, min({{'cost': CAST(p.best.cost + 3 * x.n + r.cost AS BIGINT),
+    'audit': p.best.audit || repeat('I', x.n) || r.edit, 'said': p.best.said || x.said || r.said}})
+  FROM paths p JOIN inserts x ON x.old = p.state
+    JOIN rows_as r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1 AND r.old = x.new
+  GROUP BY p.conv_id, r.i, r.new),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM turns GROUP BY conv_id),
+ended AS (
+  SELECT c.conv_id, min({{'cost': CAST(p.best.cost + 3 * x.n AS BIGINT), 'audit': p.best.audit || repeat('I', x.n),
+    'said': p.best.said || x.said}}) AS best
+  FROM counted c JOIN paths p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = c.n
+    JOIN inserts x ON x.old = p.state AND (x.new = 3 OR (x.new = 0 AND x.n = 0))
+  GROUP BY c.conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+  coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost,
+  coalesce(e.best.audit, '') AS audit, sha256(regexp_replace(coalesce(e.best.said, ''), '\\n\\z', '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
+    "op13_clustering": _clustering_sql(),
 }
