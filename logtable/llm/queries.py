@@ -106,7 +106,7 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     path = fresh_folder(spark)
     write_ids(docs, path, tokenizer_path())
-    return read_ids(spark, path).drop("ids")
+    return read_ids(spark, path, with_ids=False).drop("ids")
 
 
 def damaged(turns: DataFrame) -> DataFrame:

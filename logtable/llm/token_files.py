@@ -42,13 +42,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from logtable.llm.packing import TOGETHER, WordTokenizer, by_bytes
+from logtable.llm.packing import WordTokenizer, by_bytes
 from logtable.plans.staging import stage, staging_root
 
 END_ID, LEVEL = 2, 3
 #: The dictionary: its size, the documents of its sample, their chunks (ids each, how many).
 DICTIONARY_BYTES, SAMPLE_DOCS, CHUNK, SAMPLE_CHUNKS = 64 << 10, 2000, 2048, 4000
-RECORD_BYTES, FILE_RECORDS = 1 << 20, 32
+RECORD_BYTES, FILE_RECORDS = 1 << 20, 16
+#: Bytes of text that are tokenised together, and words that a worker remembers.
+TOGETHER, REMEMBERED = 1 << 20, 250_000
 #: Parts whose starts are broadcast at most.
 BROADCAST_PARTS = 1_000_000
 MAGIC = b"IDFILES1"
@@ -71,6 +73,8 @@ def encoded(texts: pa.Array, tokenizer: str, end_id: int) -> Iterator[np.ndarray
     made = WordTokenizer.shared(tokenizer)
     kind = id_type(max(len(made.ends_word), end_id + 1))
     for low, high in by_bytes(texts, TOGETHER):
+        if len(made.known) > REMEMBERED:
+            made.known = {"": b""}
         for ids in made.encode(texts.slice(low, high - low)):
             yield np.append(ids, np.uint32(end_id)).astype(kind)
 
@@ -216,10 +220,10 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/ids").select("content")
 
 
-def read_ids(spark: SparkSession, path: str, only: Iterable[int] | None = None) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and ``ids`` (little-endian unsigned 32-bit)
-    of the documents in the files of ``path``; with ``only``, of those ids, a short list: frames of
-    others are not decompressed."""
+def read_ids(spark: SparkSession, path: str, only: Iterable[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and ``ids`` (little-endian unsigned 32-bit,
+    null without ``with_ids``) of the documents in the files of ``path``; with ``only``, of those
+    ids, a short list: frames of others are not decompressed."""
     dictionary, wanted = _dictionary(spark, path), None if only is None else set(only)
     digest = hashlib.sha256(dictionary).digest()
 
@@ -237,7 +241,7 @@ def read_ids(spark: SparkSession, path: str, only: Iterable[int] | None = None)
                         if wanted is None or one in wanted:
                             document = found.document(i, reader)
                             ids = document.ids.astype("<u4").tobytes()
-                            rows.append((found.part, one, found.start + document.start, document.n_tokens, zlib.crc32(ids), ids))
+                            rows.append((found.part, one, found.start + document.start, document.n_tokens, zlib.crc32(ids), ids if with_ids else None))
                     columns = list(zip(*rows)) or [()] * len(names)
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names)
 
