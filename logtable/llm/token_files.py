@@ -3,8 +3,8 @@
 A zstandard dictionary is trained on serialised id arrays: chunks of ``CHUNK`` ids of a bounded
 sample of the documents. Every document (its ids and an end id, 16 bits each where the
 vocabulary allows it, else 32) is one zstandard frame made with that dictionary, so that a short
-one is small and can be read alone. Frames are sorted by document id and written as records of
-about ``RECORD_BYTES``:
+one is small and can be read alone. Documents are sorted by id and written as records of about
+ ``RECORD_BYTES``:
 
     8 bytes   magic
     32        SHA-256 of the dictionary
@@ -24,7 +24,7 @@ part before its record, and of its record before it. Files are read back whole,
 against the dictionary's hash, and only frames that are asked for are decompressed.
 
 Defined results: a null or empty text is the end id alone; documents go by id, nulls first;
-rows that repeat an id are documents of their own, the shorter first.
+rows that repeat an id are documents of their own, the shorter text first.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ END_ID, LEVEL = 2, 3
 DICTIONARY_BYTES, SAMPLE_DOCS, CHUNK, SAMPLE_CHUNKS = 64 << 10, 2000, 2048, 4000
 RECORD_BYTES, FILE_RECORDS = 1 << 20, 16
 #: Bytes of text that are tokenised together, and words that a worker remembers.
-TOGETHER, REMEMBERED = 1 << 20, 250_000
+TOGETHER, REMEMBERED = 4 << 20, 500_000
 #: Parts whose starts are broadcast at most.
 BROADCAST_PARTS = 1_000_000
 MAGIC = b"IDFILES1"
@@ -103,25 +103,6 @@ def _loaded(dictionary: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(dictionary)
 
 
-def compressed(docs: DataFrame, tokenizer: str, dictionary: bytes, end_id: int) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``width`` and ``frame`` of each document."""
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = zstandard.ZstdCompressor(level=LEVEL, dict_data=_loaded(dictionary) if dictionary else None)
-        for batch in batches:
-            for low, high in by_bytes(batch.column(1), TOGETHER):
-                sizes, widths, frames = [], [], []
-                for ids in encoded(batch.column(1).slice(low, high - low), tokenizer, end_id):
-                    sizes.append(len(ids))
-                    widths.append(ids.itemsize)
-                    frames.append(made.compress(ids.tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(widths, pa.int32()),
-                     pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "width", "frame"])
-
-    return docs.mapInArrow(compress, "doc_id long, n_tokens long, width int, frame binary")
-
-
 def record(digest: bytes, part: int, number: int, start: int, width: int, ids: Sequence, sizes: Sequence, frames: Sequence[bytes]) -> bytes:
     before = np.append(0, np.cumsum(sizes)).astype("<u8")
     places = np.append(0, np.cumsum([len(f) for f in frames])).astype("<u8")
@@ -182,33 +163,32 @@ def write_ids(
     dictionary = train(read, tokenizer, end_id)
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(dictionary,)], "value binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    # Staged, as sorting reads its input twice and tokenising costs more than reading.
-    frames = stage(compressed(read, tokenizer, dictionary, end_id))
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = zstandard.ZstdCompressor(level=LEVEL, dict_data=_loaded(dictionary) if dictionary else None)
         part, number, start = TaskContext.get().partitionId(), 0, 0
-        ids, sizes, held, size, width = [], [], [], 0, 0
+        ids, sizes, frames, size, width = [], [], [], 0, 0
 
         def out():
-            made = record(digest, part, number, start, width, ids, sizes, held)
-            return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["value"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([record(digest, part, number, start, width, ids, sizes, frames)], pa.binary())], ["value"])
 
         for batch in batches:
-            for one, n, width_, frame in zip(*[c.to_pylist() for c in batch.columns]):
+            for one, array in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer, end_id)):
                 if size >= RECORD_BYTES:
                     yield out()
                     number, start = number + 1, start + sum(sizes)
-                    ids, sizes, held, size = [], [], [], 0
+                    ids, sizes, frames, size = [], [], [], 0
                 ids.append(one)
-                sizes.append(n)
-                held.append(frame)
-                size, width = size + len(frame), width_
+                sizes.append(len(array))
+                frames.append(made.compress(array.tobytes()))
+                size, width = size + len(frames[-1]), array.itemsize
         if ids:
             yield out()
 
-    # The last key only deals rows that are alike to several tasks.
-    ordered = frames.orderBy(F.asc_nulls_first("doc_id"), "n_tokens", F.xxhash64("frame"), F.monotonically_increasing_id())
-    values = ordered.mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value"))
+    # Texts are sorted, not their ids: a range sort reads its input twice, and tokenising costs
+    # more than reading. The last key only deals rows that are alike to several tasks.
+    keys = [F.asc_nulls_first("doc_id"), F.char_length("text"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    values = read.orderBy(*keys).mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value"))
     values.write.option("maxRecordsPerFile", FILE_RECORDS).text(f"{path}/ids")
 
 
