@@ -4,9 +4,9 @@ A zstandard dictionary is trained on serialised id arrays: chunks of ``CHUNK`` i
 sample of the documents. Every document (its ids and an end id, 16 bits each where the
 vocabulary allows it, else 32) is one zstandard frame made with that dictionary, so that a short
 one is small and can be read alone. Documents are sorted by id and written as records of about
- ``RECORD_BYTES``:
+``RECORD_BYTES``:
 
-    8 bytes   magic
+    8, 1      magic, and what every later byte is combined with by exclusive or
     32        SHA-256 of the dictionary
     4, 4      the file part and the record's number in it
     8         ids of the part before this record
@@ -16,12 +16,13 @@ one is small and can be read alone. Documents are sorted by id and written as re
     8 each    where its frame begins after the index, and the end of the last
     ...       frames
 
-Numbers are little-endian. A record is written as one row of Spark's text source, whose line
-end follows it in the file, so any file system that Spark reaches takes the files and a lost
-executor leaves none behind; parts hold ``FILE_RECORDS`` records a file at most. Records of a
-later part hold later documents: what a document starts at is the ids of earlier parts, of its
-part before its record, and of its record before it. Files are read back whole, checked
-against the dictionary's hash, and only frames that are asked for are decompressed.
+Numbers are little-endian. A record is one row of Spark's text source, with ``SEPARATOR`` as
+the line end, so any file system that Spark reaches takes the files, a lost executor leaves
+none behind, and files of any size are read in splits, a record at a time. The byte after the
+magic is chosen so that no record holds the separator. Records of a later part hold later
+documents: what a document starts at is the ids of earlier parts, of its part before its
+record, and of its record before it. Records are checked against the dictionary's hash when
+read, and only frames that are asked for are decompressed.
 
 Defined results: a null or empty text is the end id alone; documents go by id, nulls first;
 rows that repeat an id are documents of their own, the shorter text first.
@@ -48,13 +49,13 @@ from logtable.plans.staging import stage, staging_root
 END_ID, LEVEL = 2, 3
 #: The dictionary: its size, the documents of its sample, their chunks (ids each, how many).
 DICTIONARY_BYTES, SAMPLE_DOCS, CHUNK, SAMPLE_CHUNKS = 64 << 10, 2000, 2048, 4000
-RECORD_BYTES, FILE_RECORDS = 1 << 20, 16
+RECORD_BYTES, SEPARATOR = 1 << 18, "\n--end of record--"
 #: Bytes of text that are tokenised together, and words that a worker remembers.
-TOGETHER, REMEMBERED = 4 << 20, 500_000
+TOGETHER, REMEMBERED = 2 << 20, 400_000
 #: Parts whose starts are broadcast at most.
 BROADCAST_PARTS = 1_000_000
 MAGIC = b"IDFILES1"
-HEAD = "<8s32sIIQII"
+HEAD = "<32sIIQII"
 
 
 def id_type(vocabulary: int) -> str:
@@ -108,8 +109,17 @@ def record(digest: bytes, part: int, number: int, start: int, width: int, ids: S
     places = np.append(0, np.cumsum([len(f) for f in frames])).astype("<u8")
     known = np.array([i is not None for i in ids], "u1")
     numbers = np.array([i or 0 for i in ids], "<i8")
-    head = struct.pack(HEAD, MAGIC, digest, part, number, start, width, len(ids))
-    return b"".join([head, known.tobytes(), numbers.tobytes(), before.tobytes(), places.tobytes(), *frames])
+    head = struct.pack(HEAD, digest, part, number, start, width, len(ids))
+    body = b"".join([head, known.tobytes(), numbers.tobytes(), before.tobytes(), places.tobytes(), *frames])
+    for mask in range(256):
+        made = MAGIC + bytes([mask]) + (_masked(body, mask) if mask else body)
+        if SEPARATOR.encode() not in made:
+            return made
+    raise ValueError("a record that holds the separator under every mask")
+
+
+def _masked(body: bytes, mask: int) -> bytes:
+    return (np.frombuffer(body, np.uint8) ^ np.uint8(mask)).tobytes()
 
 
 class Record(NamedTuple):
@@ -126,20 +136,22 @@ class Record(NamedTuple):
     frames: memoryview
 
     @classmethod
-    def at(cls, content: memoryview, place: int) -> tuple[Record, int]:
-        """The record at ``place`` of a file, and where the next one begins."""
-        magic, digest, part, number, start, width, n = struct.unpack_from(HEAD, content, place)
-        if magic != MAGIC:
-            raise ValueError(f"no record at byte {place}")
-        place += struct.calcsize(HEAD)
-        columns = []
+    def of(cls, content: bytes) -> Record:
+        mask = content[len(MAGIC)] if content[: len(MAGIC)] == MAGIC else None
+        if mask is None:
+            raise ValueError("not a record")
+        body = content[len(MAGIC) + 1 :]
+        body = memoryview(_masked(body, mask) if mask else body)
+        digest, part, number, start, width, n = struct.unpack_from(HEAD, body)
+        place, columns = struct.calcsize(HEAD), []
         for kind, count in (("u1", n), ("<i8", n), ("<u8", n + 1), ("<u8", n + 1)):
-            columns.append(np.frombuffer(content, kind, count, place))
+            columns.append(np.frombuffer(body, kind, count, place))
             place += columns[-1].nbytes
         known, numbers, before, places = columns
+        if len(body) != place + int(places[-1]):
+            raise ValueError("a record that is cut short")
         ids = [int(i) if k else None for i, k in zip(numbers, known)]
-        end = place + int(places[-1])
-        return cls(digest, part, number, start, width, ids, before, places, content[place:end]), end + 1
+        return cls(digest, part, number, start, width, ids, before, places, body[place:])
 
     def document(self, i: int, reader: zstandard.ZstdDecompressor) -> Document:
         frame = self.frames[int(self.places[i]) : int(self.places[i + 1])]
@@ -147,13 +159,6 @@ class Record(NamedTuple):
         return Document(self.ids[i], int(self.before[i]), int(self.before[i + 1] - self.before[i]), ids)
 
 
-def records(content: bytes) -> Iterator[Record]:
-    view, place = memoryview(content), 0
-    while place < len(view):
-        found, place = Record.at(view, place)
-        yield found
-
-
 def write_ids(
     docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID,
 ) -> None:
@@ -189,15 +194,15 @@ def write_ids(
     # more than reading. The last key only deals rows that are alike to several tasks.
     keys = [F.asc_nulls_first("doc_id"), F.char_length("text"), F.xxhash64("text"), F.monotonically_increasing_id()]
     values = read.orderBy(*keys).mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value"))
-    values.write.option("maxRecordsPerFile", FILE_RECORDS).text(f"{path}/ids")
+    values.write.option("lineSep", SEPARATOR).text(f"{path}/ids")
 
 
 def _dictionary(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.parquet(f"{path}/dictionary").first()["value"])
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/ids").select("content")
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", SEPARATOR).text(f"{path}/ids").select(F.col("value").cast("binary").alias("record"))
 
 
 def read_ids(spark: SparkSession, path: str, only: Iterable[int] | None = None, with_ids: bool = True) -> DataFrame:
@@ -213,22 +218,22 @@ def read_ids(spark: SparkSession, path: str, only: Iterable[int] | None = None,
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             for content in batch.column(0):
-                for found in records(content.as_buffer()):
-                    if found.digest != digest:
-                        raise ValueError("the record was made with another dictionary")
-                    rows = []
-                    for i, one in enumerate(found.ids):
-                        if wanted is None or one in wanted:
-                            document = found.document(i, reader)
-                            ids = document.ids.astype("<u4").tobytes()
-                            rows.append((found.part, one, found.start + document.start, document.n_tokens, zlib.crc32(ids), ids if with_ids else None))
-                    columns = list(zip(*rows)) or [()] * len(names)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names)
+                found, rows = Record.of(content.as_py()), []
+                if found.digest != digest:
+                    raise ValueError("the record was made with another dictionary")
+                for i, one in enumerate(found.ids):
+                    if wanted is None or one in wanted:
+                        document = found.document(i, reader)
+                        ids = document.ids.astype("<u4").tobytes()
+                        rows.append((found.part, one, found.start + document.start, document.n_tokens,
+                                     zlib.crc32(ids), ids if with_ids else None))
+                columns = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names)
 
     schema = "part long, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     starts = part_starts(spark, path)
     few = starts.count() <= BROADCAST_PARTS
-    found = _files(spark, path).mapInArrow(read, schema).join(F.broadcast(starts) if few else starts, "part")
+    found = _records(spark, path).mapInArrow(read, schema).join(F.broadcast(starts) if few else starts, "part")
     return found.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
@@ -237,12 +242,12 @@ def part_starts(spark: SparkSession, path: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                found = [(r.part, int(r.before[-1])) for r in records(content.as_buffer())]
-                columns = list(zip(*found)) or [(), ()]
+            if batch.num_rows:
+                found = [Record.of(content.as_py()) for content in batch.column(0)]
+                columns = [r.part for r in found], [int(r.before[-1]) for r in found]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["part", "n"])
 
-    sums = _files(spark, path).mapInArrow(count, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    sums = _records(spark, path).mapInArrow(count, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
     # One row for each sort partition.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return stage(sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from logtable.llm import token_files as module
 from logtable.llm.queries import tokenizer_path
-from logtable.llm.token_files import fresh_folder, read_ids, record, records, write_ids
+from logtable.llm.token_files import SEPARATOR, Record, fresh_folder, read_ids, record, write_ids
 from tests.llm.conftest import ODD
 
 
@@ -41,7 +41,6 @@ def test_round_trip_of_odd_documents(spark, odd):
 @pytest.mark.parametrize("size", [1, 200, 1 << 20])
 def test_many_records_parts_and_files(spark, docs, monkeypatch, size):
     monkeypatch.setattr(module, "RECORD_BYTES", size)
-    monkeypatch.setattr(module, "FILE_RECORDS", 3)
     rows = [(i * 7 % 200 - 50, f"text {i} of many " * (i % 9), "a") for i in range(200)]
     path = fresh_folder(spark)
     write_ids(docs(rows), path, tokenizer_path())
@@ -53,7 +52,7 @@ def test_many_records_parts_and_files(spark, docs, monkeypatch, size):
 def test_documents_stand_in_order_in_the_files(spark, docs):
     path = fresh_folder(spark)
     write_ids(docs([(i, f"number {i}", "a") for i in (5, 3, 9, 1, 7)]), path, tokenizer_path())
-    found = [r for row in module._files(spark, path).collect() for r in records(bytes(row["content"]))]
+    found = [Record.of(bytes(row["record"])) for row in module._records(spark, path).collect()]
     assert [i for r in sorted(found, key=lambda r: (r.part, r.number)) for i in r.ids] == [1, 3, 5, 7, 9]
 
 
@@ -76,8 +75,21 @@ def test_another_dictionary_is_refused(spark, docs):
 
 
 def test_records_hold_any_bytes():
-    frames = [b"\n\xff\x00", b"", b"\r\n" * 5]
-    made = record(b"d" * 32, 3, 1, 10, 2, [5, None, -7], [4, 1, 2], frames) + b"\n"
-    one, two = records(made * 2)
+    frames = [b"\n\xff\x00", b"", SEPARATOR.encode() * 5]
+    made = record(b"d" * 32, 3, 1, 10, 2, [5, None, -7], [4, 1, 2], frames)
+    one = Record.of(made)
+    assert SEPARATOR.encode() not in made
     assert (one.part, one.number, one.start, one.ids, one.before.tolist()) == (3, 1, 10, [5, None, -7], [0, 4, 5, 7])
-    assert [bytes(one.frames[int(a):int(b)]) for a, b in zip(one.places[:-1], one.places[1:])] == frames and two.ids == one.ids
+    assert [bytes(one.frames[int(a):int(b)]) for a, b in zip(one.places[:-1], one.places[1:])] == frames
+    with pytest.raises(ValueError, match="cut short"):
+        Record.of(made[:-1])
+
+
+def test_separators_and_line_ends_come_back_from_files(spark):
+    path, rows = fresh_folder(spark), []
+    for i in range(300):
+        frames = [b"\n" * (i % 7) + SEPARATOR.encode()[: i % 20], bytes([i % 256]) * 70_000]
+        rows.append((bytearray(record(b"d" * 32, i, 0, 0, 2, [i, i], [1, 1], frames)),))
+    values = spark.createDataFrame(rows, "value binary").repartition(2).selectExpr("cast(value AS string) value")
+    values.write.option("lineSep", SEPARATOR).text(f"{path}/ids")
+    assert sorted(bytes(r["record"]) for r in module._records(spark, path).collect()) == sorted(bytes(r[0]) for r in rows)
