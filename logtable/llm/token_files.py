@@ -51,7 +51,7 @@ END_ID, LEVEL = 2, 3
 DICTIONARY_BYTES, SAMPLE_DOCS, CHUNK, SAMPLE_CHUNKS = 64 << 10, 2000, 2048, 4000
 RECORD_BYTES, SEPARATOR = 1 << 18, "\n--end of record--"
 #: Bytes of text that are tokenised together, and words that a worker remembers.
-TOGETHER, REMEMBERED = 2 << 20, 400_000
+TOGETHER, REMEMBERED = 4 << 20, 800_000
 #: Parts whose starts are broadcast at most.
 BROADCAST_PARTS = 1_000_000
 MAGIC = b"IDFILES1"
