@@ -11,9 +11,12 @@ by the hash of their id. Every term found in ``MIN_ROWS`` of them takes part, wh
 link with the label, as a term may matter only beside another: those with a link (chi-square
 test; ``max_terms`` of them at most) have a number each and are fitted first, all others are
 hashed into ``BUCKETS`` numbers and join them in a second fit, in small steps. A tenth of the
-sample tells how many passes of the second fit are best. The broadcast is bounded by
-``max_terms`` and ``BUCKETS``, what is collected by ``sample_rows`` lists of such numbers.
-Scoring reads every whole text.
+sample tells how many passes of the second fit are best (of fewer than ``2 * CHECKED`` rows
+none is set apart, and it makes ``EPOCHS`` passes). The sample's rows are taken whole, in the
+order of the hash, while they hold ``sample_numbers`` numbers at most; one task fits them, so a
+lost executor costs a new fit and the driver sees no row of the sample. The model that it
+passes on and broadcasts is bounded by ``max_terms`` and ``BUCKETS``. Scoring reads every whole
+text.
 
 Defined results: a null or empty text has no terms and gets the bias alone; without any
 labelled row all scores are 0; an id labelled more than once is toxic if any row says so; a
@@ -24,6 +27,7 @@ text has the least hash; rows that repeat are scored alike.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,14 +36,14 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logtable.plans.staging import stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEM = 4
 TOXIC_FROM = 0.5
-SAMPLE_ROWS, MAX_TERMS, MIN_ROWS = 20_000, 4096, 3
+SAMPLE_ROWS, SAMPLE_NUMBERS, MAX_TERMS, MIN_ROWS = 20_000, 8_000_000, 4096, 3
 #: Chi-square at one degree of freedom that chance exceeds once in a hundred thousand times.
 CHI_SQUARE = 19.5
 RANK, EPOCHS, STEPS, BATCH, RATE, DECAY = 8, 12, 800, 256, 0.1, 1e-4
@@ -74,6 +78,16 @@ class Model(NamedTuple):
     factors: np.ndarray
     buckets: np.ndarray | None = None
 
+    def packed(self) -> bytes:
+        """The model as bytes, with single-precision factors."""
+        buckets = None if self.buckets is None else self.buckets.astype(np.int32)
+        # A plain tuple: tasks know this class by value, not by name.
+        return pickle.dumps((self.terms, self.bias, self.weights.astype(np.float32), self.factors.astype(np.float32), buckets), protocol=5)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Model:
+        return cls(*pickle.loads(data))
+
     def number(self, term: int) -> int:
         found = self.terms.get(term, -1)
         return found if found >= 0 or self.buckets is None else int(self.buckets[term % len(self.buckets)])
@@ -215,12 +229,10 @@ def fit_linked_then_all(rows: list[np.ndarray], labels: np.ndarray, linked: list
 
     every = np.arange(len(rows))
     last = np.random.default_rng(11).permutation(len(rows)) % CHECKED == 0
-    if len(rows) >= 2 * CHECKED and len(kept):
-        _, losses = fit(every[~last], passes, ([rows[i] for i in every[last]], labels[last]))
-        passes = int(np.argmin(losses))
-    else:
-        passes = 0
-    return fit(every, passes)[0]
+    if len(rows) < 2 * CHECKED:
+        return fit(every, EPOCHS)[0]
+    _, losses = fit(every[~last], passes, ([rows[i] for i in every[last]], labels[last]))
+    return fit(every, int(np.argmin(losses)))[0]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -230,7 +242,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def learn(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-    sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS,
+    sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, sample_numbers: int = SAMPLE_NUMBERS,
 ) -> Model | None:
     """A model from the labelled rows that are not held out; none without such rows."""
     chosen = (
@@ -255,7 +267,13 @@ def learn(
     # numbers alone needs no sort of texts.
     one = every.groupBy("of", "hash").agg(F.min("place").alias("place")).groupBy("of").agg(
         F.min_by("place", "hash").alias("place"))
-    sample = stage(every.join(F.broadcast(one.select("place")), "place", "left_semi").select("label", "terms"))
+    # A row has no more numbers than terms, nor than there are numbers. Both tables have
+    # sample_rows rows at most.
+    size = F.least(F.size("terms"), F.lit(max_terms + BUCKETS)).cast("long")
+    so_far = F.sum("size").over(Window.orderBy("of"))
+    within = every.select("place", "of", size.alias("size")).join(F.broadcast(one.select("place")), "place", "left_semi")
+    within = within.withColumn("so_far", so_far).filter(F.col("so_far") <= sample_numbers).select("place")
+    sample = stage(every.join(F.broadcast(within), "place", "left_semi").select("label", "terms"))
     rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not rows:
         return None
@@ -276,10 +294,17 @@ def learn(
                      for row in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["label", "numbers"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, held = [], []
+        for batch in batches:
+            labels += batch.column(0).to_pylist()
+            held += [np.frombuffer(row.as_py(), np.int32).astype(np.int64) for row in batch.column(1)]
+        model = fit_linked_then_all(held, np.array(labels, float), kept)
+        yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], ["model"])
+
     # In an order that does not depend on files or tasks.
-    data = sorted((bytes(r["numbers"]), r["label"]) for r in sample.mapInArrow(numbers, "label int, numbers binary").collect())
-    return fit_linked_then_all(
-        [np.frombuffer(row, np.int32).astype(np.int64) for row, _ in data], np.array([of for _, of in data], float), kept)
+    numbered = sample.mapInArrow(numbers, "label int, numbers binary").repartition(1).sortWithinPartitions("numbers", "label")
+    return Model.unpacked(bytes(stage(numbered.mapInArrow(fit, "model binary")).first()["model"]))
 
 
 def scorer(spark: SparkSession, model: Model | None):
