@@ -1,19 +1,25 @@
 """Near-duplicates by a multi-index Hamming join over MinHash signatures.
 
 A document's set of word shingles gets a signature of ``SYMBOLS`` minima, ``BITS`` bits of
-each; the first ``INDEXED`` are indexed. Two signatures that differ in ``MOST_ERRORS`` of these
-or fewer agree, in at least one of ``CHUNKS`` chunks, in all symbols but ``CHUNK_ERRORS``
+each; the first ``INDEXED`` are indexed. Two signatures that differ in ``most_errors`` of these
+or fewer agree, in at least one of ``chunks`` chunks, in all symbols but ``CHUNK_ERRORS``
 (pigeonhole). So each chunk is entered into an index once for every choice of symbols that may
 be wrong, leaving them out; all pairs within the distance meet under a common key. Pairs that
-also differ in no more than ``ALL_ERRORS`` of all symbols are confirmed on the full sets.
+also differ in no more than ``all_errors`` of all symbols are confirmed on the full sets.
 
-At a similarity of 0.85, 64 minima differ in 9.6 places on average, and in more than 23 once
-in about 300,000 such pairs; 256 differ in 38 places, and in more than 64 once in 100,000.
+Both distances follow from the threshold and ``miss_rate``, the share of pairs exactly at the
+threshold that may be missed (``Distances.of``): at a similarity of 0.85, 64 minima differ in
+9.6 places on average, and in more than 23 once in about 300,000 such pairs; 256 differ in 38
+places, and in more than 65 once in some 200,000.
 
 What keeps this linear where many documents are alike: documents with equal sets become one
 first. Then every key links its members to its smallest one only; confirmed links give
 components, and only keys whose members are still in several components are compared in
-full, member by member, in blocks, leaving out pairs inside a component. Nothing is capped.
+full, member by member, in blocks, leaving out pairs inside a component. That takes two walks
+over the blocks, and no pair ever becomes a row: the first keeps the members of near pairs; the
+second gets their full sets too, confirms pairs where they meet, and writes only links that
+join two components of its block. So a group of documents that are almost, but not quite,
+alike costs comparisons inside tasks, but rows in proportion to its size. Nothing is capped.
 
 Defined results: a null or empty text has an empty set and is linked with nothing, as is a
 row without an id; rows that repeat an id are one document and get one answer.
@@ -22,7 +28,9 @@ row without an id; rows that repeat an id are one document and get one answer.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,23 +42,49 @@ from logtable.plans.staging import stage
 
 WIDTH = 5
 SYMBOLS, BITS = 256, 8
-INDEXED, MOST_ERRORS, CHUNK_ERRORS = 64, 23, 1
-ALL_ERRORS = 64
-CHUNKS = MOST_ERRORS // (CHUNK_ERRORS + 1) + 1
-#: Members of one key that are compared with each other in one go.
-BLOCK = 1024
+INDEXED, CHUNK_ERRORS = 64, 1
+#: The share of pairs at the threshold that may be missed.
+MISS_RATE = 1e-5
+#: Members of one key, and shingles of theirs, that are compared with each other in one go.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: So many ids are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles hashed at once for one signature, pairs compared at once.
 SLAB, PAIRS = 1024, 1 << 16
+#: Sets that one is compared with at once; the least threshold.
+PARTNERS, LEAST = 256, 50
 
 _seeds = np.random.default_rng(20240229)
 FACTORS = _seeds.integers(0, 1 << 31, SYMBOLS, np.uint32) * np.uint32(2) + np.uint32(1)
 ADDED = _seeds.integers(0, 1 << 32, SYMBOLS, np.uint32)
 SALTS = _seeds.integers(0, 1 << 63, INDEXED, np.uint64)
-#: Where each chunk begins, and the chunk of each indexed symbol.
-CHUNK_STARTS = np.arange(CHUNKS) * INDEXED // CHUNKS
-CHUNK_OF = np.searchsorted(CHUNK_STARTS, np.arange(INDEXED), side="right") - 1
+
+
+class Distances(NamedTuple):
+    """How many of the indexed symbols, and of all, two signatures may differ in."""
+
+    threshold: int
+    most_errors: int
+    all_errors: int
+
+    @classmethod
+    def of(cls, threshold: int, miss_rate: float = MISS_RATE) -> Distances:
+        wrong = (1 - threshold / 100) * (1 - 2.0**-BITS)
+        return cls(threshold, *[_least_errors(n, wrong, miss_rate / 2) for n in (INDEXED, SYMBOLS)])
+
+    @property
+    def chunks(self) -> int:
+        return self.most_errors // (CHUNK_ERRORS + 1) + 1
+
+
+def _least_errors(n: int, wrong: float, rate: float) -> int:
+    """The least number that ``n`` trials exceed no more often than ``rate``."""
+    beyond = 1.0
+    for errors in range(n):
+        beyond -= math.comb(n, errors) * wrong**errors * (1 - wrong) ** (n - errors)
+        if beyond <= rate:
+            return errors
+    return n
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -62,14 +96,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mixed(least.astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.uint8)
 
 
-def index_keys(signatures: np.ndarray) -> np.ndarray:
+def index_keys(signatures: np.ndarray, chunks: int) -> np.ndarray:
     """The keys of each signature: every chunk without one of its symbols, for each symbol.
 
     A chunk's key is a sum over its symbols, so leaving one out is a subtraction.
     """
+    starts = np.arange(chunks) * INDEXED // chunks
+    of = np.searchsorted(starts, np.arange(INDEXED), side="right") - 1
     parts = mixed(signatures[:, :INDEXED].astype(np.uint64) + SALTS)
-    sums = np.add.reduceat(parts, CHUNK_STARTS, axis=1)
-    return mixed(sums[:, CHUNK_OF] - parts + SALTS[::-1]).view(np.int64)
+    sums = np.add.reduceat(parts, starts, axis=1)
+    return mixed(sums[:, of] - parts + SALTS[::-1]).view(np.int64)
 
 
 def signed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -86,16 +122,16 @@ def signed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
                 ["doc_id", "n_shingles", "digest", "signature"])
 
-    read = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return read.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
-def keyed(classes: DataFrame) -> DataFrame:
+def keyed(classes: DataFrame, chunks: int) -> DataFrame:
     """``key`` and ``uid``: a row for each key of each class."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = index_keys(_matrix(batch.column(1)))
+            keys = index_keys(_matrix(batch.column(1)), chunks)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(keys) + 1) * INDEXED, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["uid", "keys"])
@@ -108,9 +144,9 @@ def _matrix(signatures: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
 
 
-def close_pairs(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def close_pairs(pairs: DataFrame, classes: DataFrame, distances: Distances) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) within the signature distance and of fitting sizes."""
-    of = classes.select("uid", "signature", "n_shingles")
+    of, threshold, most = classes.select("uid", "signature", "n_shingles"), distances.threshold, distances.all_errors
     both = (
         pairs.join(of.withColumnsRenamed({"uid": "a", "signature": "sa", "n_shingles": "na"}), "a")
         .join(of.withColumnsRenamed({"uid": "b", "signature": "sb", "n_shingles": "nb"}), "b")
@@ -122,17 +158,16 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFra
         for batch in batches:
             if batch.num_rows:
                 errors = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
-                yield batch.select([0, 1]).filter(pa.array(errors <= ALL_ERRORS))
+                yield batch.select([0, 1]).filter(pa.array(errors <= most))
 
     return both.mapInArrow(near, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: int) -> DataFrame:
-    """Those of ``pairs`` whose full sets are similar enough."""
-    ends = [pairs.select(F.col(end).alias("_wanted")).distinct() for end in ("a", "b")]
-    wanted = stage(ends[0].unionByName(ends[1]).distinct())
+def full_sets(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """``id`` and sorted ``shingles`` of the documents in ``ids`` (one column, distinct)."""
+    wanted = stage(ids.toDF("_wanted"))
     few = wanted.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(
         F.broadcast(wanted) if few else wanted, F.col("id") == F.col("_wanted"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +175,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width:
             found = [s.view(np.int64) for s in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    found = texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"])
-    found = stage(found)
+    return stage(texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"]))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: int) -> DataFrame:
+    """Those of ``pairs`` whose full sets are similar enough."""
+    ends = [pairs.select(F.col(end).alias("id")).distinct() for end in ("a", "b")]
+    found = full_sets(ends[0].unionByName(ends[1]).distinct(), docs, doc_id, text, width)
     both = (
         pairs.join(found.withColumnsRenamed({"id": "a", "shingles": "one"}), "a")
         .join(found.withColumnsRenamed({"id": "b", "shingles": "other"}), "b")
@@ -165,17 +205,18 @@ def _pairs_of_groups(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ones or [none]), np.concatenate(others or [none])
 
 
-def _near_in_groups(table: pa.Table, threshold: int) -> pa.RecordBatch:
-    """Pairs of whole groups, sorted by (key, left, right): of different components, of
-    fitting sizes, within the distance, and met here for the first time."""
+def _near_in_groups(table: pa.Table, distances: Distances) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of whole groups, sorted by (key, left, right): of different
+    components, of fitting sizes, within the distance, and met here for the first time."""
     column = lambda name: table.column(name).to_numpy()
-    uid, component, size, block = column("uid"), column("component"), column("n_shingles"), column("block")
+    component, size, block = column("component"), column("n_shingles"), column("block")
     left, right = column("left"), column("right")
     signatures = _matrix(table.column("signature").combine_chunks())
-    keys = index_keys(signatures) if len(uid) else np.zeros((0, INDEXED), np.int64)
-    new = np.ones(len(uid), bool)
+    keys = index_keys(signatures, distances.chunks)
+    threshold = distances.threshold
+    new = np.ones(table.num_rows, bool)
     new[1:] = (np.diff(column("key")) != 0) | (np.diff(left) != 0) | (np.diff(right) != 0)
-    edges = np.append(np.flatnonzero(new), len(uid))
+    edges = np.append(np.flatnonzero(new), table.num_rows)
     key, found = column("key"), []
     # Groups are taken together until they make about PAIRS pairs.
     sizes = np.diff(edges)
@@ -193,20 +234,60 @@ def _near_in_groups(table: pa.Table, threshold: int) -> pa.RecordBatch:
         one, other = one[fits], other[fits]
         for at in range(0, len(one), PAIRS):
             a, b = one[at : at + PAIRS], other[at : at + PAIRS]
-            near = (signatures[a, :INDEXED] != signatures[b, :INDEXED]).sum(axis=1) <= MOST_ERRORS
+            near = (signatures[a, :INDEXED] != signatures[b, :INDEXED]).sum(axis=1) <= distances.most_errors
             a, b = a[near], b[near]
-            near = (signatures[a] != signatures[b]).sum(axis=1) <= ALL_ERRORS
+            near = (signatures[a] != signatures[b]).sum(axis=1) <= distances.all_errors
             a, b = a[near], b[near]
             # The first key that both have is the one that reports the pair.
             first = keys[a, (keys[a] == keys[b]).argmax(axis=1)] == key[a]
-            found.append((uid[a[first]], uid[b[first]]))
-    ones = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-    others = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(others, pa.int64())], ["a", "b"])
+            found.append((a[first], b[first]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *[f[0] for f in found]]), np.concatenate([none, *[f[1] for f in found]])
+
 
+def _joining(table: pa.Table, ones: np.ndarray, others: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """The pairs of places that link their full sets and join two components that no earlier
+    one of them has joined."""
+    lists = table.column("shingles").combine_chunks()
+    values, cuts = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    sizes, component, root, links = np.diff(cuts), table.column("component").to_numpy(), {}, []
 
-def compared(rows: DataFrame, threshold: int) -> DataFrame:
-    """``a``, ``b``: the near pairs of rows that share (key, left, right), met there first."""
+    def find(node: int) -> int:
+        while root.get(node, node) != node:
+            root[node] = node = root.get(root[node], root[node])
+        return node
+
+    order = np.argsort(ones, kind="stable")
+    ones, others = ones[order], others[order]
+    for low, high in zip(*_runs(ones)):
+        one = ones[low]
+        left = np.array([j for j in others[low:high] if find(component[j]) != find(component[one])], np.int64)
+        mine = values[cuts[one] : cuts[one + 1]]
+        for at in range(0, len(left), PARTNERS):
+            some = left[at : at + PARTNERS]
+            theirs = np.concatenate([values[cuts[j] : cuts[j + 1]] for j in some])
+            place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            common = np.add.reduceat(mine[place] == theirs, np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            for j in some[100 * common >= threshold * (len(mine) + sizes[some] - common)]:
+                a, b = find(component[one]), find(component[j])
+                if a != b:
+                    root[a] = b
+                    links.append((one, j))
+    return links
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins and ends."""
+    starts = np.flatnonzero(np.append(True, np.diff(values) != 0)) if len(values) else np.zeros(0, np.int64)
+    return starts, np.append(starts[1:], len(values))
+
+
+GROUP = ["key", "left", "right"]
+MEMBER = [*GROUP, "block", "uid", "component", "n_shingles", "signature"]
+
+
+def _by_group(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on tables of whole groups of rows that share (key, left, right)."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -217,60 +298,87 @@ def compared(rows: DataFrame, threshold: int) -> DataFrame:
                 continue
             # The last group may go on in the next batch.
             same = np.ones(table.num_rows, bool)
-            for name in ("key", "left", "right"):
+            for name in GROUP:
                 values = table.column(name).to_numpy()
                 same &= values == values[-1]
             whole = int(table.num_rows - same[::-1].argmin()) if not same.all() else 0
             held = table.slice(whole)
             if whole:
-                yield _near_in_groups(table.slice(0, whole), threshold)
+                yield work(table.slice(0, whole))
         if held is not None and held.num_rows:
-            yield _near_in_groups(held, threshold)
+            yield work(held)
+
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(walk, schema)
+
+
+def involved(rows: DataFrame, distances: Distances) -> DataFrame:
+    """Those of ``rows`` that are in a near pair which they meet first in their group."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        found = np.unique(np.concatenate(_near_in_groups(table, distances)))
+        some = table.take(pa.array(found, pa.int64())).combine_chunks()
+        return pa.RecordBatch.from_arrays([column.combine_chunks() for column in some.columns], some.schema.names)
+
+    return _by_group(rows.select(*MEMBER), work, rows.select(*MEMBER).schema)
+
+
+def linked(rows: DataFrame, distances: Distances) -> DataFrame:
+    """``a``, ``b``: links between ``rows`` (with ``shingles``), enough to join what they join."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        found = _joining(table, *_near_in_groups(table, distances), distances.threshold)
+        uid = table.column("uid").to_numpy()
+        ends = [pa.array(uid[[pair[end] for pair in found]] if found else [], pa.int64()) for end in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
-    kept = ["key", "left", "right", "block", "uid", "component", "n_shingles", "signature"]
-    dealt = rows.select(*kept).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return dealt.mapInArrow(walk, "a long, b long")
+    return _by_group(rows.select(*MEMBER, "shingles"), work, "a long, b long")
 
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = 85,
+    miss_rate: float = MISS_RATE,
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for each of ``docs``; documents are
-    linked from ``threshold`` per cent of similarity (85 or more) on."""
-    if threshold < 85:
-        raise ValueError("the signature distance is set for similarities of 0.85 and more")
+    linked from ``threshold`` per cent of similarity (``LEAST`` or more) on."""
+    if threshold < LEAST:
+        raise ValueError(f"below {LEAST} per cent, chunks of signatures are too short to index")
+    distances = Distances.of(threshold, miss_rate)
     documents = stage(signed(docs, doc_id, text, width))
     with_set = documents.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage(
         with_set.groupBy("digest").agg(F.min("doc_id").alias("uid"), F.min(F.struct("n_shingles", "signature")).alias("s"))
         .select("digest", "uid", "s.n_shingles", "s.signature"))
-    entries = keyed(classes)
+    entries = keyed(classes, distances.chunks)
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("uid").alias("centre")).filter("members > 1")
     # Staged sides of one row a key let joins split the keys of very many documents.
     members = stage(entries.join(stage(shared), "key"))
     # First every member against the smallest of its key.
     star = members.filter("uid != centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
-    links = confirmed(stage(close_pairs(star, classes, threshold)), docs, doc_id, text, width, threshold)
+    links = confirmed(stage(close_pairs(star, classes, distances)), docs, doc_id, text, width, threshold)
     found = components(links)
     # Then, in keys that still hold several components, every pair across them.
     placed = members.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
         "component", F.coalesce("component", "uid"))
+    sized = placed.join(classes.select("uid", "n_shingles", "signature"), "uid")
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed_keys = stage(mixed_keys.filter("low != high").select("key"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    in_mixed = stage(sized.join(mixed_keys, "key"))
+    shingles = in_mixed.groupBy("key").agg(F.sum("n_shingles").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     block = F.pmod(F.xxhash64("uid"), blocks).cast("int")
     rows = (
-        placed.join(mixed_keys, "key").join(classes.select("uid", "n_shingles", "signature"), "uid")
+        in_mixed.join(shingles, "key")
         .withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumns({"left": F.least("block", "with"), "right": F.greatest("block", "with")})
     )
-    across = stage(compared(rows, threshold).distinct())
-    more = confirmed(across, docs, doc_id, text, width, threshold)
+    near = stage(involved(rows, distances))
+    sets = full_sets(near.select("uid").distinct(), docs, doc_id, text, width).withColumnRenamed("id", "uid")
+    more = stage(linked(near.join(sets, "uid"), distances))
     every = components(links.unionByName(more))
     of_digest = classes.select("digest", "uid").join(every.withColumnRenamed("node", "uid"), "uid", "left").select(
         "digest", F.coalesce("component", "uid").alias("component"))
     joined = documents.join(of_digest, "digest", "left")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(linked, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    has_links = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(has_links, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
