@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logtable.session import configure
@@ -26,6 +29,14 @@ def whole(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """``names``, each lengthened until it is none of ``columns``."""
     taken, out = {c.lower() for c in columns}, []

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from logtable.llm.common import release_memory
 from logtable.llm.components import components
 from logtable.llm.shingles import mixed, shingle_sets
 from logtable.plans.staging import stage
@@ -121,6 +122,7 @@ def signed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
                 ["doc_id", "n_shingles", "digest", "signature"])
+        release_memory()
 
     read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return read.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, signature binary")

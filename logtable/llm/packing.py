@@ -28,13 +28,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from logtable.llm.common import release_memory
 from logtable.plans.ordered import in_order
 from logtable.plans.staging import stage
 
 CAPACITY, END_ID = 4096, 1
 RANK_BLOCK = 256
 #: Words whose ids a Python worker remembers; it forgets all of them when there are more.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Bytes of text that are tokenised together.
 TOGETHER = 8 << 20
 
@@ -63,6 +64,8 @@ class WordTokenizer:
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends_word[number] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
+        #: Another number of words to remember.
+        self.remembered = 0
 
     @classmethod
     def shared(cls, path: str) -> WordTokenizer:
@@ -94,7 +97,7 @@ class WordTokenizer:
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > (self.remembered or REMEMBERED):
             self.known = {"": b""}
             new = [w for w in distinct if w]
         if new:
@@ -160,6 +163,7 @@ def token_pieces(
                     columns.append(pa.array(pieces, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        release_memory()
 
     read = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()

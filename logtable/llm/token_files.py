@@ -72,10 +72,9 @@ class Document(NamedTuple):
 def encoded(texts: pa.Array, tokenizer: str, end_id: int) -> Iterator[np.ndarray]:
     """The serialisable ids of each text, the end id included."""
     made = WordTokenizer.shared(tokenizer)
+    made.remembered = REMEMBERED
     kind = id_type(max(len(made.ends_word), end_id + 1))
     for low, high in by_bytes(texts, TOGETHER):
-        if len(made.known) > REMEMBERED:
-            made.known = {"": b""}
         for ids in made.encode(texts.slice(low, high - low)):
             yield np.append(ids, np.uint32(end_id)).astype(kind)
 

@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from logtable.llm.common import release_memory
 from logtable.plans.staging import stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -261,6 +262,7 @@ def learn(
             found = [np.array(sorted(text_terms(t.as_py())), np.int64) for t in batch.column(1)]
             columns = [batch.column(0), pa.array(found, pa.list_(pa.int64())), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, ["label", "terms", "of", "hash", "place"])
+        release_memory()
 
     every = stage(labelled.mapInArrow(terms, "label int, terms array<long>, of long, hash long, place long"))
     # An id that repeats gives one row, so that sample_rows bounds what is collected. Aggregating
@@ -301,6 +303,8 @@ def learn(
             held += [np.frombuffer(row.as_py(), np.int32).astype(np.int64) for row in batch.column(1)]
         model = fit_linked_then_all(held, np.array(labels, float), kept)
         yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], ["model"])
+        del held, model
+        release_memory()
 
     # In an order that does not depend on files or tasks.
     numbered = sample.mapInArrow(numbers, "label int, numbers binary").repartition(1).sortWithinPartitions("numbers", "label")
@@ -329,6 +333,8 @@ def scorer(spark: SparkSession, model: Model | None):
 
         for texts in batches:
             yield pd.Series([probability(t) for t in texts], dtype="float64")
+        remembered.clear()
+        release_memory()
 
     return score
 
