@@ -3,6 +3,11 @@
 Users write filters in RE2 syntax; ``rlike`` runs Java patterns. The two agree
 on most constructs. This module rewrites the ones that differ and refuses what
 RE2 refuses (look-around, back-references, stacked repetition).
+
+Java matches a repeated group by calling itself for every round, so a long cell can exhaust
+its stack and end the JVM. A repeated single character is a loop there. So alternatives of one
+character each become a class, ``x{n,}`` becomes ``x{n}x*``, and a pattern that still repeats a
+group is told by :func:`repeats_group`: it must not run in the JVM.
 """
 
 from __future__ import annotations
@@ -34,8 +39,14 @@ WORD_NEXT = re.compile(r"(?:\\[dw]|\w)(?![*?]|\{0)", re.ASCII)
 # Ignoring case, K and S also stand for letters that are no word characters.
 FOLDED_WORD_NEXT = re.compile(r"(?:\\d|(?![kKsS])\w)(?![*?]|\{0)", re.ASCII)
 MAY_BE_NONE = re.compile(r"[*?]|\{0")
+GROUP_NAME = re.compile(r"\\Q.*?(?:\\E|\Z)|\\.|\[\^?\]?(?:\[:\^?\w+:\]|\\.|[^\]\\])*\]|(\(\?<)", re.S)
 REPEAT = re.compile(r"\{(\d+)(?:,(\d*))?\}")
 MAX_REPEAT = 1000
+# A bound on the nodes that Java goes through, one inside the other, for a repeated group.
+MOST_NODES = 2000
+# What is written for one character, and may stand in a class: a hexadecimal one, a letter or
+# digit, or a class.
+ONE_CHARACTER = re.compile(r"\\x[0-9A-F]{2}|[^\\^$.|?*+(){}\[\]&-]|\[[^\[\]]*\]")
 
 
 @dataclass(frozen=True)
@@ -65,6 +76,9 @@ class _Translation:
         # Whether what was read last ends in a word character for sure; texts that every
         # match holds.
         self.word, self.needed = False, [""]
+        # Whether a group is repeated; where the last atom begins in ``out``; and, if the last
+        # group is one character, its opening and the class that it is.
+        self.repeats_group, self.last, self.single = False, 0, None
 
     def fail(self, why: str):
         raise InvalidPattern(f"{why} in pattern {self.src!r}")
@@ -114,7 +128,7 @@ class _Translation:
             if count is not None:
                 if not repeatable:
                     self.fail("misplaced repetition")
-                self.out.append(count + ("" if self.take("?") == flags.lazy else "?"))
+                self.repeat(count, "" if self.take("?") == flags.lazy else "?")
                 if MAY_BE_NONE.match(count):
                     self.word, self.needed[-1] = False, self.needed[-1][:-1]
                 self.needed.append("")
@@ -122,7 +136,7 @@ class _Translation:
                     self.fail("stacked repetition")
                 repeatable = False
                 continue
-            repeatable = True
+            repeatable, self.last, self.single = True, len(self.out), None
             if self.take("("):
                 self.must_hold("", depth, flags)
                 flags, repeatable = self.group(flags, depth)
@@ -148,6 +162,28 @@ class _Translation:
                 self.out.append(r"(?![^\n])" if flags.multi else r"\z")
         return flags
 
+    def repeat(self, count: str, lazy: str):
+        """Repeat the last atom."""
+        atom = "".join(self.out[self.last:])
+        del self.out[self.last:]
+        opening, closing = "", ""
+        if self.single:
+            opening, atom = self.single
+            closing = ")"
+        elif atom.startswith(("(?iu:", "(?-iu:")) and not self.few_rounds(count, atom):
+            self.repeats_group = True
+        if count[0] == "{" and count.endswith(",}"):
+            count = f"{count[:-2]}}}{atom}*"
+        self.out.append(f"{opening}{atom}{count}{lazy}{closing}")
+        self.single = None
+
+    @staticmethod
+    def few_rounds(count: str, group: str) -> bool:
+        """Whether a group is repeated so rarely that its rounds need little stack."""
+        low, high = REPEAT.fullmatch(count).groups() if count[0] == "{" else (0, "1" if count == "?" else "")
+        most = low if high is None else high
+        return most != "" and int(most) * len(group) <= MOST_NODES and "){" not in group
+
     @staticmethod
     def is_word(ch: str, flags: _Flags) -> bool:
         return ch.isascii() and (ch.isalnum() or ch == "_") and not (flags.fold and ch in "kKsS")
@@ -188,11 +224,18 @@ class _Translation:
                     self.out.append("(?iu)" if inner.fold else "(?-iu)")
                     self.word = False
                     return inner, False
-        self.out.append("(?iu:" if inner.fold else "(?-iu:")
+        begin, opening = len(self.out), "(?iu:" if inner.fold else "(?-iu:"
+        self.out.append(opening)
         self.alternatives(inner, depth + 1)
         if not self.take(")"):
             self.fail("missing )")
+        inside = self.out[begin + 1 :]
         self.out.append(")")
+        self.last = begin
+        # Atoms of one character stand alone in ``out``, between bars.
+        atoms, bars = inside[::2], inside[1::2]
+        one = len(inside) % 2 and all(map(ONE_CHARACTER.fullmatch, atoms)) and set(bars) <= {"|"}
+        self.single = (opening, f"[{''.join(atoms)}]") if one else None
         return flags, True
 
     def escape(self, flags: _Flags, depth: int, word: bool):
@@ -201,7 +244,8 @@ class _Translation:
             self.must_hold("", depth, flags)
             quoted_text, _, _ = self.src[self.at:].partition("\\E")
             self.at = min(len(self.src), self.at + len(quoted_text) + 2)
-            self.out.append(literal(quoted_text))
+            self.out.extend(map(literal, quoted_text))
+            self.last = max(self.last, len(self.out) - 1)
             return
         ends = {"A": r"\A", "z": r"\z", "b": WORD_EDGE, "B": NO_WORD_EDGE}
         kind = self.src[self.at + 1]
@@ -296,6 +340,19 @@ def to_java(pattern: str) -> str:
     return _Translation(pattern).run()
 
 
+def repeats_group(pattern: str) -> bool:
+    """Whether the Java pattern repeats a group, so that long cells may exhaust its stack."""
+    read = _Translation(pattern)
+    read.run()
+    return read.repeats_group
+
+
+def to_re2(pattern: str) -> str:
+    """The pattern for RE2 itself: only older names of groups are known everywhere."""
+    to_java(pattern)
+    return GROUP_NAME.sub(lambda m: m[0] if m[1] is None else "(?P<", pattern)
+
+
 def needed_text(pattern: str) -> str:
     """A text that every match of the pattern holds, '' if none is known."""
     read = _Translation(pattern)

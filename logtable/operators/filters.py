@@ -6,23 +6,48 @@ import re
 from collections.abc import Sequence
 from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BooleanType
 
-from logtable.functions.patterns import InvalidPattern, needed_text, to_java
+from logtable.functions.patterns import InvalidPattern, needed_text, repeats_group, to_java, to_re2
 from logtable.functions.text import WHITE_SPACE, cell, gfold, quoted, row_text
 from logtable.operators.rows import LINE_NO, ROW_ID, TS, data_columns
 
 
 def regex_match(text: Column, pattern: str) -> Column:
-    """Whether an RE2 pattern matches anywhere in ``text``."""
-    java = to_java(pattern)
+    """Whether an RE2 pattern matches anywhere in ``text``.
+
+    Patterns that repeat no group run in the JVM, as Java patterns. The others could exhaust
+    its stack on a long cell: they run in RE2, over whole Arrow batches, in linear time. Rows
+    without a text that every match holds are not sent there.
+    """
+    java, needed = to_java(pattern), needed_text(pattern)
+    may_match = F.contains(text, F.lit(needed)) if needed else F.lit(True)
+    if repeats_group(pattern):
+        return F.when(text.isNotNull(), F.coalesce(re2_match(pattern)(F.when(may_match, text)), F.lit(False)))
     try:
         SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(java)
     except IllegalArgumentException as error:
         raise InvalidPattern(f"{pattern!r}: {error}") from None
-    needed = needed_text(pattern)
-    return F.contains(text, F.lit(needed)) & text.rlike(java) if needed else text.rlike(java)
+    return may_match & text.rlike(java) if needed else text.rlike(java)
+
+
+def re2_match(pattern: str):
+    """A function of a text column: whether RE2 finds the pattern in it."""
+    same = to_re2(pattern)
+    try:
+        pc.match_substring_regex(pa.array([""]), pattern=same)
+    except pa.ArrowInvalid as error:
+        raise InvalidPattern(f"{pattern!r}: {error}") from None
+
+    @F.arrow_udf(BooleanType())
+    def match(text: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(text, pattern=same)
+
+    return match
 
 
 def filter_regex(

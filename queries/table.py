@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logtable.functions.times import parse_log_ts
 from logtable.operators import positions as places
 from logtable.operators.columns import reorder_columns, reset_view, toggle_columns
-from logtable.operators.filters import filter_marked, filter_regex, match_spans, search
+from logtable.operators.filters import filter_marked, filter_regex, match_spans, regex_match, search
 from logtable.operators.presets import dedupe_ordered, filter_preset, merge_presets, preset_hits, tag_presets
 from logtable.sources.config import read_presets
 from logtable.operators.rows import column_profile, with_line_no, with_row_id
@@ -100,6 +100,30 @@ def regex_documents(spark, sf_dir):
     return filter_regex(document_log(spark, sf_dir), DOCUMENT_PATTERN).select("line_no")
 
 
+# Cells of about a megabyte: four hundred documents each, every other one with a closing quote.
+CELL_DOCS = 400
+QUOTED_PATTERN = r'"(?:[^"\\]|\\.)*"'
+ENTIRE_PATTERN = r"(?s)^\"(?:[^ ]+|\s)*\"$"
+
+
+@query("regex_quoted", f"""WITH cells AS (
+  SELECT doc_id // {CELL_DOCS} + 1 AS line_no, '"' || string_agg(replace(text, '"', ''), ' ' ORDER BY doc_id)
+    || CASE WHEN doc_id // {CELL_DOCS} % 2 = 0 THEN '"' ELSE '' END AS cell
+  FROM documents WHERE text IS NOT NULL GROUP BY doc_id // {CELL_DOCS})
+SELECT line_no, length(cell) AS chars, regexp_matches(cell, '{QUOTED_PATTERN}') AS quoted,
+  regexp_matches(cell, '{ENTIRE_PATTERN}') AS entire
+FROM cells""")
+def regex_quoted(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").withColumn("group", F.expr(f"doc_id div {CELL_DOCS}"))
+    texts = F.array_sort(F.collect_list(F.struct("doc_id", F.replace("text", F.lit('"'), F.lit("")).alias("text"))))
+    cells = docs.groupBy("group").agg(F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("texts")).select(
+        (F.col("group") + 1).alias("line_no"),
+        F.concat(F.lit('"'), "texts", F.when(F.col("group") % 2 == 0, '"').otherwise("")).alias("cell"))
+    return cells.select(
+        "line_no", F.char_length("cell").cast("long").alias("chars"), regex_match(F.col("cell"), QUOTED_PATTERN).alias("quoted"),
+        regex_match(F.col("cell"), ENTIRE_PATTERN).alias("entire"))
+
+
 PRESETS = (
     (r"(?i)token = \"[0-9a-f]+\"", "secret"),
     (r"[\w.]+@[\w-]+\.[a-z]+", "mail"),
