@@ -167,3 +167,26 @@ def running_sum(df: DataFrame, order: str, value: Column, out: str) -> DataFrame
     inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("_value").over(inside) + F.col("_carry")
     return blocked.join(carried, "_block").withColumn(out, total).drop("_block", "_carry", "_value")
+
+
+def running(df: DataFrame, order: str, sums: dict[str, Column], lasts: dict[str, Column]) -> DataFrame:
+    """Several at once, each up to and with its row: sums, and last non-NULL values."""
+    named = {f"_value{i}": value for i, value in enumerate([*sums.values(), *lasts.values()])}
+    blocked = _blocked(df.withColumns(named), order)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    of_block, carried, found = [], [F.col("_block")], {}
+    for i, out in enumerate([*sums, *lasts]):
+        value, carry = f"_value{i}", f"_carry{i}"
+        if out in sums:
+            of_block.append(F.sum(value).alias(value))
+            carried.append(F.coalesce(F.sum(value).over(before), F.lit(0)).alias(carry))
+            found[out] = F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col(carry)
+        else:
+            at = F.when(F.col(value).isNotNull(), F.col(order))
+            of_block.append(F.max_by(value, at).alias(value))
+            carried.append(F.last(value, ignorenulls=True).over(before).alias(carry))
+            found[out] = F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col(carry))
+    blocks = blocked.groupBy("_block").agg(*of_block).select(*carried)
+    spare = ["_block", *named, *[f"_carry{i}" for i in range(len(named))]]
+    return blocked.join(blocks, "_block").withColumns(found).drop(*spare)

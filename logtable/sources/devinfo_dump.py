@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logtable.functions.text import gfold, gtrim
@@ -26,8 +30,9 @@ INSERT_START = "insert into public.devinfo"
 # tuples, outside or inside quotes.
 OUT, COPY, HEAD, TUPLES, QUOTED = range(5)
 
-# Neighbouring lines, or blocks of them, that are put together at each level.
-FAN = 1024
+# Neighbouring lines, or blocks of them, whose effects are put together at each level.
+FAN = 1 << 16
+STATES = 5
 
 TOKEN = r"'(?:[^']++|'')*+'|[(),]|[^'(),]+"
 
@@ -120,37 +125,89 @@ def _line_effect(value: Column, kind: Column) -> Column:
     ).cast(EFFECT)
 
 
-def _then(first: Column, second: Column) -> Column:
-    """The effect of two neighbours, for one state that the first starts in."""
-    found = F.get(second, first["state"])
-    afresh = found["afresh"]
-    return _effect_of(
-        found["state"],
-        found["moved"] + F.when(afresh, 0).otherwise(first["moved"]),
-        F.when(afresh, found["lowest"]).otherwise(F.least(first["lowest"], first["moved"] + found["lowest"])),
-        afresh | first["afresh"],
-    )
+class _Effects(NamedTuple):
+    """Effects of neighbours in order: each a matrix with a row per line (or block) and a column
+    per state that it may start in."""
+
+    state: np.ndarray
+    moved: np.ndarray
+    lowest: np.ndarray
+    afresh: np.ndarray
+
+    @classmethod
+    def read(cls, flat: pa.Array) -> _Effects:
+        values = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4, STATES)
+        return cls(*[values[:, i].copy() for i in range(4)])
+
+    def rows(self) -> pa.Array:
+        values = np.stack(self, axis=1).reshape(len(self.state), -1).astype(np.int64)
+        return pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.int64()))
+
+    def part(self, low: int | None, high: int | None) -> _Effects:
+        return _Effects(*[column[low:high] for column in self])
+
+    def then(self, later: _Effects) -> _Effects:
+        """What each does, and the one of ``later`` after it."""
+        state, moved, lowest, afresh = [np.take_along_axis(column, self.state, 1) for column in later]
+        new = afresh != 0
+        return _Effects(
+            state, moved + np.where(new, 0, self.moved),
+            np.where(new, lowest, np.minimum(self.lowest, self.moved + lowest)), afresh | self.afresh)
+
+    def through(self) -> _Effects:
+        """What all up to each do together, by doubling."""
+        done, width = self, 1
+        while width < len(self.state):
+            ahead = done.part(None, -width).then(done.part(width, None))
+            done = _Effects(*[np.concatenate([old[:width], new]) for old, new in zip(done, ahead)])
+            width *= 2
+        return done
+
+    def starts(self, state: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What each starts in, given what the first starts in."""
+        through = self.through().part(None, -1)
+        before = np.where(through.afresh[:, state] != 0, 0, depth)
+        depths = through.moved[:, state] + np.maximum(before, -through.lowest[:, state])
+        return np.append(state, through.state[:, state]), np.append(depth, depths)
 
 
-def _together(effects: Column) -> Column:
-    """The effect of neighbours in order."""
-    unread = F.array(*[_effect_of(state, afresh=False) for state in range(5)]).cast(EFFECT)
-    return F.aggregate(effects, unread, lambda acc, e: F.transform(acc, lambda first: _then(first, e)).cast(EFFECT))
+def _by_block(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on the rows of each block, in the order of ``at``. A block has ``FAN`` at most."""
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            blocks = table.column("block").to_numpy()
+            cuts = np.append(0, np.flatnonzero(np.diff(blocks)) + 1)
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                yield work(table.slice(low, high - low))
+            held = table.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield work(held)
 
-PLACE = "struct<state:int,depth:int>"
+    return rows.repartition("block").sortWithinPartitions("block", "at").mapInArrow(walk, schema)
 
 
-def _starts(start: Column, effects: Column) -> Column:
-    """What each of some neighbours starts in, given what the first starts in."""
-    def step(acc: Column, effect: Column) -> Column:
-        found = F.get(effect, acc["now"]["state"])
-        depth = F.when(found["afresh"], 0).otherwise(acc["now"]["depth"])
-        now = F.struct(found["state"].alias("state"), (found["moved"] + F.greatest(depth, -found["lowest"])).alias("depth"))
-        return F.struct(now.cast(PLACE).alias("now"), F.concat(acc["starts"], F.array(acc["now"])).alias("starts"))
+def _effects_of_blocks(rows: DataFrame) -> DataFrame:
+    """``at`` (the block) and the ``effect`` of all its rows together."""
 
-    none = F.struct(start.cast(PLACE).alias("now"), F.array().cast(f"array<{PLACE}>").alias("starts"))
-    return F.aggregate(effects, none, step)
+    def together(table: pa.Table) -> pa.RecordBatch:
+        through = _Effects.read(table.column("effect").combine_chunks()).through()
+        return pa.RecordBatch.from_arrays([table.column("block").combine_chunks().slice(0, 1), through.part(-1, None).rows()], ["at", "effect"])
+
+    return _by_block(rows.select("block", "at", "effect"), together, "at long, effect array<long>")
+
+
+def _starts_in_blocks(rows: DataFrame) -> DataFrame:
+    """``at``, ``state`` and ``depth`` that each row starts in, from those of its block."""
+
+    def told(table: pa.Table) -> pa.RecordBatch:
+        effects = _Effects.read(table.column("effect").combine_chunks())
+        found = effects.starts(table.column("state")[0].as_py(), table.column("depth")[0].as_py())
+        return pa.RecordBatch.from_arrays([table.column("at").combine_chunks(), *[pa.array(f, pa.int64()) for f in found]], ["at", "state", "depth"])
+
+    return _by_block(rows.select("block", "at", "effect", "state", "depth"), told, "at long, state long, depth long")
 
 
 def _kind(value: Column) -> Column:
@@ -167,46 +224,31 @@ def _labelled(lines: DataFrame) -> DataFrame:
     """Every line with the state and the depth of brackets that it starts in.
 
     A quoted value may hold text that looks like the start or the end of something, so a
-    line can only be read once it is known what it starts in. Effects are combined level by
-    level, ``FAN`` neighbours at a time, and starts handed down again the same way; no task
-    sees more than ``FAN`` rows together.
+    line can only be read once it is known what it starts in. Effects alone are combined, in
+    blocks of ``FAN`` neighbours, then in blocks of blocks, and starts handed down again; they
+    are a few numbers each, however long the lines. Lines meet their starts by number.
     """
-    parts = stage(
-        lines.withColumn("effect", _line_effect(F.col("value"), F.col("_kind")))
-        .groupBy(F.expr(f"{LINE_NO} div {FAN}").alias("block"))
-        .agg(F.sort_array(F.collect_list(F.struct(LINE_NO, "value", "_kind", "effect"))).alias("parts"))
-        .withColumn("effect", _together(F.col("parts.effect")))
-    )
-    levels = [parts.select("block", "effect")]
-    last = lines.agg(F.max(F.abs(LINE_NO))).first()[0] or 0
-    while last >= FAN * FAN:
-        last //= FAN
-        levels.append(stage(
-            levels[-1].groupBy(F.expr(f"block div {FAN}").alias("above"))
-            .agg(F.sort_array(F.collect_list(F.struct("block", "effect"))).alias("parts"))
-            .select(F.col("above").alias("block"), _together(F.col("parts.effect")).alias("effect"), "parts")
-        ))
-    # No more than FAN rows are left; they hang from one.
-    top = levels[-1].agg(F.sort_array(F.collect_list(F.struct("block", "effect"))).alias("parts"))
-    outside = F.struct(F.lit(OUT).alias("state"), F.lit(0).alias("depth"))
-    walked = top.select("parts", _starts(outside, F.col("parts.effect")).alias("w"))
-    if walked.select("w.now.state").first()[0] >= HEAD:
+    effect = F.flatten(F.array(*[
+        F.transform("_effect", lambda e: e[part].cast("long")) for part in ("state", "moved", "lowest", "afresh")]))
+    at, block = F.col("at"), F.expr(f"at div {FAN}").alias("block")
+    effects = lines.select(F.col(LINE_NO).alias("at"), _line_effect(F.col("value"), F.col("_kind")).alias("_effect"))
+    levels = [stage(effects.select(at, block, effect.alias("effect")))]
+    while not levels[-1].filter("block != 0").isEmpty():
+        levels.append(stage(_effects_of_blocks(levels[-1]).withColumn("block", block)))
+    starts = None
+    for level in reversed(levels):
+        if starts is None:
+            given = level.withColumns({"state": F.lit(OUT).cast("long"), "depth": F.lit(0).cast("long")})
+        else:
+            given = level.join(starts.withColumnRenamed("at", "block"), "block")
+        starts = _starts_in_blocks(given)
+    starts = stage(starts)
+    last = levels[0].join(starts, "at").orderBy(F.desc("at")).limit(1).select(
+        F.element_at("effect", (F.col("state") + 1).cast("int")).alias("ends_in")).first()
+    if last and last["ends_in"] >= HEAD:
         raise ValueError("unterminated INSERT statement")
-
-    def handed_down(walked: DataFrame) -> DataFrame:
-        each = F.explode(F.arrays_zip(F.col("parts.block").alias("block"), F.col("w.starts").alias("start"))).alias("p")
-        return walked.select(each).select("p.block", "p.start")
-
-    starts = handed_down(walked)
-    for level in reversed(levels[1:]):
-        starts = handed_down(
-            level.join(starts, "block").select("parts", _starts(F.col("start"), F.col("parts.effect")).alias("w")))
-    read = parts.select("block", "parts").join(starts, "block").select(
-        "parts", _starts(F.col("start"), F.col("parts.effect"))["starts"].alias("starts"))
-    each = F.explode(F.arrays_zip("parts", "starts")).alias("p")
-    return read.select(each).select(
-        f"p.parts.{LINE_NO}", "p.parts.value", "p.parts._kind",
-        F.col("p.starts.state").alias("_before"), F.col("p.starts.depth").alias("_depth"))
+    told = starts.select(F.col("at").alias(LINE_NO), F.col("state").alias("_before"), F.col("depth").alias("_depth"))
+    return lines.join(told, LINE_NO)
 
 
 def _tuple_rows(pieces: DataFrame) -> DataFrame:

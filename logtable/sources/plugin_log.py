@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logtable.functions.text import gtrim
 from logtable.operators.rows import LINE_NO, with_roles
-from logtable.plans.ordered import running_sum
+from logtable.plans.ordered import running
 from logtable.sources.lines import read_lines
 
 COLUMNS = ("process", "pid", "epoch", "time", "level", "module", "function", "line", "message")
@@ -28,18 +28,18 @@ CLOCK_TIME = (
 def plugin_records(lines: DataFrame) -> DataFrame:
     """Join the lines of each record: ``(line_no, record)``, records numbered from 1.
 
-    Lines before the first record of a file are dropped. A record is one cell of
-    the result, so its lines come together; no other group is collected.
+    Lines before the first record of a file are dropped, before anything is put together. A
+    record is one cell of the result, so its lines come together; no other group is collected.
     """
     lines = lines if "file" in lines.columns else lines.withColumn("file", F.lit(""))
-    starts = lines.withColumn("_starts", F.col("value").rlike(HEAD))
-    numbered = running_sum(starts, LINE_NO, F.col("_starts").cast("int"), "_record")
-    grouped = numbered.groupBy("_record", "file").agg(
-        F.sort_array(F.collect_list(F.struct(LINE_NO, "value"))).alias("_lines"),
-        F.bool_or("_starts").alias("_starts"),
-    )
+    starts = F.col("value").rlike(HEAD)
+    numbered = running(
+        lines.withColumn("_starts", starts), LINE_NO, {"_record": F.col("_starts").cast("int")},
+        {"_file": F.when(F.col("_starts"), F.col("file"))})
+    grouped = numbered.filter(F.col("_file") == F.col("file")).groupBy("_record").agg(
+        F.sort_array(F.collect_list(F.struct(LINE_NO, "value"))).alias("_lines"))
     text = F.array_join("_lines.value", "\n")
-    return grouped.filter("_starts").select(
+    return grouped.select(
         F.col("_record").cast("bigint").alias(LINE_NO), F.btrim(text, F.lit("\n")).alias("record")
     )
 

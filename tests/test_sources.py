@@ -11,7 +11,7 @@ from logtable.sources.config import field_mappings, group_rules, read_presets
 from logtable.sources.devinfo_dump import parse_devinfo, read_devinfo_dump
 from logtable.sources.host_csv import read_host_csv
 from logtable.sources.lines import read_lines
-from logtable.sources.plugin_log import parse_plugin, read_plugin_log
+from logtable.sources.plugin_log import parse_plugin, plugin_records, read_plugin_log
 from logtable.sources.stats_log import parse_stats, read_stats_log
 
 
@@ -155,6 +155,19 @@ def test_plugin_file_multi_line(spark, tmp_path, splits, monkeypatch, end):
     assert rows(df, "line_no", "pid", "message") == expected
 
 
+def test_plugin_file_without_a_head_is_never_put_together(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    head = "sw:{0}:1770000000.500000:Mon Jan 05 01:02:03 2026: Error: P::f:{0}: text"
+    lines = [("a", head.format(1)), ("a", "more")] + [("b", f"no head {i}") for i in range(200)]
+    lines += [("c", f"preamble {i}") for i in range(50)] + [("c", head.format(2)), ("c", ""), ("c", "last")]
+    frame = spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(lines)], "line_no bigint, file string, value string")
+    records = plugin_records(frame.repartition(3))
+    assert rows(records, "line_no", "record") == [(1, head.format(1) + "\nmore"), (2, head.format(2) + "\n\nlast")]
+    # Lines are left out below the aggregation that collects.
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in line and "file#" in line for line in plan[plan.index("collect_list"):].splitlines())
+
+
 def test_plugin_without_records(spark, tmp_path):
     (tmp_path / "x.log").write_text("nothing here\n")
     with pytest.raises(ValueError):
@@ -259,6 +272,20 @@ def test_broken_insert(spark, lines, error):
         parse_devinfo(numbered(spark, lines)).collect()
 
 
+def test_long_lines_of_an_insert(spark, monkeypatch):
+    """Effects meet in blocks, whole lines never do: no text is collected to tell what lines start in."""
+    import logtable.sources.devinfo_dump as dump
+    monkeypatch.setattr(dump, "FAN", 64)
+    big, lines = "x" * 200_000, ["INSERT INTO public.devinfo VALUES"]
+    for i in range(200):
+        lines += [f"('sw_a','{i}','1','f','{big}", "it''s (;','v','a','')" + (";" if i == 199 else ",")]
+    found = parse_devinfo(numbered(spark, lines))
+    got = found.select("id", F.length("field_value").alias("n"), F.right("field_value", F.lit(7)).alias("end")).collect()
+    assert sorted((int(r["id"]), r["n"], r["end"]) for r in got) == [(i, len(big) + 8, "it's (;") for i in range(200)]
+    labelled = dump._labelled(numbered(spark, ["a"]).withColumn("_kind", F.lit("")))
+    assert "collect_list" not in labelled._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_dump_files(spark, tmp_path, splits, monkeypatch):
     """One long statement and one long COPY block, cut anywhere, read the same."""
     small_blocks(monkeypatch)
