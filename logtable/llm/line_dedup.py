@@ -9,7 +9,8 @@ lines that were found in ``min_docs`` documents or more.
 
 Defined results: a null or empty text is one empty line; a line's key is the line without
 white space at its ends, A-Z lower-cased; empty keys are never counted; a line counts once
-per row of the input; rows that repeat count one by one. Keys are compared by 64-bit hash:
+per document: rows that repeat an id are one document in this, rows without an id one each.
+Keys are compared by 64-bit hash:
 the chance that a line shares the hash of one of a million frequent lines is under 1e-13.
 All columns are kept, also those with the names used here.
 """
@@ -100,14 +101,24 @@ def drop_frequent_lines(
     hashes = F.transform(lines, lambda line: F.when(F.char_length(line_key(line)) >= min_chars, F.xxhash64(line_key(line))))
     hashed = stage(docs.select(
         F.col(f"`{doc_id}`").alias("id"), F.xxhash64(whole(text)).alias("digest"), hashes.alias("hashes"),
-        F.pmod(F.xxhash64(whole(text), F.col(f"`{doc_id}`")), F.lit(batches)).alias("batch"),
+        F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.when(F.col(f"`{doc_id}`").isNull(), whole(text))), F.lit(batches)).alias("batch"),
     ))
     store = LineRuns(docs.sparkSession, min_docs, fan_out)
-    for batch in range(batches):
-        distinct = F.explode(F.array_distinct("hashes")).alias("h")
-        store.add(hashed.filter(F.col("batch") == batch).select(distinct).filter("h IS NOT NULL"))
-    frequent = stage(store.frequent())
-    store.drop()
+    repeated = stage(hashed.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                     .select(F.col("id").alias("repeated")))
+    repeats, same_id = not repeated.isEmpty(), F.col("id") == F.col("repeated")
+    try:
+        for batch in range(batches):
+            rows = hashed.filter(F.col("batch") == batch).select("id", F.array_distinct("hashes").alias("hashes"))
+            found = (rows.join(repeated, same_id, "left_anti") if repeats else rows).select(F.explode("hashes").alias("h"))
+            if repeats:
+                # All rows of an id are in one batch.
+                once = rows.join(repeated, same_id, "left_semi").select("id", F.explode("hashes").alias("h")).distinct()
+                found = found.unionByName(once.select("h"))
+            store.add(found.filter("h IS NOT NULL"))
+        frequent = stage(store.frequent())
+    finally:
+        store.drop()
     # Rows that repeat an id and a text drop the same lines, so one row of them is enough.
     hits = (
         hashed.select("id", "digest", F.posexplode("hashes").alias("at", "h")).join(frequent, "h")

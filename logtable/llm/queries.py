@@ -10,7 +10,7 @@ from logtable.llm.clustering import clustered, with_inertia
 from logtable.llm.common import read_table
 from logtable.llm.exact_dedup import exact_groups
 from logtable.llm.line_dedup import drop_frequent_lines
-from logtable.llm.mixing import GOLDEN, POINTS, mix_sources
+from logtable.llm.mixing import mix_sources
 from logtable.llm.near_dedup import near_duplicates
 from logtable.llm.packing import pack, token_pieces
 from logtable.llm.repair import repair
@@ -222,8 +222,8 @@ parts AS (
   FROM tails),
 rules(verdict, host, path) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
 fits AS (
-  SELECT p.page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
-    arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  SELECT p.page_id, arg_max(r.host || r.path, (length(r.host || r.path), length(r.host), r.verdict)) AS rule,
+    arg_max(r.verdict, (length(r.host || r.path), length(r.host), r.verdict)) AS verdict
   FROM parts p JOIN rules r
     ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
   GROUP BY p.page_id)
@@ -269,33 +269,28 @@ levels AS (
 common AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS common FROM levels),
 targets AS (
   SELECT source, source_size,
-    CASE WHEN common IS NULL OR ratio < common THEN source_size * 3.0::DOUBLE ELSE weight * common END AS target,
-    (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks
+    CASE WHEN common IS NULL OR ratio < common THEN source_size * 3.0::DOUBLE ELSE weight * common END AS target
   FROM common),
-shares AS (
-  SELECT *, sum(target) OVER o - target AS low, sum(target) OVER o AS high,
-    lead(blocks) OVER o IS NULL AS is_last
-  FROM targets WINDOW o AS (ORDER BY source IS NULL, source)),
-total AS (SELECT CAST(sum(size) AS BIGINT) AS words FROM sized),
-slots AS (
-  SELECT i, CAST(i % {POINTS} * {GOLDEN} % {POINTS} AS DOUBLE) / {POINTS} * words AS point
-  FROM total, range(0, (words + {BLOCK_WORDS - 1}) // {BLOCK_WORDS}) r(i)),
-ranked AS (
-  SELECT s.source, s.blocks, row_number() OVER (PARTITION BY s.source ORDER BY i) - 1 AS rank
-  FROM slots JOIN shares s ON point >= low AND (point < high OR is_last) AND high > low),
-taken_blocks AS (
-  SELECT source, rank % blocks AS block, count(*) AS times FROM ranked WHERE rank < 3 * blocks GROUP BY ALL),
+cut AS (
+  SELECT *, CASE WHEN source_size = 0 THEN {BLOCK_WORDS} ELSE CAST(ceil(source_size / ceil(source_size / {BLOCK_WORDS})) AS BIGINT) END AS length
+  FROM targets),
+needed AS (
+  SELECT *, (source_size + length - 1) // length AS blocks,
+    least(CAST(floor(target * ((source_size + length - 1) // length) / greatest(source_size, 1) + 0.5) AS BIGINT),
+      3 * ((source_size + length - 1) // length)) AS slots
+  FROM cut),
 streams AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized WHERE size > 0),
 pieces AS (
-  SELECT *, unnest(range(CAST(start // {BLOCK_WORDS} AS BIGINT), CAST((start + size - 1) // {BLOCK_WORDS} AS BIGINT) + 1)) AS pos FROM streams),
+  SELECT t.*, n.length, n.blocks, n.slots,
+    unnest(range(CAST(t.start // n.length AS BIGINT), CAST((t.start + t.size - 1) // n.length AS BIGINT) + 1)) AS pos
+  FROM streams t JOIN needed n ON t.source IS NOT DISTINCT FROM n.source),
 taken AS (
-  SELECT p.doc_id, p.source, p.start, p.size, CAST(sum(coalesce(times, 0)
-    * (least(start + size, (pos + 1) * {BLOCK_WORDS}) - greatest(start, pos * {BLOCK_WORDS}))) AS BIGINT) AS taken
-  FROM pieces p LEFT JOIN taken_blocks b ON p.source IS NOT DISTINCT FROM b.source AND p.pos = b.block
-  GROUP BY ALL)
+  SELECT doc_id, source, start, size, CAST(sum((slots // blocks + CASE WHEN pos < slots % blocks THEN 1 ELSE 0 END)
+    * (least(start + size, (pos + 1) * length) - greatest(start, pos * length))) AS BIGINT) AS taken
+  FROM pieces GROUP BY ALL)
 SELECT d.doc_id, d.size, t.source_size, t.target, d.taken
 FROM (SELECT doc_id, source, size, taken FROM taken
   UNION ALL SELECT doc_id, source, size, 0 FROM sized WHERE size = 0) d

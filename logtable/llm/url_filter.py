@@ -1,14 +1,14 @@
 """URL filters: a trie over reversed host labels and path segments.
 
 The rules become one nested dictionary that is broadcast. A URL walks it from the last
-host label to the first; where it stops fitting, the deepest rule met whose path begins
-the URL's path decides. Rules are a list that the caller holds in memory, so what is
+host label to the first; of the rules met whose path begins the URL's path, the longest
+(host and path together) decides, and of equally long ones that with the longer host. Rules are a list that the caller holds in memory, so what is
 broadcast has the size of that argument and never grows with the pages.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and fits no
 rule; an empty path fits only rules with an empty path; of rules with the same host and
 path, a block wins. All other columns of the input are kept; columns of the same names as
-the new ones are replaced.
+the new ones, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logtable.llm.common import ascii_lower
+from logtable.llm.common import ascii_lower, unused
 
 ALLOW, BLOCK = "allow", "block"
 #: (verdict, host, path)
@@ -72,14 +72,16 @@ def _best_path(node: dict, path: str) -> tuple[str, str] | None:
 
 
 def look_up(trie: dict, host: str, path: str) -> tuple[str, str] | None:
-    """The rule with most host labels, then the longest path, that fits."""
+    """The longest rule that fits."""
     best, node = None, trie
     for label in reversed(host.split(".")):
         node = node["next"].get(label)
         if node is None:
             break
         if "paths" in node:
-            best = _best_path(node["paths"], path) or best
+            found = _best_path(node["paths"], path)
+            if found is not None and (best is None or len(found[0]) >= len(best[0])):
+                best = found
     return best
 
 
@@ -93,8 +95,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defau
             found = [look_up(trie.value, h, p) or (None, default) for h, p in zip(hosts, paths)]
             yield pd.DataFrame(found, columns=["rule", "verdict"], dtype=object)
 
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    (judged,) = unused(pages.columns, "found")
     with_parts = pages.select(*kept, url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
-    return with_parts.withColumn("_found", judge("host", "path")).select(
-        *kept, "host", "path", F.col("_found.rule").alias("rule"), F.col("_found.verdict").alias("verdict")
+    return with_parts.withColumn(judged, judge("host", "path")).select(
+        *kept, "host", "path", F.col(f"{judged}.rule").alias("rule"), F.col(f"{judged}.verdict").alias("verdict")
     )

@@ -16,8 +16,8 @@ RULES = (*URL_RULES, ("block", "a.b", "/x"), ("allow", "a.b", "/x/y"), ("allow",
 
 
 def longest(rules, host, path):
-    """By trying every rule: most labels, then the longest path, then block."""
-    fits = [(r[1].lower().count("."), len(r[2]), r[0] == "block", r) for r in rules
+    """By trying every rule: the longest, then the one with the longer host, then block."""
+    fits = [(len(r[1] + r[2]), len(r[1]), r[0] == "block", r) for r in rules
             if (host == r[1].lower() or host.endswith("." + r[1].lower())) and path.startswith(r[2])]
     return (max(fits)[3][1].lower() + max(fits)[3][2], max(fits)[3][0]) if fits else None
 
@@ -96,3 +96,19 @@ def test_odd_documents(odd, none):
     assert sorted(r["doc_id"] for r in rows if r["kept"] and r["doc_id"]) == [1, 3, 6, 8, 9]
     assert [r["group_size"] for r in rows if r["doc_id"] == 5] == [4, 4] and {r["keep_id"] for r in rows if r["doc_id"] == 5} == {None}
     assert exact_groups(none).count() == 0
+
+
+def test_urls_keep_columns_of_any_name(spark):
+    pages = spark.createDataFrame([("http://a.example.com/en/x",)], "url string").selectExpr(
+        "url", "'mine' AS _found", "'yours' AS found", "'old' AS Host", "1 AS RULE")
+    row = filter_urls(pages, [("allow", "com", "/"), ("block", "example.com", "/en/")]).first().asDict()
+    assert row == {"url": "http://a.example.com/en/x", "_found": "mine", "found": "yours", "host": "a.example.com",
+                   "path": "/en/x", "rule": "example.com/en/", "verdict": "block"}
+
+
+def test_the_longest_rule_wins_whichever_part_is_long():
+    trie = build_trie([("block", "com", "/a/very/long/path/"), ("allow", "example.com", "/a/"), ("block", "b.org", "/x"), ("allow", "org", "/xyz")])
+    assert look_up(trie, "example.com", "/a/very/long/path/1") == ("com/a/very/long/path/", "block")
+    assert look_up(trie, "example.com", "/a/b") == ("example.com/a/", "allow")
+    # Equally long: the one with the longer host.
+    assert look_up(trie, "b.org", "/xyz") == ("b.org/x", "block")

@@ -66,6 +66,24 @@ def test_lines_of_odd_documents(odd, none):
     assert drop_frequent_lines(none).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark, docs):
+    rows = [(1, f"shared\nrow {i}", "a") for i in range(10)] + [(2, "shared\nother", "a"), (3, "every\n3", "a"), (4, "every\n4", "a")]
+    kept = {r["kept"] for r in drop_frequent_lines(docs(rows), min_docs=3).collect()}
+    assert kept == {t for _, t, _ in rows}
+    kept = {r["kept"] for r in drop_frequent_lines(docs(rows), min_docs=2).collect()}
+    assert kept == {f"row {i}" for i in range(10)} | {"other", "3", "4"}
+    alone = docs([(None, "every\na", "a"), (None, "every\nb", "a")])
+    assert {r["kept"] for r in drop_frequent_lines(alone, min_docs=2).collect()} == {"a", "b"}
+
+
+def test_failed_steps_leave_no_run_behind(spark, docs, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(LineRuns, "frequent", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        drop_frequent_lines(docs([(1, "a\nb", "x"), (2, "a", "x")]), min_docs=2)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def reshared(sizes, cap=3, weights=(1, 2, 3)):
     """Targets by sharing the excess again until none is above its cap."""
     weight = [weights[i % len(weights)] for i in range(len(sizes))]
@@ -105,6 +123,25 @@ def test_mix_takes_the_targets(docs):
     assert again == {(r["doc_id"], r["taken"]) for r in found}
 
 
+def test_small_sources_come_near_their_targets(docs):
+    """Forty sources of ten words beside a large one: none takes nothing, or far from its target."""
+    rows = [(i, "ten words " * 5, f"s{i:02}") for i in range(40)] + [(100 + i, "w " * 500, "zz") for i in range(60)]
+    rows += [(900 + i, "word " * 37, "y") for i in range(3)]
+    found = mix_sources(docs(rows), block_words=64).collect()
+    by_source = {}
+    for r in found:
+        by_source.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert len(by_source) == 42 and all(r["taken"] <= 3 * r["size"] for r in found)
+    for source, (target, taken) in by_source.items():
+        assert taken > 0 and abs(taken - target) <= (32 if source == "zz" else 20), (source, target, taken)
+
+
+def test_slots_of_one_source_a_document(spark, docs):
+    rows = [(i, "a few words here", f"s{i}") for i in range(3000)]
+    found = mix_sources(docs(rows), block_words=64).collect()
+    assert len(found) == 3000 and abs(sum(r["taken"] for r in found) - sum(r["target"] for r in found)) <= 3000 * 2
+
+
 def test_mix_of_odd_documents(odd, none):
     found = mix_sources(odd)
     assert found.count() == odd.count()
