@@ -176,6 +176,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, width: in
         for batch in batches:
             found = [s.view(np.int64) for s in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+        release_memory()
 
     return stage(texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"]))
 
@@ -309,6 +310,8 @@ def _by_group(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schem
                 yield work(table.slice(0, whole))
         if held is not None and held.num_rows:
             yield work(held)
+        held = None
+        release_memory()
 
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(walk, schema)
 

@@ -34,10 +34,11 @@ from logtable.plans.staging import stage
 
 CAPACITY, END_ID = 4096, 1
 RANK_BLOCK = 256
-#: Words whose ids a Python worker remembers; it forgets all of them when there are more.
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers, and at a task's end keeps; it forgets all of them
+#: when there are more.
+REMEMBERED, KEPT = 300_000, 50_000
 #: Bytes of text that are tokenised together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 
 class WordTokenizer:
@@ -163,6 +164,8 @@ def token_pieces(
                     columns.append(pa.array(pieces, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        if len(encoder.known) > KEPT:
+            encoder.known = {"": b""}
         release_memory()
 
     read = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))

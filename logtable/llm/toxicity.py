@@ -34,7 +34,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -315,8 +314,8 @@ def scorer(spark: SparkSession, model: Model | None):
     """A function of a text column: its score."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, remembered = shared.value, {}
 
         def numbers(word: str) -> tuple[int, ...]:
@@ -332,7 +331,7 @@ def scorer(spark: SparkSession, model: Model | None):
             return 1 / (1 + math.exp(-min(max(model.margin(sorted(found)), -700.0), 700.0)))
 
         for texts in batches:
-            yield pd.Series([probability(t) for t in texts], dtype="float64")
+            yield pa.array([probability(t.as_py()) for t in texts], pa.float64())
         remembered.clear()
         release_memory()
 
