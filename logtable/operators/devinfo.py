@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logtable.functions.text import WHITE_SPACE, gfold, gtrim
+from logtable.functions.text import WHITE_SPACE, cell, gfold, gtrim
 from logtable.operators.filters import search_term
 from logtable.operators.rows import LINE_NO
 from logtable.plans.ordered import Key
@@ -51,6 +51,36 @@ def with_group(df: DataFrame, rules: GroupRules = GroupRules()) -> DataFrame:
     return df.withColumn("group_category", group_of(F.col("category"), rules))
 
 
+def with_group_table(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """:func:`with_group` for any number of rules: a table of ``kind`` (nosplit, exact or prefix),
+    ``key`` and ``target``.
+
+    Distinct categories meet the rules by hash joins: whole for nosplit and exact rules, and each
+    of their beginnings for prefixes, of which the longest wins. So a rule more costs a row, not
+    a comparison for every row of ``df``. Of rules that repeat a key, the least target counts.
+    """
+    keyed = rules.select("kind", gtrim(cell("key")).alias("_key"), gtrim(cell("target")).alias("_target")).filter(
+        (F.col("_key") != "") & ((F.col("kind") != "exact") | (F.col("_target") != "")))
+    keyed = keyed.groupBy("kind", "_key").agg(F.min("_target").alias("_target"))
+    raw = gtrim(F.col("category"))
+    categories = df.select("category", raw.alias("_raw")).filter("category IS NOT NULL").distinct()
+    starts = F.transform(F.sequence(F.lit(1), F.char_length("_raw")), lambda n: F.struct(
+        F.lit("prefix").alias("kind"), F.substring("_raw", F.lit(1), n).alias("key")))
+    whole = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col("_raw").alias("key")) for kind in ("nosplit", "exact")])
+    looked_up = categories.filter("_raw != ''").select("category", "_raw", F.explode(F.concat(whole, starts)).alias("_try"))
+    met = looked_up.select(
+        "category", "_raw", F.col("_try.kind").alias("kind"), F.col("_try.key").alias("_key")).join(keyed, ["kind", "_key"])
+    # The first of these in order: nosplit, exact, then the longest prefix.
+    rank = F.when(F.col("kind") == "nosplit", -2).when(F.col("kind") == "exact", -1).otherwise(0)
+    best = met.groupBy("category").agg(F.min(F.struct(
+        rank.alias("rank"), (-F.char_length("_key")).alias("length"),
+        F.when(F.col("kind") == "nosplit", F.col("_raw")).otherwise(F.col("_target")).alias("group"))).alias("_best"))
+    found = best.select(F.col("category").alias("_category"), F.col("_best.group").alias("_group"))
+    plain = F.when(F.instr(raw, "_") > 1, F.substring_index(raw, "_", 1)).otherwise(raw)
+    joined = df.join(found, F.col("category") == F.col("_category"), "left")
+    return joined.withColumn("group_category", F.coalesce("_group", plain)).drop("_category", "_group")
+
+
 def _seen(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.min(LINE_NO).alias("seen"))
 

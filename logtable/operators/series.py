@@ -181,15 +181,17 @@ def scale_series(buckets: DataFrame, mode: str = "linear") -> DataFrame:
 def normalise_series(buckets: DataFrame, layout: str = "overlay") -> DataFrame:
     """Add ``y`` in [0, 1]: over all series (overlay) or each on its own (split).
 
-    A range of zero gives 0.5. The range is aggregated per series first; the
-    overlay then widens it by a window over one row per series.
+    A range of zero gives 0.5. The overlay's range is one row, by an aggregate of partial
+    ranges, which is broadcast.
     """
     layout = _mode(layout, ("overlay", "split"))
     ranges = buckets.groupBy("series").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     if layout == "overlay":
-        every = Window.partitionBy()
-        ranges = ranges.select("series", F.min("low").over(every).alias("low"), F.max("high").over(every).alias("high"))
-    joined = buckets.join(ranges, "series")
+        one = F.lit(1).alias("_one")
+        whole = buckets.agg(F.min("value").alias("low"), F.max("value").alias("high")).select("*", one)
+        joined = buckets.select("*", one).join(F.broadcast(whole), "_one")
+    else:
+        joined = buckets.join(ranges, "series")
     span = F.col("high") - F.col("low")
     ratio = (F.col("value") - F.col("low")) / F.nullif(span, F.lit(0.0))
     y = F.when(F.col("value").isNull(), None).when(span == 0, 0.5).otherwise(ratio)

@@ -56,6 +56,13 @@ def in_order(df: DataFrame, keys: Sequence[Key], out: str = "pos", first: int =
     return _renumbered(placed, F.broadcast(starts), ["_task"], out, first)
 
 
+def first_in_order(df: DataFrame, keys: Sequence[Key], count: int, out: str = "pos") -> DataFrame:
+    """The first ``count`` rows by ``keys``, which must be total, numbered from 1. Each task
+    keeps that many rows; nothing else is sorted or moved."""
+    with_keys, order, names = _keyed(df, keys)
+    return with_keys.orderBy(*order).limit(count).withColumn(out, F.row_number().over(Window.orderBy(*order))).drop(*names)
+
+
 def place_scan(scanned: DataFrame) -> DataFrame:
     """Stage rows scanned from files so that they can be put in source order.
 

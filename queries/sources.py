@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logtable.operators.devinfo import (
     GroupRules, apply_mappings, devinfo_query, entity_order, fold, fold_entities, list_categories,
-    list_groups,
+    list_groups, with_group_table,
 )
 from logtable.plans.ordered import in_order
 from logtable.plans.staging import stage
@@ -317,6 +317,33 @@ def devinfo_groups_file(spark, sf_dir):
     return list_groups(attributes(spark, sf_dir), group_rules(spark, write_document(spark, rules)))
 
 
+@query("devinfo_groups_many", """WITH categories AS (
+  SELECT DISTINCT 'p' || l_partkey || CASE l_returnflag WHEN 'A' THEN '' ELSE '_' || l_returnflag END AS category FROM lineitem),
+rules AS (
+  SELECT 'prefix' AS kind, 'p' || p_partkey AS key, p_brand AS target FROM part
+  UNION ALL SELECT 'exact', 'p' || p_partkey || '_R', p_type FROM part WHERE p_size > 25
+  UNION ALL SELECT 'nosplit', 'p' || p_partkey || '_N', NULL FROM part WHERE p_size <= 10),
+longest AS (
+  SELECT category, arg_max(target, length(key)) AS target
+  FROM (SELECT category, unnest(list_transform(range(1, length(category) + 1), lambda n: category[:n])) AS start FROM categories)
+  JOIN rules ON kind = 'prefix' AND start = key GROUP BY category)
+SELECT c.category, CASE WHEN n.key IS NOT NULL THEN c.category
+  ELSE coalesce(e.target, l.target, split_part(c.category, '_', 1)) END AS group_category
+FROM categories c LEFT JOIN rules n ON n.kind = 'nosplit' AND n.key = c.category
+LEFT JOIN rules e ON e.kind = 'exact' AND e.key = c.category LEFT JOIN longest l USING (category)""")
+def devinfo_groups_many(spark, sf_dir):
+    """The group of every category of line items, by several rules a part."""
+    parts, flag = read(spark, sf_dir, "part"), F.col("l_returnflag")
+    key = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    rules = parts.select(F.lit("prefix").alias("kind"), key.alias("key"), F.col("p_brand").alias("target")).unionByName(
+        parts.filter("p_size > 25").select(F.lit("exact").alias("kind"), F.concat(key, F.lit("_R")).alias("key"), F.col("p_type").alias("target"))
+    ).unionByName(parts.filter("p_size <= 10").select(
+        F.lit("nosplit").alias("kind"), F.concat(key, F.lit("_N")).alias("key"), F.lit(None).cast("string").alias("target")))
+    named = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.when(flag == "A", "").otherwise(F.concat(F.lit("_"), flag)))
+    items = read(spark, sf_dir, "lineitem").select(named.alias("category")).distinct()
+    return with_group_table(items, rules).select("category", "group_category")
+
+
 @query("devinfo_categories", f"WITH {ATTRIBUTES} SELECT category, min(line_no) AS seen FROM attributes GROUP BY 1")
 def devinfo_categories(spark, sf_dir):
     return list_categories(attributes(spark, sf_dir))

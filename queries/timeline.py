@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from logtable.operators.series import (
-    bucket_of, bucket_series, normalise_series, scale_series, series_extent, series_points,
+    TooManySeries, bucket_of, bucket_series, normalise_series, scale_series, series_extent, series_points,
 )
 from logtable.operators.windows import (
     TimeWindow, bounds, expand_window, filter_window, in_window, parse_input, reset_window, shift_window,
@@ -143,6 +143,28 @@ def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
+SERIES_LIMITS = (2, 50)
+
+
+@query("series_limit", f"""WITH {points_sql('last')},
+kinds AS (SELECT series, min(ord) AS seen FROM points GROUP BY series),
+limits(most) AS (VALUES {", ".join(f"({n})" for n in SERIES_LIMITS)}),
+told AS (SELECT most, (SELECT count(*) FROM kinds) > most AS refused FROM limits)
+SELECT most, refused, CASE WHEN refused THEN NULL ELSE (SELECT string_agg(series, ',' ORDER BY seen) FROM kinds) END AS series,
+  CASE WHEN refused THEN NULL ELSE (SELECT max(ts) - min(ts) FROM points) END AS span
+FROM told""")
+def series_limit(spark, sf_dir):
+    """What a limit on the number of series says: refused, or the series in order and their range."""
+    points, told = series_points(readings(spark, sf_dir), "timestamp", "key", "value"), []
+    for most in SERIES_LIMITS:
+        try:
+            found = series_extent(points, max_keys=most)
+            told.append((most, False, ",".join(found.series), found.high - found.low))
+        except TooManySeries:
+            told.append((most, True, None, None))
+    return spark.createDataFrame(told, "most int, refused boolean, series string, span long")
+
+
 @query("series_points", f"WITH {points_sql('last')} SELECT series, ts, val, ord + 1 AS ord FROM points")
 def points(spark, sf_dir):
     return series_points(readings(spark, sf_dir), "timestamp", "key", "value")

@@ -20,7 +20,7 @@ from logtable.sources.host_csv import read_host_csv
 from logtable.sources.session import read_annotations, read_session
 
 CELLS = ["Time", "Details"]
-ROWS = [("2026-01-26 06:00:27", 'a "quoted", cell'), ("2026-01-26 07:00:27", "two\nlines"), ("", " padded "), ("x", "")]
+ROWS = [("2031-04-09 06:00:27", 'a "quoted", cell'), ("2031-04-09 07:00:27", "two\nlines"), ("", " padded "), ("x", "")]
 
 
 def utc(*parts):
@@ -68,14 +68,14 @@ def test_export_of_an_empty_view(log, ann, tmp_path):
 
 @pytest.mark.parametrize("format", ["parquet", "json"])
 def test_session_round_trip(spark, log, ann, tmp_path, format):
-    window = TimeWindow(utc(2026, 1, 26, 6, 30), utc(2030, 1, 1))
+    window = TimeWindow(utc(2031, 4, 9, 6, 30), utc(2040, 1, 1))
     path = str(tmp_path / ("s.json" if format == "json" else "s"))
     write_session(log, ann, path, window, note="n", format=format)
     saved = read_session(spark, path)
     assert saved.rows.orderBy("line_no").select(*CELLS, "row_id", "line_no").collect() == (
         log.orderBy("line_no").select(*CELLS, "row_id", "line_no").collect())
     assert sorted(map(tuple, saved.annotations.collect())) == sorted(map(tuple, ann.collect()))
-    assert saved.window == TimeWindow(utc(2026, 1, 26, 6, 30), utc(2026, 1, 26, 7, 0, 27)) and saved.note == "n"
+    assert saved.window == TimeWindow(utc(2031, 4, 9, 6, 30), utc(2031, 4, 9, 7, 0, 27)) and saved.note == "n"
     assert saved.rows.schema["Details"].metadata["role"] == "primary"
     assert saved.columns.visible == CELLS
 

@@ -51,7 +51,7 @@ def test_lines_are_numbered_in_file_order(spark, tmp_path, splits):
 def test_csv(spark, tmp_path, splits, monkeypatch):
     small_blocks(monkeypatch)
     header = ["Time", "Rack Unit", "Blank", "Details"]
-    body = [[f"2026-01-26 06:00:{i % 60:02d}", f"a,{i}", "", f'say "{i}"\nthen, more\n\nend'] for i in range(100)]
+    body = [[f"2031-04-09 17:45:{i % 60:02d}", f"a,{i}", "", f'say "{i}"\nthen, more\n\nend'] for i in range(100)]
     body += [["x", "y", "", "plain"]] * 2 + [["", "", "", " padded "]]
     out = io.StringIO()
     pycsv.writer(out, lineterminator="\r\n").writerows([header, *body])
@@ -175,7 +175,7 @@ def test_plugin_without_records(spark, tmp_path):
     assert read_plugin_log(spark, str(tmp_path / "x.log"), require_rows=False).count() == 0
 
 
-STATS = "x 1769385627 collector 412 queue.depth 17\n\n x 1769385687 collector +412 queue.depth  19 \ntoo few fields\nx 1769385687 collector 412 state running   ok\n"
+STATS = "x 1900000000 collector 412 queue.depth 17\n\n x 1900000060 collector +412 queue.depth  19 \ntoo few fields\nx 1900000060 collector 412 state running   ok\n"
 
 
 def test_stats(spark, tmp_path, splits):
@@ -184,9 +184,9 @@ def test_stats(spark, tmp_path, splits):
     skipped = Observation()
     df = read_stats_log(spark, str(path), skipped=skipped)
     assert rows(df, "line_no", "date", "timestamp", "pid", "process", "key", "value") == [
-        (1, "2026-01-26 00:00:27", "1769385627", "412", "collector", "queue.depth", "17"),
-        (2, "2026-01-26 00:01:27", "1769385687", "412", "collector", "queue.depth", "19"),
-        (3, "2026-01-26 00:01:27", "1769385687", "412", "collector", "state", "running ok"),
+        (1, "2030-03-17 17:46:40", "1900000000", "412", "collector", "queue.depth", "17"),
+        (2, "2030-03-17 17:47:40", "1900000060", "412", "collector", "queue.depth", "19"),
+        (3, "2030-03-17 17:47:40", "1900000060", "412", "collector", "state", "running ok"),
     ]
     assert skipped.get["skipped"] == 1
 
@@ -202,9 +202,9 @@ def test_stats_bad_number(spark, line):
 COPY_HEAD = "COPY public.devinfo (category, id, time, field_name, field_value, field_value_lc, agentid, extra) FROM stdin;"
 DUMP = [
     "SET x;", COPY_HEAD,
-    "sw_main\t10.0.0.1\t1769385627\tsw_mac_discovery_rate\tYES\tyes\t\te1",
+    "sw_main\t10.0.0.1\t1900000000\tsw_mac_discovery_rate\tYES\tyes\t\te1",
     "sw_main\t10.0.0.1\t\tsw_mac_discovery_rate\tNO\tno\ta7\t",
-    "sw_port\t10.0.0.1/1\t1769385628\talert_status\t1\t\ta7\t", "only\tthree\tfields", "\\.", "ignored\t\t\t\t\t\t\t",
+    "sw_port\t10.0.0.1/1\t1900000001\talert_status\t1\t\ta7\t", "only\tthree\tfields", "\\.", "ignored\t\t\t\t\t\t\t",
 ]
 INSERT = [
     "INSERT INTO public.devinfo VALUES ('host_a','h1','1','note','it''s',NULL,'a1',NULL),",
