@@ -1,4 +1,4 @@
-"""Saved sessions and annotations: folders of Parquet or JSON lines, or one JSON document."""
+"""Saved sessions and annotations: folders of Parquet or JSON lines, or one JSON document of any size."""
 
 from __future__ import annotations
 
@@ -17,17 +17,7 @@ from logtable.operators.windows import (
     NoTimestamps, TimeWindow, bounds, restored_window, time_column, with_ts,
 )
 from logtable.sinks.session import ROLE_NUMBERS, VERSION
-
-JSON_SCHEMA = """
-    version INT,
-    header ARRAY<STRUCT<Name: STRING, Index: INT, Role: INT, Visible: BOOLEAN>>,
-    rows ARRAY<STRUCT<cols: ARRAY<STRING>, id: DECIMAL(20,0), originalIndex: BIGINT>>,
-    marked MAP<STRING, STRING>,
-    comments MAP<STRING, STRING>,
-    timeWindow STRUCT<enabled: BOOLEAN, start: STRING, end: STRING>,
-    note STRING
-"""
-
+from logtable.sources.json_document import Document, read_json_document
 
 ROW_SCHEMA = "cols ARRAY<STRING>, id DECIMAL(20,0), originalIndex BIGINT"
 ANNOTATION_SCHEMA = "id DECIMAL(20,0), mark STRING, comment STRING"
@@ -74,16 +64,26 @@ def _key(text: Column) -> Column:
     return F.coalesce(signed(text), F.raise_error(bad).cast("bigint"))
 
 
-def _json_annotations(document: DataFrame) -> DataFrame:
-    fields = [
-        document.select(F.explode(name)).select(
-            _key(F.col("key")).alias(ROW_ID), F.col("value").alias(field)
-        )
-        for name, field in (("marked", "mark"), ("comments", "comment"))
-    ]
+def _json_annotations(document: Document) -> DataFrame:
+    fields = []
+    for name, field in (("marked", "mark"), ("comments", "comment")):
+        entry = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "MAP<STRING, STRING>", {"mode": "FAILFAST"})
+        entries = document.member(name).select(F.explode(entry))
+        fields.append(entries.select(_key(F.col("key")).alias(ROW_ID), F.col("value").alias(field)))
     return clean_marks(fields[0].join(fields[1], ROW_ID, "full"))
 
 
+def _document_rows(document: Document) -> DataFrame:
+    return document.member("rows").select(F.from_json("text", ROW_SCHEMA, {"mode": "FAILFAST"}).alias("row")).select("row.*")
+
+
+def _document_meta(document: Document) -> dict:
+    """The small members; fields that a column lacks are unset."""
+    meta = document.small("version", "header", "timeWindow", "note")
+    unset = {"Name": "", "Index": 0, "Role": 0, "Visible": False}
+    return {**meta, "header": [{**unset, **column} for column in meta.get("header") or []]}
+
+
 def _saved_rows(saved: DataFrame, names: list[str]) -> DataFrame:
     """Rows out of their JSON objects."""
     return saved.select(
@@ -111,22 +111,19 @@ def _json_lines(spark: SparkSession, path: str) -> DataFrame:
     return clean_marks(saved.select(_key(F.col("id").cast("string")).alias(ROW_ID), "mark", "comment"))
 
 
-def _document(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JSON_SCHEMA).json(path, multiLine=True, mode="FAILFAST")
-
-
 def read_session(spark: SparkSession, path: str) -> Session:
-    """Restore a session from its folder, or from a single JSON document.
+    """Restore a session from its folder, or from a single JSON document (a file, or a folder
+    of its parts in the order of their names).
 
     A saved window is fitted to the rows' time bounds.
     """
     meta = _meta(spark, path)
     if meta is None:
-        document = _document(spark, path)
-        meta = document.select("version", "header", "timeWindow", "note").first().asDict(recursive=True)
-        _check_version(meta["version"])
+        document = read_json_document(spark, path)
+        meta = _document_meta(document)
+        _check_version(meta.get("version"))
         annotations = _json_annotations(document)
-        saved = document.select(F.inline("rows"))
+        saved = _document_rows(document)
     elif meta.get("format") == "json":
         annotations = _json_lines(spark, path)
         saved = spark.read.schema(ROW_SCHEMA).json(f"{path}/rows", mode="FAILFAST")
@@ -156,6 +153,6 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.parquet(path)
     if _meta(spark, path) is not None:
         return _json_lines(spark, path)
-    document = _document(spark, path)
-    _check_version(document.select("version").first()["version"])
+    document = read_json_document(spark, path)
+    _check_version(document.small("version").get("version"))
     return _json_annotations(document)

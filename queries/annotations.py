@@ -156,6 +156,25 @@ def session_json(spark, sf_dir):
     return annotate(saved.rows, saved.annotations).select("line_no", "row_id", "time", "mark", "comment")
 
 
+@query("session_document", f"""WITH {EVENT_LOG}, {OLD}
+SELECT line_no, {ID} AS row_id, time, props, coalesce(mark, '') AS mark, coalesce(comment, '') AS comment
+FROM log LEFT JOIN old USING (account, kind)""")
+def session_document(spark, sf_dir):
+    """Out as one JSON object in parts, and in again."""
+    log = session_log(spark, sf_dir)
+    path = fresh_path(spark, ".json")
+    write_session(log, old_marks(log), path, WINDOW, format="document")
+    saved = read_session(spark, path)
+    return annotate(saved.rows, saved.annotations).select("line_no", "row_id", "time", "props", "mark", "comment")
+
+
+@query("annotations_document", f"""WITH {EVENT_LOG}, {OLD} SELECT {ID} AS row_id, mark, comment FROM old""")
+def annotations_document(spark, sf_dir):
+    path = fresh_path(spark, ".json")
+    write_annotations(old_marks(shared_log(spark, sf_dir)), path, format="document")
+    return read_annotations(spark, path)
+
+
 @query("annotations_file", f"""WITH {EVENT_LOG}, {OLD} SELECT {ID} AS row_id, mark, comment FROM old""")
 def annotations_file(spark, sf_dir):
     path = fresh_path(spark, ".json")

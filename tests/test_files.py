@@ -66,10 +66,10 @@ def test_export_of_an_empty_view(log, ann, tmp_path):
     assert exported(tmp_path / "none.csv") == []
 
 
-@pytest.mark.parametrize("format", ["parquet", "json"])
+@pytest.mark.parametrize("format", ["parquet", "json", "document"])
 def test_session_round_trip(spark, log, ann, tmp_path, format):
     window = TimeWindow(utc(2031, 4, 9, 6, 30), utc(2040, 1, 1))
-    path = str(tmp_path / ("s.json" if format == "json" else "s"))
+    path = str(tmp_path / ("s" if format == "parquet" else "s.json"))
     write_session(log, ann, path, window, note="n", format=format)
     saved = read_session(spark, path)
     assert saved.rows.orderBy("line_no").select(*CELLS, "row_id", "line_no").collect() == (
@@ -116,15 +116,75 @@ def test_refused_documents(spark, tmp_path):
         read_session(spark, str(path))
 
 
-@pytest.mark.parametrize("format", ["parquet", "json"])
+@pytest.mark.parametrize("format", ["parquet", "json", "document"])
 def test_annotations_alone(spark, log, ann, tmp_path, format):
-    path = str(tmp_path / ("m.json" if format == "json" else "m"))
+    path = str(tmp_path / ("m" if format == "parquet" else "m.json"))
     write_annotations(ann, path, format)
     none = spark.createDataFrame([], notes.SCHEMA)
     merged = notes.merge_annotations(none, read_annotations(spark, path), log)
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, ann.collect()))
 
 
+TRICKY = ['a, "b": [{', "}], \\", 'c\\",\n', "", "\t,,,", "], {}, \"marked\": {", "é,\u2028ü"]
+
+
+def joined(path):
+    return "".join(part.read_text() for part in sorted(path.glob("part-*")))
+
+
+def test_written_document_is_one_object(spark, table, tmp_path):
+    rows = with_row_id(table(["A", "B"], [(text, text[::-1]) for text in TRICKY] * 30), ["A"])
+    found = rows.select("row_id", "A", "line_no").filter(f"line_no <= {len(TRICKY)}").collect()
+    marks = spark.createDataFrame([(r.row_id, "red" if r.line_no % 2 else None, r.A or None) for r in found], notes.SCHEMA)
+    write_session(rows, marks, str(tmp_path / "s.json"), format="document")
+    whole = json.loads(joined(tmp_path / "s.json"))
+    assert [r["cols"] for r in whole["rows"]] == [[text, text[::-1]] for text in TRICKY] * 30
+    assert [r["originalIndex"] for r in whole["rows"]] == list(range(1, 30 * len(TRICKY) + 1))
+    assert whole["marked"] == {str(r.row_id % 2**64): "red" for r in found if r.line_no % 2}
+    assert whole["comments"] == {str(r.row_id % 2**64): r.A for r in found if r.A}
+    write_session(rows.limit(0), marks.limit(0), str(tmp_path / "none.json"), format="document")
+    empty = json.loads(joined(tmp_path / "none.json"))
+    assert (empty["rows"], empty["marked"], empty["comments"], empty["version"]) == ([], {}, {}, 1)
+    assert read_session(spark, str(tmp_path / "none.json")).rows.count() == 0
+
+
+@pytest.mark.parametrize("split, indent", [(1500, None), (2500, 2), (1 << 20, 2)])
+def test_document_in_splits(spark, tmp_path, split, indent):
+    """Commas, quotes, brackets and escapes in texts, wherever the splits fall."""
+    cells = [[a, b] for a in TRICKY for b in TRICKY]
+    document = {
+        "comments": {str(i): text for i, text in enumerate(TRICKY)}, "other": [[1, {"rows": [2, 3]}], "x,y"],
+        "note": "n, [", "version": 1, "marked": {},
+        "header": [{"Name": "A,", "Index": 0, "Role": 0, "Visible": True}, {"Name": "B", "Index": 1, "Role": 0, "Visible": True}],
+        "rows": [{"cols": c, "id": i, "originalIndex": i + 1, "extra": {"a": [1, 2]}} for i, c in enumerate(cells)],
+    }
+    (tmp_path / "d.json").write_text(json.dumps(document, indent=indent, ensure_ascii=split == 2500))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        saved = read_session(spark, str(tmp_path / "d.json"))
+        got = saved.rows.orderBy("line_no").select("`A,`", "B", "row_id").collect()
+        noted = dict(saved.annotations.select("row_id", "comment").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r) for r in got] == [(*c, i) for i, c in enumerate(cells)]
+    assert noted == {i: text for i, text in enumerate(TRICKY) if text}
+    assert saved.note == "n, ["
+
+
+@pytest.mark.parametrize("text", ['{"version": 1, "rows": [', '{"version": 1, "note": "a, ', "", '{"version": 1}}'])
+def test_texts_that_are_no_document(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(ValueError, match="not one JSON document"):
+        read_session(spark, str(tmp_path / "bad.json"))
+
+
+def test_members_that_are_null(spark, tmp_path):
+    (tmp_path / "n.json").write_text('{"version":1,"header":null,"rows":null,"comments":{},"marked":null}')
+    saved = read_session(spark, str(tmp_path / "n.json"))
+    assert (saved.rows.count(), saved.annotations.count(), saved.window) == (0, 0, None)
+
+
 def test_large_json_session(spark, tmp_path):
     """JSON sessions are written and read in parts, whatever their size."""
     rows = spark.range(0, 210_000, numPartitions=6).select(
