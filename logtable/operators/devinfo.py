@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logtable.functions.text import WHITE_SPACE, cell, gfold, gtrim
 from logtable.operators.filters import search_term
 from logtable.operators.rows import LINE_NO
 from logtable.plans.ordered import Key
+from logtable.plans.staging import stage
 
 ENTITY = ["category", "id"]
 
@@ -129,23 +130,19 @@ def fold(raw: DataFrame, rules: GroupRules = GroupRules()) -> DataFrame:
     """Fields with the attributes of their entity, in one pass over the rows.
 
     First one row per entity and field, combined inside each task, that also carries what
-    the field's rows say about the entity; then a window over the fields of each entity.
+    the field's rows say about the entity. It is staged: one row per entity is made of it and
+    joined back, so that adaptive execution can split an entity that owns most fields.
     """
     place = F.col(LINE_NO)
     kept = {c: F.min(F.when(F.col(c) != "", F.struct(place, F.col(c)))).alias(c) for c in ("agentid", "time", "extra")}
     first = F.min(F.struct(place, "field_value", "field_value_lc")).alias("f")
-    fields = _named(raw).groupBy(*ENTITY, "field_name").agg(first, *kept.values())
-    entity = Window.partitionBy(*ENTITY)
-    told = fields.withColumns({
-        "seen": F.min(F.col("f")[LINE_NO]).over(entity),
-        **{c: F.coalesce(F.min(c).over(entity)[c], F.lit("")) for c in kept},
-    })
-    folded = told.filter(F.col("field_name") != "").select(
+    fields = stage(_named(raw).groupBy(*ENTITY, "field_name").agg(first, *kept.values()))
+    entities = fields.groupBy(*ENTITY).agg(
+        F.min(F.col("f")[LINE_NO]).alias("seen"), *[F.coalesce(F.min(c)[c], F.lit("")).alias(c) for c in kept])
+    own = fields.filter(F.col("field_name") != "").select(
         *ENTITY, "field_name", F.col(f"f.{LINE_NO}").alias("field_seen"),
-        F.col("f.field_value").alias("raw_value"), F.col("f.field_value_lc").alias("raw_value_lc"),
-        "seen", *kept,
-    )
-    return with_group(folded, rules)
+        F.col("f.field_value").alias("raw_value"), F.col("f.field_value_lc").alias("raw_value_lc"))
+    return with_group(own.join(entities, ENTITY), rules)
 
 
 def norm_bool(text: Column) -> Column:

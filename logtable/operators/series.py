@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logtable.functions.text import cell, gtrim, parse_float, parse_int
 from logtable.operators.rows import LINE_NO
+from logtable.plans.ordered import running_last_of
+from logtable.plans.staging import stage
 
 # How many series a chart shows and a function takes (limits that a caller
 # may ask for; there is none by default), and what a blank key is called.
@@ -15,6 +17,9 @@ VIEW_KEYS = 8
 FUNCTION_KEYS = 5
 EMPTY_KEY = "(empty)"
 
+# A series is filled in blocks of so many buckets.
+FILL_BLOCK = 1024
+
 LARGEST_LONG = 2**63 - 1
 
 
@@ -145,6 +150,8 @@ def bucket_series(
     if fill == "hold":
         values.append(F.max_by("val", "at").alias("held"))
     buckets = placed.groupBy("series", "x").agg(*values)
+    if fill == "hold":  # blocks and what is carried between them read the same buckets
+        buckets = stage(buckets)
     if extent.series:
         names = points.sparkSession.createDataFrame([(s,) for s in extent.series], "series string")
     else:
@@ -154,10 +161,8 @@ def bucket_series(
     filled = grid.join(buckets, ["series", "x"], "left")
     value = F.col("value")
     if fill == "hold":
-        so_far = Window.partitionBy("series").orderBy("x").rowsBetween(
-            Window.unboundedPreceding, 0
-        )
-        value = F.coalesce(value, F.last("held", ignorenulls=True).over(so_far))
+        filled = running_last_of(filled, "series", "x", F.col("held"), "held", FILL_BLOCK)
+        value = F.coalesce(value, F.col("held"))
     return filled.withColumn("value", value).select(
         "series", "x", _bucket_end(extent, width).alias("bucket_ts"),
         F.when(~F.isnan("value"), F.col("value")).alias("value"),

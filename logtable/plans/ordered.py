@@ -136,6 +136,26 @@ def running_last(
     return blocked.join(carried, "_block").withColumn(out, found).drop("_block", "_carry", "_value")
 
 
+def running_last_of(
+    df: DataFrame, group: str, order: str, value: Column, out: str, block: int = BLOCK
+) -> DataFrame:
+    """The last non-NULL ``value`` of the same group before each row, or at it.
+
+    ``order`` is unique in a group and neither it nor the group is NULL. Rows meet in blocks of
+    ``block`` order values; a row a block and group carries over what the blocks before it
+    leave, so a window never sees more of a group than a block, or a row for each block.
+    """
+    blocked = df.withColumns({"_block": F.expr(f"`{order}` div {block}"), "_value": value})
+    at = F.when(F.col("_value").isNotNull(), F.col(order))
+    blocks = blocked.groupBy(group, "_block").agg(F.max_by("_value", at).alias("_last"))
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(group, "_block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    inside = Window.partitionBy(group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_carry"))
+    joined = blocked.join(carried, [group, "_block"]).withColumn(out, found)
+    return joined.select(*[c for c in df.columns if c != out], out)
+
+
 def neighbours(df: DataFrame, order: str, value: Column, after: str, before: str) -> DataFrame:
     """The nearest non-NULL ``value`` after and before each row, not at it."""
     blocked = _blocked(df.withColumn("_value", value), order)

@@ -8,7 +8,9 @@ from logtable.functions.times import parse_log_ts
 from logtable.operators import positions as places
 from logtable.operators.columns import reorder_columns, reset_view, toggle_columns
 from logtable.operators.filters import filter_marked, filter_regex, match_spans, regex_match, search
-from logtable.operators.presets import dedupe_ordered, filter_preset, merge_presets, preset_hits, tag_presets
+from logtable.operators.presets import (
+    dedupe_ordered, filter_preset, many_preset_hits, merge_presets, preset_hits, tag_presets,
+)
 from logtable.sources.config import read_presets
 from logtable.operators.rows import column_profile, with_line_no, with_row_id
 from logtable.operators.sorting import ordering
@@ -147,6 +149,23 @@ def preset_filter(spark, sf_dir):
     return filter_preset(document_log(spark, sf_dir), PRESETS, "address").select("line_no")
 
 
+PAIRS = 5
+
+
+@query("preset_many", f"""WITH words AS (SELECT item_id, string_split_regex(text, '[^A-Za-z]+') AS w FROM benchmark),
+presets AS (SELECT item_id || ':' || k AS preset, '\\b' || w[2 * k + 1] || '[^A-Za-z]+' || w[2 * k + 2] || '\\b' AS pattern
+  FROM words, range({PAIRS}) AS r(k) WHERE w[2 * k + 1] <> '' AND w[2 * k + 2] <> '')
+SELECT doc_id + 1 AS line_no, preset FROM documents CROSS JOIN presets WHERE regexp_matches(text, pattern)""")
+def preset_many(spark, sf_dir):
+    """Five presets of each benchmark item: two neighbouring words, whatever stands between them."""
+    words = read(spark, sf_dir, "benchmark").select("item_id", F.split("text", "[^A-Za-z]+").alias("w"))
+    presets = [
+        (rf"\b{row.w[2 * k]}[^A-Za-z]+{row.w[2 * k + 1]}\b", f"{row.item_id}:{k}")
+        for row in words.collect() for k in range(PAIRS) if all(row.w[2 * k : 2 * k + 2]) and len(row.w) > 2 * k + 1
+    ]
+    return many_preset_hits(document_log(spark, sf_dir), presets).select("line_no", "preset")
+
+
 FILE_PRESETS = ((r"(?i)licen[cs]e", "license"), (r"^[A-Z][a-z]+ [a-z]+ [a-z]+[.]", "three words"), ("[0-9]{3,}", ""))
 
 

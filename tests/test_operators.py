@@ -14,7 +14,9 @@ from logtable.operators.devinfo import (
     with_group_table,
 )
 from logtable.operators.filters import filter_marked, match_spans, search
-from logtable.operators.presets import HOST_PRESETS, dedupe_ordered, filter_preset, merge_presets, tag_presets
+from logtable.operators.presets import (
+    HOST_PRESETS, dedupe_ordered, filter_preset, many_preset_hits, merge_presets, preset_hits, tag_presets,
+)
 from logtable.operators.rows import with_line_no, with_row_id
 from logtable.operators.series import (
     Extent, NoSeries, TooManySeries, bucket_of, bucket_series, normalise_series, scale_series, series_extent,
@@ -378,6 +380,48 @@ def test_fold_and_query(spark):
     assert [r.category for r in list_categories(raw_rows(spark)).orderBy("seen").collect()] == ["sw_main", "host_a", "sw_port"]
 
 
+def test_fold_of_a_hot_entity(spark):
+    """One entity owns nine fields of ten; what its rows say of it reaches every field."""
+    n = F.col("id")
+    hot = n % 10 > 0
+    raw = spark.range(1, 20_001, numPartitions=4).select(
+        n.alias("line_no"), F.when(hot, "big").otherwise("small").alias("category"),
+        F.when(hot, "1").otherwise((n % 70).cast("string")).alias("id"),
+        F.when(n == 777, "a7").otherwise("").alias("agentid"), F.when(n > 9_000, n.cast("string")).otherwise("").alias("time"),
+        F.concat(F.lit("f"), n.cast("string")).alias("field_name"), n.cast("string").alias("field_value"),
+        n.cast("string").alias("field_value_lc"), F.lit("").alias("extra"))
+    fields = fold(raw)
+    assert "Window" not in fields._jdf.queryExecution().optimizedPlan().toString()
+    assert fields.count() == 20_000 and fields.filter("raw_value = field_seen").count() == 20_000
+    big = fields.filter("category = 'big'").select("seen", "agentid", "time", "extra").distinct().collect()
+    assert [tuple(r) for r in big] == [(1, "a7", "9001", "")]
+
+
+def test_fill_carries_over_blocks(spark):
+    rows = [(s, x, v) for s, values in {"a": {0: 1.0, 3: 2.0, 17: 3.0}, "b": {9: 4.0}, "c": {}}.items()
+            for x in range(20) for v in [values.get(x)]]
+    df = spark.createDataFrame(rows, "series string, x bigint, v double").repartition(5)
+    for block in (1, 2, 7, 64):
+        got = {(r.series, r.x): r.out for r in ordered.running_last_of(df, "series", "x", F.col("v"), "out", block).collect()}
+        last = {}
+        for s, x, v in rows:
+            last[s] = v if v is not None else last.get(s)
+            assert got[s, x] == last[s]
+        assert len(got) == len(rows)
+
+
+def test_many_presets(table):
+    df = table(["text"], [("an Alpha beta 12",), ("",), (None,), ("beta",), ("é gamma ", ), ("alphabet\nGAMMA",), ("beta gamma beta",)])
+    presets = [("beta", "b"), (r"a\s+beta", "ab"), ("(?i)gamma", "g"), ("^beta|[0-9]+", "n"), ("(be|ta)+$", "loop"), ("beta", "again"), ("", "all"), ("nowhere", "no")]
+    one = sorted(map(tuple, preset_hits(df, presets, ["text"]).select("line_no", "preset").collect()))
+    assert sorted(map(tuple, many_preset_hits(df, presets, ["text"]).select("line_no", "preset").collect())) == one
+    assert {p for _, p in one} == {"b", "ab", "g", "n", "loop", "again", "all"} and (7, "g") in one and (2, "all") in one
+    assert many_preset_hits(df, [], ["text"]).count() == 0
+    assert many_preset_hits(df.limit(0), presets, ["text"]).count() == 0
+    with pytest.raises(InvalidPattern):
+        many_preset_hits(df, [("(", "bad")], ["text"])
+
+
 def test_group_rules(spark):
     rules = GroupRules(nosplit=(" a_b ",), exact={"x_y": "z", "e_f": ""}, prefix={"sw_": "sw", "sw_p": "ports", "": "never"})
     names = ["a_b", "x_y", "e_f", "sw_port", "sw_main", "_x", "plain", "", " a_c "]
