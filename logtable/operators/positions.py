@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logtable.functions.text import row_text
 from logtable.operators.filters import is_hit
 from logtable.operators.rows import LINE_NO, ROW_ID, data_columns
-from logtable.plans.ordered import Key, first_in_order, in_order, neighbours
+from logtable.plans.ordered import Key, first_in_order, neighbours, ranked_between
 
 
 # A page of so many rows, each two numbers, is broadcast to fetch its rows; a longer one is
@@ -32,14 +32,14 @@ def fetched(df: DataFrame, places: DataFrame, size: int) -> DataFrame:
 def page(df: DataFrame, keys: Sequence[Key], start: int, size: int) -> DataFrame:
     """The ``size`` rows from position ``start`` on.
 
-    Only sort keys and line numbers are put in order, and of a page that ends within the
-    first ``TOP_ROWS`` rows, only those up to its end; the page's rows, which are ``size`` of
-    them, are then fetched by line number.
+    Only sort keys and line numbers are looked at: of a page that ends within the first
+    ``TOP_ROWS`` rows those up to its end are selected, of a deeper one those in a bracket of
+    its ranks. The page's rows, which are ``size`` of them, are then fetched by line number.
     """
     names = [f"_key{i}" for i in range(len(keys))]
     narrow = df.select(LINE_NO, *[key.alias(name) for name, (key, _) in zip(names, keys)])
     order, end = [(F.col(name), down) for name, (_, down) in zip(names, keys)], start + size - 1
-    placed = first_in_order(narrow, order, end) if 0 < end <= TOP_ROWS else in_order(narrow, order)
+    placed = first_in_order(narrow, order, end) if 0 < end <= TOP_ROWS else ranked_between(narrow, order, start, end)
     wanted = placed.filter(F.col("pos").between(start, start + size - 1)).select(LINE_NO, "pos")
     return fetched(df, wanted, size)
 

@@ -9,9 +9,10 @@ no key, however frequent, can grow one. The table of blocks has one row per
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from logtable.plans.staging import stage
 
@@ -21,6 +22,9 @@ BLOCK = 1 << 17
 BROADCAST_ROWS = 1_000_000
 
 
+# A sample of rows, or what is left of them, is put in order at once up to so many.
+FEW_ROWS = 50_000
+
 # A sort key and whether it descends.
 Key = tuple[Column, bool]
 
@@ -63,6 +67,56 @@ def first_in_order(df: DataFrame, keys: Sequence[Key], count: int, out: str = "p
     return with_keys.orderBy(*order).limit(count).withColumn(out, F.row_number().over(Window.orderBy(*order))).drop(*names)
 
 
+def _before(names: Sequence[str], keys: Sequence[Key], bound: Row) -> Column:
+    """Whether a row sorts before ``bound``: NULL comes first, or last where a key descends."""
+    found = F.lit(False)
+    for name, (_, down) in reversed(list(zip(names, keys))):
+        value, column = bound[name], F.col(name)
+        if value is None:
+            less = column.isNotNull() if down else F.lit(False)
+        else:
+            less = F.coalesce(column > value, F.lit(False)) if down else F.coalesce(column < value, F.lit(True))
+        found = less | (column.eqNullSafe(F.lit(value)) & found)
+    return found
+
+
+def ranked_between(
+    df: DataFrame, keys: Sequence[Key], start: int, end: int, out: str = "pos", few: int = FEW_ROWS
+) -> DataFrame:
+    """The rows of ranks ``start`` to ``end`` (from 1) by ``keys``, which must be total.
+
+    A sample of the rows brackets these ranks; exact counts before and inside the bracket say
+    whether it holds them, and where it begins. Only the bracket is kept, and again a bracket of
+    it, until ``few`` rows are left to put in order. A bracket that misses, or does not narrow
+    down, is put in order as it is, so the result never depends on the sample.
+    """
+    rows, order, names = _keyed(df, keys)
+    again, skipped, left = [(F.col(n), down) for n, (_, down) in zip(names, keys)], 0, rows.count()
+    end = min(end, left)
+    while left > few and end >= start:
+        share = few / 2 / left
+        picked = F.pmod(F.xxhash64(*names, F.lit(left)), F.lit(1 << 30)) < int(share * (1 << 30))
+        sample = stage(rows.select(*names).filter(picked))
+        # Six standard deviations of a rank in the sample.
+        margin = 3 * math.ceil(math.sqrt(few / 2)) + 1
+        low, high = int((start - skipped) * share) - margin, int((end - skipped) * share) + margin
+        ranked = sample.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+        bounds = {row["_rank"]: row for row in ranked.filter(F.col("_rank").isin(low, high)).collect()}
+        from_low = ~_before(names, again, bounds[low]) if low in bounds else F.lit(True)
+        to_high = _before(names, again, bounds[high]) if high in bounds else F.lit(True)
+        inside = stage(rows.filter(from_low & to_high))
+        before = skipped + rows.filter(~from_low).count()
+        size = inside.count()
+        if not before < start <= end <= before + size or size > left * 3 // 4:
+            break
+        rows, skipped, left = inside, before, size
+    if left <= few:
+        placed = first_in_order(rows, again, max(end - skipped, 0), out)
+    else:
+        placed = in_order(rows, again, out)
+    return placed.withColumn(out, F.col(out) + skipped).filter(F.col(out).between(start, end))
+
+
 def place_scan(scanned: DataFrame) -> DataFrame:
     """Stage rows scanned from files so that they can be put in source order.
 

@@ -410,6 +410,24 @@ def test_fill_carries_over_blocks(spark):
         assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("few", [40, 1_000])
+def test_ranks_are_found_by_brackets(spark, few):
+    """Ties, NULL and NaN, ascending and descending, at any depth, whatever the sample brings."""
+    n = F.col("id")
+    df = spark.range(4_000).select(
+        n.alias("line_no"), F.when(n % 7 > 0, (n * 37 % 50).cast("string")).alias("a"),
+        F.when(n % 11 == 0, F.lit(float("nan"))).when(n % 5 > 0, (n * 13 % 400) / 2.0).alias("b")).repartition(4)
+    for down in (False, True):
+        keys = [(F.col("a"), down), (F.col("b"), not down), (F.col("line_no"), False)]
+        want = [r.line_no for r in ordered.ordered(df, keys).collect()]
+        for start, end in ((1, 3), (1_999, 2_040), (3_990, 5_000), (4_001, 4_010)):
+            got = ordered.ranked_between(df, keys, start, end, few=few).orderBy("pos").collect()
+            assert [r.pos for r in got] == list(range(start, min(end, 4_000) + 1))
+            assert [r.line_no for r in got] == want[start - 1 : end]
+            assert set(got[0].asDict() if got else ["line_no", "a", "b", "pos"]) == {"line_no", "a", "b", "pos"}
+    assert ordered.ranked_between(df.limit(0), [(F.col("line_no"), False)], 1, 5, few=few).count() == 0
+
+
 def test_many_presets(table):
     df = table(["text"], [("an Alpha beta 12",), ("",), (None,), ("beta",), ("é gamma ", ), ("alphabet\nGAMMA",), ("beta gamma beta",)])
     presets = [("beta", "b"), (r"a\s+beta", "ab"), ("(?i)gamma", "g"), ("^beta|[0-9]+", "n"), ("(be|ta)+$", "loop"), ("beta", "again"), ("", "all"), ("nowhere", "no")]
