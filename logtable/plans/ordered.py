@@ -4,7 +4,8 @@ Every function works on blocks of neighbouring rows: a window inside each
 block, plus one small table with a row per block that carries the result of
 the blocks before (or after) it. Blocks hold at most ``BLOCK`` order values, so
 no key, however frequent, can grow one. The table of blocks has one row per
-``BLOCK`` rows of input, which is what its single-task window sees.
+``BLOCK`` rows of input, which is what its single-task window sees. It is joined
+after the window, which leaves rows dealt and sorted by block, so they are sorted once.
 """
 
 from __future__ import annotations
@@ -186,8 +187,8 @@ def running_last(
     inside = Window.partitionBy("_block").orderBy(order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
-    found = F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_carry"))
-    return blocked.join(carried, "_block").withColumn(out, found).drop("_block", "_carry", "_value")
+    walked = blocked.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside)).drop("_value")
+    return walked.join(carried, "_block").withColumn(out, F.coalesce("_inside", "_carry")).drop("_block", "_carry", "_inside")
 
 
 def running_last_of(
@@ -246,8 +247,8 @@ def running_sum(df: DataFrame, order: str, value: Column, out: str) -> DataFrame
         "_block", F.coalesce(F.sum("_summary").over(before), F.lit(0)).alias("_carry")
     )
     inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_value").over(inside) + F.col("_carry")
-    return blocked.join(carried, "_block").withColumn(out, total).drop("_block", "_carry", "_value")
+    walked = blocked.withColumn("_inside", F.sum("_value").over(inside)).drop("_value")
+    return walked.join(carried, "_block").withColumn(out, F.col("_inside") + F.col("_carry")).drop("_block", "_carry", "_inside")
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column], lasts: dict[str, Column]) -> DataFrame:
@@ -256,18 +257,20 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], lasts: dict[str,
     blocked = _blocked(df.withColumns(named), order)
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    of_block, carried, found = [], [F.col("_block")], {}
+    of_block, carried, walked, found = [], [F.col("_block")], {}, {}
     for i, out in enumerate([*sums, *lasts]):
         value, carry = f"_value{i}", f"_carry{i}"
         if out in sums:
             of_block.append(F.sum(value).alias(value))
             carried.append(F.coalesce(F.sum(value).over(before), F.lit(0)).alias(carry))
-            found[out] = F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col(carry)
+            walked[f"_inside{i}"] = F.coalesce(F.sum(value).over(inside), F.lit(0))
+            found[out] = F.col(f"_inside{i}") + F.col(carry)
         else:
             at = F.when(F.col(value).isNotNull(), F.col(order))
             of_block.append(F.max_by(value, at).alias(value))
             carried.append(F.last(value, ignorenulls=True).over(before).alias(carry))
-            found[out] = F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col(carry))
+            walked[f"_inside{i}"] = F.last(value, ignorenulls=True).over(inside)
+            found[out] = F.coalesce(f"_inside{i}", carry)
     blocks = blocked.groupBy("_block").agg(*of_block).select(*carried)
-    spare = ["_block", *named, *[f"_carry{i}" for i in range(len(named))]]
-    return blocked.join(blocks, "_block").withColumns(found).drop(*spare)
+    spare = ["_block", *walked, *[f"_carry{i}" for i in range(len(named))]]
+    return blocked.withColumns(walked).drop(*named).join(blocks, "_block").withColumns(found).drop(*spare)

@@ -30,13 +30,15 @@ def plugin_records(lines: DataFrame) -> DataFrame:
 
     Lines before the first record of a file are dropped, before anything is put together. A
     record is one cell of the result, so its lines come together; no other group is collected.
+    A line carries a 64-bit hash of its file's path, which is mostly longer than the line: only
+    files with records one after the other are ever compared.
     """
-    lines = lines if "file" in lines.columns else lines.withColumn("file", F.lit(""))
+    file = F.xxhash64("file") if "file" in lines.columns else F.lit(0)
     starts = F.col("value").rlike(HEAD)
     numbered = running(
-        lines.withColumn("_starts", starts), LINE_NO, {"_record": F.col("_starts").cast("int")},
-        {"_file": F.when(F.col("_starts"), F.col("file"))})
-    grouped = numbered.filter(F.col("_file") == F.col("file")).groupBy("_record").agg(
+        lines.select(LINE_NO, "value", file.alias("_in"), starts.alias("_starts")), LINE_NO,
+        {"_record": F.col("_starts").cast("int")}, {"_file": F.when(F.col("_starts"), F.col("_in"))})
+    grouped = numbered.filter(F.col("_file") == F.col("_in")).groupBy("_record").agg(
         F.sort_array(F.collect_list(F.struct(LINE_NO, "value"))).alias("_lines"))
     text = F.array_join("_lines.value", "\n")
     return grouped.select(
