@@ -101,13 +101,19 @@ def list_categories(raw: DataFrame) -> DataFrame:
     return _seen(_named(raw), "category")
 
 
+def _spread(raw: DataFrame) -> DataFrame:
+    """The named rows, dealt out evenly by their numbers. The first of several cells is found by
+    a sort, which holds the rows of a task: without this, all that one split of a file gives."""
+    return _named(raw).hint("rebalance", LINE_NO)
+
+
 def _first_filled(column: str) -> Column:
     return F.min(F.when(F.col(column) != "", F.struct(LINE_NO, column)))
 
 
 def fold_entities(raw: DataFrame) -> DataFrame:
     """One row per entity: the first non-empty agent, time and extra, and where seen."""
-    return _named(raw).groupBy(*ENTITY).agg(
+    return _spread(raw).groupBy(*ENTITY).agg(
         F.min(LINE_NO).alias("seen"),
         *[
             F.coalesce(_first_filled(c)[c], F.lit("")).alias(c)
@@ -118,7 +124,7 @@ def fold_entities(raw: DataFrame) -> DataFrame:
 
 def fold_fields(raw: DataFrame) -> DataFrame:
     """One row per entity and field: its first value and where it was first seen."""
-    fields = _named(raw).filter(F.col("field_name") != "")
+    fields = _spread(raw).filter(F.col("field_name") != "")
     first = F.min(F.struct(LINE_NO, "field_value", "field_value_lc"))
     return fields.groupBy(*ENTITY, "field_name").agg(first.alias("f")).select(
         *ENTITY, "field_name", F.col(f"f.{LINE_NO}").alias("field_seen"),
@@ -136,7 +142,7 @@ def fold(raw: DataFrame, rules: GroupRules = GroupRules()) -> DataFrame:
     place = F.col(LINE_NO)
     kept = {c: F.min(F.when(F.col(c) != "", F.struct(place, F.col(c)))).alias(c) for c in ("agentid", "time", "extra")}
     first = F.min(F.struct(place, "field_value", "field_value_lc")).alias("f")
-    fields = stage(_named(raw).groupBy(*ENTITY, "field_name").agg(first, *kept.values()))
+    fields = stage(_spread(raw).groupBy(*ENTITY, "field_name").agg(first, *kept.values()))
     entities = fields.groupBy(*ENTITY).agg(
         F.min(F.col("f")[LINE_NO]).alias("seen"), *[F.coalesce(F.min(c)[c], F.lit("")).alias(c) for c in kept])
     own = fields.filter(F.col("field_name") != "").select(

@@ -139,7 +139,8 @@ def attributes(spark, sf_dir) -> DataFrame:
                      F.lit(a).alias("agentid"), F.lit(t).alias("time"), F.lit(x).alias("extra"))
             for f, v, a, t, x in fields
         ])
-        return table.select(
+        # Rows grow several times over here, so a table of one split is dealt out before.
+        return table.hint("rebalance", id).select(
             category.alias("category"), F.col(id).cast("string").alias("id"), F.col(id).alias("n"), F.posexplode(cells)
         ).select(
             (F.lit(start) + F.col("n") * len(fields) + F.col("pos") + 1).alias("line_no"),
