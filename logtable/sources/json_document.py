@@ -57,10 +57,15 @@ class Document:
         return json.loads(f"{{{','.join(texts)}}}")
 
 
+def _count(text: Column, char: str) -> Column:
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit(char), F.lit("")))
+
+
 def _depth_change(text: Column) -> Column:
     """Of a text that starts outside strings: brackets opened less brackets closed."""
-    bare = F.regexp_replace(text, r'"[^"]*("|\z)', "")
-    return (F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"[\]}]"))).cast("bigint")
+    bare = F.when(F.contains(text, F.lit('"')), F.regexp_replace(text, r'"[^"]*("|\z)', "")).otherwise(text)
+    change = _count(bare, "[") + _count(bare, "{") - _count(bare, "]") - _count(bare, "}")
+    return F.when(text.rlike(r"[\[\]{}]"), change).otherwise(0).cast("bigint")
 
 
 def _placed_pieces(pieces: DataFrame) -> DataFrame:
@@ -69,15 +74,18 @@ def _placed_pieces(pieces: DataFrame) -> DataFrame:
 
     A backslash never stands before a comma, so no piece starts within an escape.
     """
-    clean = F.regexp_replace("value", r"(?s)\\.", "")
-    effects = stage(pieces.select(
+    escaped = F.contains("value", F.lit("\\"))
+    clean = F.when(escaped, F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    texts, clean = pieces.select("line_no", clean.alias("_clean")), F.col("_clean")
+    effects = stage(texts.select(
         "line_no",
-        ((F.char_length(clean) - F.char_length(F.translate(clean, '"', ""))) % 2).cast("bigint").alias("_quotes"),
+        (_count(clean, '"') % 2).cast("bigint").alias("_quotes"),
         _depth_change(clean).alias("_outside"), _depth_change(F.concat(F.lit('"'), clean)).alias("_inside"),
     ))
     ends = pieces.groupBy("file").agg(F.max("line_no").alias("line_no")).select("line_no", F.lit(False).alias("_comma"))
     effects = effects.join(ends, "line_no", "left").withColumn("_comma", F.coalesce("_comma", F.lit(True)))
-    quoted = running(effects, "line_no", {"_open": F.col("_quotes")}, {})
+    # Staged, as the sums behind it read it twice.
+    quoted = stage(running(effects, "line_no", {"_open": F.col("_quotes")}, {}))
     change = F.when((F.col("_open") - F.col("_quotes")) % 2 == 1, F.col("_inside")).otherwise(F.col("_outside"))
     deep = stage(running(quoted, "line_no", {"depth": change}, {}).select(
         "line_no", "depth", "_comma", (F.col("_open") % 2 == 1).alias("_in_text")))
@@ -106,7 +114,9 @@ def read_json_document(spark: SparkSession, path: str) -> Document:
     if last is None or last["depth"] or last["_in_text"]:
         raise NotOneDocument(f"not one JSON document: {path}")
     parts = pieces.select("line_no", "value").join(placed, "line_no")
-    gathered = parts.groupBy("member", "entry").agg(
+    # An entry is in one member. Its pieces are dealt out as they are, not as lists of one.
+    gathered = parts.repartition("entry").groupBy("entry").agg(
+        F.min("member").alias("member"),
         F.sort_array(F.collect_list(F.struct("line_no", "value", "_glue"))).alias("parts"),
         F.max_by("depth", "line_no").alias("depth"),
     )
