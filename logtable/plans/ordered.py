@@ -273,4 +273,5 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], lasts: dict[str,
             found[out] = F.coalesce(f"_inside{i}", carry)
     blocks = blocked.groupBy("_block").agg(*of_block).select(*carried)
     spare = ["_block", *walked, *[f"_carry{i}" for i in range(len(named))]]
-    return blocked.withColumns(walked).drop(*named).join(blocks, "_block").withColumns(found).drop(*spare)
+    inner = blocked.withColumns(walked).drop(*named).filter("_block IS NOT NULL")
+    return inner.join(blocks, "_block", "left").withColumns(found).drop(*spare)

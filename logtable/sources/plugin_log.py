@@ -36,9 +36,9 @@ def plugin_records(lines: DataFrame) -> DataFrame:
     file = F.xxhash64("file") if "file" in lines.columns else F.lit(0)
     starts = F.col("value").rlike(HEAD)
     numbered = running(
-        lines.select(LINE_NO, "value", file.alias("_in"), starts.alias("_starts")), LINE_NO,
-        {"_record": F.col("_starts").cast("int")}, {"_file": F.when(F.col("_starts"), F.col("_in"))})
-    grouped = numbered.filter(F.col("_file") == F.col("_in")).groupBy("_record").agg(
+        lines.select(LINE_NO, "value", file.alias("file"), starts.alias("_starts")), LINE_NO,
+        {"_record": F.col("_starts").cast("int")}, {"_file": F.when(F.col("_starts"), F.col("file"))})
+    grouped = numbered.filter(F.col("_file") == F.col("file")).groupBy("_record").agg(
         F.sort_array(F.collect_list(F.struct(LINE_NO, "value"))).alias("_lines"))
     text = F.array_join("_lines.value", "\n")
     return grouped.select(
