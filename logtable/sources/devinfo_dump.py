@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -180,30 +180,26 @@ class _Effects(NamedTuple):
         return np.append(state, through.state[:, state]), np.append(depth, depths)
 
 
-def _by_block(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """``work`` on the rows of each block, in the order of ``at``. A block has ``FAN`` at most."""
+def _by_block(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` on the rows of each block, in the order of ``at``. A block has ``FAN`` at most.
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            blocks = table.column("block").to_numpy()
-            cuts = np.append(0, np.flatnonzero(np.diff(blocks)) + 1)
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                yield work(table.slice(low, high - low))
-            held = table.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield work(held)
+    Blocks are groups to Spark, so it keeps the rows of each together. Partitions alone would
+    not do: a repartition by the key of the join below it is left out of the plan, and once
+    that join turns into a broadcast, adaptive execution reads its shuffle map by map.
+    """
+
+    def whole(block: pa.Table) -> pa.Table:
+        return work(block.sort_by("at"))
 
-    return rows.repartition("block").sortWithinPartitions("block", "at").mapInArrow(walk, schema)
+    return rows.filter("block IS NOT NULL").groupBy("block").applyInArrow(whole, schema)
 
 
 def _effects_of_blocks(rows: DataFrame) -> DataFrame:
     """``at`` (the block) and the ``effect`` of all its rows together."""
 
-    def together(table: pa.Table) -> pa.RecordBatch:
+    def together(table: pa.Table) -> pa.Table:
         through = _Effects.read(table.column("effect").combine_chunks()).through()
-        return pa.RecordBatch.from_arrays([table.column("block").combine_chunks().slice(0, 1), through.part(-1, None).rows()], ["at", "effect"])
+        return pa.Table.from_arrays([table.column("block").combine_chunks().slice(0, 1), through.part(-1, None).rows()], ["at", "effect"])
 
     return _by_block(rows.select("block", "at", "effect"), together, "at long, effect array<long>")
 
@@ -211,10 +207,10 @@ def _effects_of_blocks(rows: DataFrame) -> DataFrame:
 def _starts_in_blocks(rows: DataFrame) -> DataFrame:
     """``at``, ``state`` and ``depth`` that each row starts in, from those of its block."""
 
-    def told(table: pa.Table) -> pa.RecordBatch:
+    def told(table: pa.Table) -> pa.Table:
         effects = _Effects.read(table.column("effect").combine_chunks())
         found = effects.starts(table.column("state")[0].as_py(), table.column("depth")[0].as_py())
-        return pa.RecordBatch.from_arrays([table.column("at").combine_chunks(), *[pa.array(f, pa.int64()) for f in found]], ["at", "state", "depth"])
+        return pa.Table.from_arrays([table.column("at").combine_chunks(), *[pa.array(f, pa.int64()) for f in found]], ["at", "state", "depth"])
 
     return _by_block(rows.select("block", "at", "effect", "state", "depth"), told, "at long, state long, depth long")
 

@@ -29,6 +29,32 @@ def test_malformed_pieces_are_refused_by_either_way(spark, text):
         _tuple_rows(spark.createDataFrame([(1, text)], "line_no bigint, text string")).collect()
 
 
+def test_blocks_of_a_dump_stay_whole_when_their_join_turns_into_a_broadcast(spark, monkeypatch):
+    """At 60 times sf0.1 a block's lines were read by several tasks: rows went, or a sound dump was refused."""
+    import logtable.sources.devinfo_dump as dump
+
+    monkeypatch.setattr(dump, "FAN", 32)
+    lines, expected = ["INSERT INTO public.devinfo VALUES"], []
+    for i in range(300):
+        lines += [f"('c','{i}','','f','on (two", "lines','','',''),"]
+        expected.append((str(i), "on (two\nlines"))
+    lines += ["('c','last','','f','v','','','');", "COPY public.devinfo (a) FROM stdin;", *[f"c\t{i}\t\tf\tv\t\t\t" for i in range(100)], "\\."]
+    expected += [("last", "v"), *[(str(i), "v") for i in range(100)]]
+    dealt = spark.createDataFrame(list(enumerate(lines, 1)), "line_no bigint, value string").repartition(8)
+    # A join is planned by shuffles first, and a broadcast once its sizes are known; small shuffles are not put together.
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "16k",
+               "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {name: spark.conf.get(name, None) for name in changed}
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    try:
+        found = dump.parse_devinfo(dealt).orderBy("line_no").select("line_no", "id", "field_value").collect()
+    finally:
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert [tuple(r) for r in found] == [(n, *row) for n, row in enumerate(expected, 1)]
+
+
 def test_running_sorts_rows_once_and_plugin_lines_leave_their_path(spark):
     """Blocks are joined after the window, so that a task holds its rows in one sort."""
     from logtable.plans.ordered import running
